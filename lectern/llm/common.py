@@ -59,3 +59,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+#: A side of at most this many rows is broadcast; beyond, Spark joins by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (written already, so that counting is cheap) marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

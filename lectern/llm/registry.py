@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup
+from . import decontamination, line_dedup, packing, quality, simhash_dedup
 
 QUERIES = {
+    "op1_quality": quality.query,
+    "op4_decontamination": decontamination.query,
+    "op5_packing": packing.query,
     "op7_simhash_dedup": simhash_dedup.query,
+    "op10_line_dedup": line_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {}
