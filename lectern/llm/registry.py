@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, line_dedup, packing, quality, simhash_dedup, url_filter
+from . import chat_format, decontamination, line_dedup, packing, pii, quality, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_format": chat_format.query,
     "op4_decontamination": decontamination.query,
     "op5_packing": packing.query,
+    "op6_pii": pii.query,
     "op7_simhash_dedup": simhash_dedup.query,
     "op10_line_dedup": line_dedup.query,
 }
