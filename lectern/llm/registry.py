@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, line_dedup, packing, pii, quality, simhash_dedup, url_filter
+from . import chat_format, decontamination, licenses, line_dedup, nearest, packing, pii, quality, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_packing": packing.query,
     "op6_pii": pii.query,
     "op7_simhash_dedup": simhash_dedup.query,
+    "op8_licenses": licenses.query,
+    "op9_nearest": nearest.query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {
