@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import fresh, materialise, small_side
 from .components import components
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -140,7 +140,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, ma
     """
     dropped, = fresh(docs, "dropped_id")
     gone = near_duplicates(docs, text, words, max_bits).filter("doc_id <> component_id").select(F.col("doc_id").alias(dropped)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(dropped), "left_anti")
+    return docs.join(small_side(materialise(gone, "near-copies")), F.col("doc_id") == F.col(dropped), "left_anti")
 
 
 def query(spark, sf_dir):
