@@ -12,7 +12,7 @@ length that a third of all pieces share is numbered by many tasks. Number and pl
 sequence and offset; no group of pieces is ever collected.
 
 Tokenising goes word by word through a bounded memo, which gives the ids of the whole text: the
-tokenizer cuts at white space first. Texts for which that could differ (strings of its special
+tokenizer cuts at white space, and merges within words only. Texts for which that could differ (strings of its special
 tokens, characters whose lower case depends on the library) are encoded whole.
 
 Defined cases: a null text counts as empty and gives one piece, the end id; repeated rows are
@@ -22,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -36,48 +37,79 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 CAPACITY = 4096
-_MEMO_WORDS = 300_000
+_MEMO_WORDS = 400_000
 _SEGMENT = 1 << 20
 _CUT = re.compile(r"[ \n\t\r]")
+_MARK = b"\xff"
+
+
+def _byte_letters() -> str:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable, else the
+    next code point from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return "".join(chr(b) if b in plain else chr(256 + sum(1 for x in range(b) if x not in plain)) for b in range(256))
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, by way of their words."""
+    """Ids of whole texts as little-endian unsigned 32-bit numbers, by way of their words.
+
+    The vocabulary is byte pairs with a mark at each word's end. The mark becomes a byte that UTF-8
+    never has, and joining it to the last byte the first merge of all; then a byte-pair coder without
+    the tokenizer's text pipeline gives the same ids, word by word.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        spec = json.loads(self.whole.to_str())
+        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.pieces = regex.compile(split["pattern"]["Regex"]).findall
+        end = spec["model"]["end_of_word_suffix"]
+        byte_of = {c: b for b, c in enumerate(_byte_letters())}
+        ranks, self.ids = {}, {}
+        vocabulary = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        for t, i in vocabulary.items():
+            marked = t.endswith(end) and t != end
+            raw = bytes(byte_of[c] for c in (t.removesuffix(end) if marked else t)) + (_MARK if marked else b"")
+            # A byte with the mark is merged before all else; single bytes are never merged into.
+            rank = len(vocabulary) * (0 if len(raw) == 2 and marked else 2 if len(raw) == 1 else 1) + i
+            ranks[raw], self.ids[rank] = rank, i.to_bytes(4, "little")
+        ranks.setdefault(_MARK, 3 * len(vocabulary))
+        self.merge = Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def _odd(self, text: str) -> bool:
         """Words alone may not tell the ids: special tokens, separators that only Python calls
         white space, letters whose lower case depends on their place."""
         return any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1fΣİ")
 
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        ids = self.ids
+        return b"".join([ids[r] for p in ((word,) if word.isalpha() else self.pieces(word)) for r in self.merge(p.encode() + _MARK)])
 
     def _segment(self, text: str) -> bytes:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         words = text.lower().split()
         memo = self.memo
-        if new := set(words).difference(memo):
+        try:
+            return b"".join([memo[w] for w in words])
+        except KeyError:
             if len(memo) > _MEMO_WORDS:
                 memo.clear()
-                new = set(words)
-            listed = list(new)
-            for w, e in zip(listed, self.whole.encode_batch_fast(listed, add_special_tokens=False)):
-                memo[w] = self._pack(e.ids)
-        return b"".join(map(memo.__getitem__, words))
+            for w in words:
+                if w not in memo:
+                    memo[w] = self._word(w)
+            return b"".join([memo[w] for w in words])
 
     def encode(self, text: str) -> bytes:
         if self._odd(text):
-            return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(text) <= _SEGMENT:
             return self._segment(text)
         out, at = [], 0
@@ -192,7 +224,7 @@ def placements(plan: list[tuple[int, dict[int, int]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, end_id: int = 1, block_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int = CAPACITY, end_id: int = 1, block_rows: int = 1_000) -> DataFrame:
     """The pieces of docs with sequence_id and offset (tokens before the piece in its sequence)."""
     found = materialise(pieces(docs, tokenizer, text, capacity, end_id), "pieces")
     lengths = found.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most capacity rows
