@@ -69,14 +69,14 @@ def subtitle(date: Column, number: Column, author: str) -> Column:
 
 def format_duration(seconds: Column) -> Column:
     """1h 30m 45.26s; null stays null, over a year counts as nothing, below zero as zero."""
-    s = F.round(F.greatest(seconds.cast("double"), F.lit(0.0)), 2)
+    s = F.bround(F.greatest(seconds.cast("double"), F.lit(0.0)), 2)
     h, m, rest = F.floor(s / 3600), F.floor((s % 3600) / 60), F.format_string("%.2f", s % 60)
     short = F.concat(m.cast("string"), F.lit("m "), rest, F.lit("s"))
     return F.when(seconds.isNull(), None).when(seconds > YEAR_SECONDS, "0m 0.00s").when(h > 0, F.concat(h.cast("string"), F.lit("h "), short)).otherwise(short)
 
 
 def format_minutes(seconds: Column) -> Column:
-    s = F.round(F.greatest(seconds.cast("double"), F.lit(0.0)), 2)
+    s = F.bround(F.greatest(seconds.cast("double"), F.lit(0.0)), 2)
     out = F.concat(F.format_string("%02d", F.floor(s / 60).cast("long")), F.lit(":"), F.format_string("%05.2f", s % 60))
     return F.when(seconds.isNull(), None).when(seconds > YEAR_SECONDS, "00:00").otherwise(out)
 
@@ -92,9 +92,9 @@ def format_size(n: Column) -> Column:
     """Bytes with one decimal in the largest unit below 1024, TB at most."""
     size, out = n.cast("double"), None
     for k, unit in enumerate(("B", "KB", "MB", "GB")):
-        one = F.format_string(f"%.1f {unit}", size / 1024**k)
+        one = F.format_string(f"%.1f {unit}", F.bround(size / 1024**k, 1))
         out = F.when(size < 1024 ** (k + 1), one) if out is None else out.when(size < 1024 ** (k + 1), one)
-    return F.when(n.isNull(), None).otherwise(out.otherwise(F.format_string("%.1f TB", size / 1024**4)))
+    return F.when(n.isNull(), None).otherwise(out.otherwise(F.format_string("%.1f TB", F.bround(size / 1024**4, 1))))
 
 
 def header_source(text: Column) -> Column:

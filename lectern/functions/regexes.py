@@ -32,9 +32,23 @@ def strip(text: Column) -> Column:
 
 
 def upper_first(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
+    return let(text, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2))))
 
 
 def extract(text: Column, pattern: str, group: int = 1, flags: str = EXACT) -> Column:
     """The group of the first match, or null."""
     return F.nullif(F.regexp_extract(text, flags + pattern, group), F.lit(""))
+
+
+def let(value: Column, body) -> Column:
+    """body of the value, which is made once however often body uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def arrow(kind: str):
+    """A vectorised function that Spark evaluates once, in a step of its own. A plain one may be copied
+    into the expressions that use its result, where a second such function is not evaluated at all."""
+    def of(f):
+        return F.pandas_udf(f, kind).asNondeterministic()
+
+    return of

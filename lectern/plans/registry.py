@@ -71,7 +71,8 @@ _register(
 )
 _register(
     "sentence_top_repeats",
-    lambda s, d: S.quality(_docs(s, d), top=20).select("doc_id", F.posexplode("top_repeated").alias("rank", "x")).select("doc_id", "rank", "x.sentence", "x.n"),
+    # The outer form: the inner one filters empty arrays first and would make each array twice for that.
+    lambda s, d: S.quality(_docs(s, d), top=20).select("doc_id", F.posexplode_outer("top_repeated").alias("rank", "x")).filter("x is not null").select("doc_id", "rank", "x.sentence", "x.n"),
     f"""WITH {_SENTS}, counted AS (SELECT doc_id, norm, count(*) AS n, min(pos) AS first FROM sents WHERE norm <> '' GROUP BY doc_id, norm HAVING count(*) > 1),
     placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) - 1 AS rank FROM counted)
     SELECT doc_id, rank::INT AS rank, norm AS sentence, n::INT AS n FROM placed WHERE rank < 20""",
@@ -254,7 +255,8 @@ _register(
 _register(
     "confidence_filter",
     lambda s, d: G.confident(_documents(s, d).select("doc_id", F.concat("text", F.when(F.col("doc_id") % 5 == 0, F.lit(" www.")).otherwise(F.lit(""))).alias("text"), (-(F.col("doc_id") % 4).cast("double")).alias("avg_logprob"), F.lit(0.95).alias("no_speech_prob"))).select("doc_id"),
-    "SELECT doc_id FROM documents WHERE trim(text) <> '' AND NOT ((doc_id % 5 = 0 OR contains(lower(text), 'www.') OR contains(lower(text), 'http://') OR contains(lower(text), 'https://') OR contains(lower(text), 'copyright') OR contains(lower(text), '(c)')) AND -(doc_id % 4) < -1.5)",
+    "SELECT doc_id FROM documents WHERE trim(text) <> '' AND NOT (-(doc_id % 4) < -1.5 AND (doc_id % 5 = 0 OR "
+    + " OR ".join(f"contains(lower(text), '{m}')" for m in ("©", "(c)", "copyright", *T.SUSPICIOUS_MARKERS)) + "))",
 )
 _register(
     "segment_text",
@@ -341,7 +343,8 @@ def _path_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _names(spark, sf_dir).select("doc_id", M.file_name(p).alias("name"), M.year_from_path(F.regexp_replace(p, "/[^/]*$", "")).alias("year"), M.extension(p).alias("ext"))
     n = F.col("name")
     dated = known.select("*", M.date_from_name(n, F.col("year")).alias("date"), M.number_from_name(n).alias("number"), M.title_from_name(n).alias("title"))
-    return dated.select("*", M.subtitle(F.col("date"), F.col("number"), "the author").alias("subtitle"))
+    told = dated.select("*", M.subtitle(F.col("date"), F.col("number"), "the author").alias("subtitle"))
+    return told.withColumn("date", F.col("date").cast("string"))
 
 
 _register(
@@ -350,7 +353,7 @@ _register(
       CASE doc_id % 3 WHEN 0 THEN 1988 WHEN 1 THEN 1984 END AS year, doc_id % 14 AS mm, doc_id % 33 AS dd FROM documents),
     m AS (SELECT *, CASE WHEN year IS NOT NULL THEN try_cast(year::VARCHAR || '-' || left(name, 2) || '-' || substr(name, 3, 2) AS DATE) END AS date,
       CASE WHEN doc_id % 5 = 0 THEN 7 WHEN mm BETWEEN 1 AND 12 AND dd BETWEEN 1 AND 31 THEN dd END::INT AS number, CASE WHEN doc_id % 5 = 0 THEN 'Lecture 07' ELSE 'Fishes' END AS title FROM n)
-    SELECT doc_id, name, year, '.txt' AS ext, date, number, title, CASE
+    SELECT doc_id, name, year, '.txt' AS ext, date::VARCHAR AS date, number, title, CASE
       WHEN date IS NOT NULL AND number IS NOT NULL THEN 'Lecture ' || number || ' given on ' || day(date) || CASE WHEN day(date) IN (1, 21, 31) THEN 'st' WHEN day(date) IN (2, 22) THEN 'nd' WHEN day(date) IN (3, 23) THEN 'rd' ELSE 'th' END
         || ' of ' || monthname(date) || ' ' || year(date) || ' by the author'
       WHEN date IS NOT NULL THEN dayname(date) || ', ' || day(date) || ' ' || monthname(date) || ' ' || year(date) || chr(10) || 'by the author'
@@ -399,8 +402,7 @@ _register(
 _register(
     "domain_terms",
     lambda s, d: transcripts.domain_terms(_documents(s, d).select(F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("- ")).otherwise(F.lit("")), F.substring_index("text", " ", 1)).alias("line"), F.lit(0).alias("source_rank"), F.col("doc_id").alias("pos"))).select("term", "at.pos"),
-    """SELECT term, min(doc_id) AS pos FROM (SELECT doc_id, split_part(text, ' ', 1) AS term FROM documents) WHERE term <> '' AND NOT starts_with(term, '#')
-      AND NOT contains(term, chr(10)) GROUP BY term ORDER BY pos LIMIT 100""",
+    """SELECT term, min(doc_id) AS pos FROM (SELECT doc_id, split_part(text, ' ', 1) AS term FROM documents) WHERE term <> '' AND NOT starts_with(term, '#') GROUP BY term ORDER BY pos LIMIT 100""",
 )
 _register(
     "prompt_builder", lambda s, d: _conversations(s, d).groupBy("conv_id").agg(F.array_sort(F.collect_set("text")).alias("terms")).select("conv_id", T.build_prompt(F.col("terms")).alias("prompt")),
