@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 BLOCK = 64
 BUDGET, HISTORY = 2048, 512
@@ -78,10 +80,12 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         "conv_id", number.alias("number"), "role", "text", "tokens", ((number == 0) & (F.col("system_tokens") > 0)).alias("is_system"),
         (end - F.col("tokens")).alias("start"), end.alias("end"), stride.alias("stride"),
     )
+    placed = materialise(placed, "turns")  # spans, history and system turns all read it
     spoken = placed.filter(~F.col("is_system")).withColumn("k1", F.floor(F.col("start") / F.col("stride"))).withColumn("k2", F.floor((F.col("end") - 1) / F.col("stride")))
     row = F.struct("kind", "number", "role", "text")
     new = spoken.select("conv_id", "k1", "k2", "start", F.lit(2).alias("kind"), "number", "role", "text")
     spans = new.groupBy(F.col("conv_id").alias("w_conv"), F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.min("start").alias("w_start"))
+    spans = materialise(spans, "spans")
     reach = F.col("start") + history
     older = spoken.filter(reach >= F.col("end")).withColumn("k", F.explode(F.sequence(F.floor(F.col("end") / F.col("stride")), F.floor(reach / F.col("stride")))))
     repeated = older.join(
@@ -158,7 +162,8 @@ def query(spark, sf_dir):
     from .common import table
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame([(-1, 0, "user", INJECTION), (-1, 1, "assistant", INJECTION)], rows.schema)
+    said = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    added = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), said, F.lit(INJECTION))
     return read_back(windows(rows.union(added)))
 
 

@@ -244,7 +244,7 @@ def find(docs: DataFrame, text: str = "text", precision: float = 0.98, support:
     return seen.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(added).alias("added"))
 
 
-def redact(docs_with_spans: DataFrame, text: str = "text", base: str = "base", added: str = "added") -> Column:
+def redact(text: str = "text", base: str = "base", added: str = "added") -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans count as one."""
     spans = f"array_sort(transform(concat({base}, {added}), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))"
     names = "array('EMAIL', 'IP', 'CARD', 'PHONE')"
