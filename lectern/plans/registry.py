@@ -413,11 +413,19 @@ _register(
     "progress_parse",
     lambda s, d: _events(s, d).select("event_id", T.parse_progress(F.concat(F.lit("PROGRESS:"), F.when(F.col("event_id") % 4 == 0, F.lit("x")).otherwise((F.col("event_id") % 101).cast("string")), F.lit("|"), "event_type", F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.lit("|4")))).alias("p")).select("event_id", "p.percent", "p.status", "p.threads"),
     """SELECT event_id, CASE WHEN event_id % 4 <> 0 AND event_id % 3 <> 0 THEN (event_id % 101)::DOUBLE END AS percent, CASE WHEN event_id % 4 <> 0 AND event_id % 3 <> 0 THEN event_type END AS status,
-      CASE WHEN event_id % 4 <> 0 AND event_id % 3 <> 0 THEN '4' END AS threads FROM events""",
+      CASE WHEN event_id % 4 <> 0 AND event_id % 3 <> 0 THEN 4 END AS threads FROM events""",
 )
 _register(
-    "log_tail", lambda s, d: _docs(s, d).select("doc_id", T.log_tail(F.col("text")).alias("tail")),
-    "SELECT doc_id, CASE WHEN length(text) > 70 THEN '...' || right(text, 70) ELSE text END AS tail FROM documents",
+    "log_tail", lambda s, d: _docs(s, d).select("doc_id", T.log_tail(F.col("text")).alias("tail"), T.short_name(F.col("text")).alias("name")),
+    f"SELECT doc_id, right({_TRIM.format('text')}, 70) AS tail, CASE WHEN length(text) > 50 THEN '...' || right(text, 47) ELSE text END AS name FROM documents",
+)
+_register(
+    "log_kinds",
+    lambda s, d: _events(s, d).select("event_id", F.concat(F.element_at(F.array(*(F.lit(x) for x in ("GPU: ", "done ", "Failed ", "Complete ", "x.wav ", "Loading ", "5 minutes "))), (F.col("event_id") % 7 + 1).cast("int")), "event_type").alias("line")).select("event_id", T.classify_log(F.col("line")).alias("kind"), T.format_log(F.col("line")).alias("shown")),
+    """WITH l AS (SELECT event_id, ['config', 'plain', 'error', 'success', 'path', 'model', 'time'][event_id % 7 + 1] AS kind,
+      ['GPU: ', 'done ', 'Failed ', 'Complete ', 'x.wav ', 'Loading ', '5 minutes '][event_id % 7 + 1] || event_type AS line FROM events)
+    SELECT event_id, kind, CASE kind WHEN 'config' THEN '  ' || line WHEN 'error' THEN chr(10) || '❌ ' || line || chr(10) WHEN 'success' THEN chr(10) || '✅ ' || line
+      WHEN 'path' THEN '    ' || line WHEN 'model' THEN '      ' || line WHEN 'time' THEN '    ' || line ELSE line END AS shown FROM l""",
 )
 _register(
     "document_blocks",
