@@ -2,13 +2,15 @@
 
 A line is normalised (lower case, runs of anything but letters, marks and digits become one space).
 Lines of at least ``min_words`` words take part. Equal normalised lines form a class. Classes link if
-their SimHashes (64 bits over the words) differ in at most ``max_bits`` bits and their normalised
-texts have an edit similarity (1 - distance / longer length) of at least ``similarity``. Of each
-connected group the first line, by document, then by position, stays; all others are removed.
+their SimHashes (64 bits over the words) differ in at most ``max_bits`` bits and their words have an edit
+similarity (1 - distance / longer length, in words) of at least ``similarity``; for that, each word is
+one letter of 15 bits of its hash. Of each connected group the first line, by document, then by position, stays; all others are removed.
 
 Pigeonhole: the 64 bits are max_bits + 2 blocks; two hashes within max_bits agree on at least two
 blocks, so classes meet on the pairs of blocks (32 bits for the default). The Hamming condition is
-part of that join, so only true candidates leave it.
+part of that join, so only true candidates leave it. Blocks with more than ``crowd`` classes are first
+linked to one of their own; what that leaves in different groups is then joined as before, so no link
+between groups is lost, and a crowd of near copies does not yield all its pairs.
 
 Texts never pass a shuffle of their own: what is shuffled are hashes and places of lines. Texts of
 candidates are fetched, and removals applied, by joins on documents that are broadcast only below a
@@ -24,9 +26,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.regexes import let
 from .common import fresh, materialise, small_side
 from .components import components
 
@@ -51,26 +54,31 @@ def _lane(hashes: Column, j: int) -> Column:
 
 
 def _simhash(lanes: list[str], n: Column) -> Column:
-    """Bit 8b + j is set if more than half of the n words set it."""
+    """Bit 8b + j is set if more than half of the n words set it.
+
+    In one chunk, all eight counters of a lane are compared at once: adding 127 less half of n lifts a
+    counter to 128 if it is more than half. The highest counter goes alone, as it shares the sign."""
+    half = F.floor(n / 2).cast("long")
+    low7 = 0x00FFFFFFFFFFFFFF
     out = F.lit(0).cast("long")
     for j, lane in enumerate(lanes):
-        for b in range(8):
-            def count(x: Column, b: int = b) -> Column:
-                return F.shiftrightunsigned(x, 8 * b).bitwiseAND(F.lit(255).cast("long"))
-
-            def total(lane: str = lane, count=count) -> Column:
-                return F.aggregate(lane, F.lit(0).cast("long"), lambda a, x: a + count(x))
-
-            votes = F.when(n <= _CHUNK, count(F.element_at(lane, 1))).otherwise(total())
-            bit = 1 << (8 * b + j)
-            out = out.bitwiseOR(F.when(votes * 2 > n, F.lit(bit if bit < 1 << 63 else bit - (1 << 64)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+        own = F.get(lane, F.lit(0))
+        low = F.shiftrightunsigned((own.bitwiseAND(F.lit(low7)) + (127 - half) * (_LANES & low7)).bitwiseAND(F.lit(0x0080808080808080)), 7)
+        top = F.shiftrightunsigned((F.shiftrightunsigned(own, 56) + 127 - half).bitwiseAND(F.lit(128).cast("long")), 7)
+        out = out.bitwiseOR(F.shiftleft(low, j)).bitwiseOR(F.shiftleft(top, 56 + j))
+    long = F.expr(
+        f"""aggregate(sequence(0, 63), 0L, (bits, p) -> bits | shiftleft(if(
+          aggregate(get(array({', '.join(lanes)}), p % 8), 0L, (a, x) -> a + (shiftrightunsigned(x, 8 * cast(floor(p / 8) as int)) & 255)) * 2 > n, 1L, 0L), p))"""
+    )
+    return F.when(n <= _CHUNK, out).otherwise(long)
 
 
 def lines(docs: DataFrame, text: str = "text", min_words: int = 5) -> DataFrame:
     """One row per line that takes part: doc_id, dk (hash of the text), pos, h1, h2, n, sim."""
     norms = docs.select("doc_id", F.col(text).alias("text")).filter("text is not null").select(
-        "doc_id", F.xxhash64("text").alias("dk"), F.posexplode(F.transform(F.split("text", "\n"), normalised)).alias("pos", "norm")
+        "doc_id", F.xxhash64("text").alias("dk"), 
+        # Not posexplode: Spark would filter its empty arrays, and make every array twice for that.
+        F.posexplode_outer(F.transform(F.split("text", "\n"), normalised)).alias("pos", "norm"),
     )
     long = norms.filter(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= min_words - 1)
     hashed = long.select(
@@ -93,40 +101,76 @@ def _keys(sim: Column, max_bits: int) -> Column:
     return F.array(*(F.xxhash64(F.lit(k), block(i), block(j)) for k, (i, j) in enumerate(combinations(range(m), 2))))
 
 
-def candidates(classes: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b), a < b: h1 of classes whose SimHashes differ in at most max_bits bits."""
-    met = classes.select("h1", "sim", F.explode(_keys(F.col("sim"), max_bits)).alias("key"))
-    a, b = (met.select("key", F.col("h1").alias(x), F.col("sim").alias(f"sim_{x}")) for x in "ab")
-    near = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= max_bits))
-    return near.select("a", "b").distinct()
+def _differ(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _near(a: DataFrame, b: DataFrame, max_bits: int, also: Column | None = None) -> DataFrame:
+    """(a, b) of the rows that share a key and differ in at most max_bits bits."""
+    near = (F.col("a") < F.col("b")) & (_differ("sim_a", "sim_b") <= max_bits)
+    return a.join(b, "key").filter(near if also is None else near & also).select("a", "b")
+
+
+def shared_keys(classes: DataFrame, max_bits: int) -> DataFrame:
+    """(key, h1, sim, n) of the keys that n > 1 classes share."""
+    met = classes.select("h1", "sim", F.explode_outer(_keys(F.col("sim"), max_bits)).alias("key"))
+    return met.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+
+
+def _side(keys: DataFrame, x: str) -> DataFrame:
+    return keys.select("key", F.col("h1").alias(x), F.col("sim").alias(f"sim_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in keys.columns if c == "group"))
 
 
 def _place() -> Column:
     return F.struct("doc_id", "dk", "pos")
 
 
-def duplicate_lines(docs: DataFrame, text: str = "text", min_words: int = 5, max_bits: int = 2, similarity: float = 0.8) -> DataFrame:
+def _letters(norm: Column) -> Column:
+    """A text with one letter for each word."""
+    codes = F.transform(F.split(norm, " "), lambda w: F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x7FFF).cast("long")) + 0x4E00))
+    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+
+
+def _texts(docs: DataFrame, text: str, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, first, letters) of the classes that are wanted (h1)."""
+    places = materialise(classes.join(wanted.distinct(), "h1").select("h1", "first", "first.doc_id", "first.dk", "first.pos"), "line-places")
+    d_id, d_text, d_dk = fresh(places, "d_id", "d_text", "d_dk")
+    source = docs.select(F.col("doc_id").alias(d_id), F.col(text).alias(d_text)).filter(F.col(d_text).isNotNull()).withColumn(d_dk, F.xxhash64(d_text))
+    found = source.join(small_side(places), F.col("doc_id").eqNullSafe(F.col(d_id)) & (F.col("dk") == F.col(d_dk)))
+    norm = normalised(F.element_at(F.split(d_text, "\n"), F.col("pos") + 1))
+    # Repeated rows of a document repeat its lines here; links are made distinct before they are used.
+    return materialise(found.select("h1", "first", _letters(norm).alias("letters")), "line-texts")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(first_a, first_b) of the pairs whose words are similar."""
+    a, b = (texts.select(F.col("h1").alias(x), F.col("first").alias(f"first_{x}"), F.col("letters").alias(f"letters_{x}")) for x in "ab")
+    allowed = f"cast(floor(greatest(length(letters_a), length(letters_b)) * {1 - similarity!r} + 1e-9) as int)"
+    close = pairs.join(a, "a").join(b, "b").filter(F.expr(f"abs(length(letters_a) - length(letters_b)) <= {allowed}"))
+    return close.filter(F.expr(f"levenshtein(letters_a, letters_b, {allowed}) >= 0")).select("first_a", "first_b")
+
+
+def duplicate_lines(docs: DataFrame, text: str = "text", min_words: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 64) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines to remove from each document that loses any."""
     found = materialise(lines(docs, text, min_words), "lines")
     classes = materialise(
         found.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.max("sim").alias("sim")), "line-classes"
     )
-    pairs = materialise(candidates(classes, max_bits), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("h1")).union(pairs.select(F.col("b").alias("h1"))).distinct()
-    places = materialise(classes.join(wanted, "h1").select("h1", "first", "first.doc_id", "first.dk", "first.pos"), "line-places")
-    d_id, d_text, d_dk = fresh(places, "d_id", "d_text", "d_dk")
-    source = docs.select(F.col("doc_id").alias(d_id), F.col(text).alias(d_text)).filter(F.col(d_text).isNotNull()).withColumn(d_dk, F.xxhash64(d_text))
-    # Repeated rows of a document would repeat its lines; the links are made distinct below.
-    texts = source.join(small_side(places), F.col("doc_id").eqNullSafe(F.col(d_id)) & (F.col("dk") == F.col(d_dk))).select(
-        "h1", "first", normalised(F.element_at(F.split(d_text, "\n"), F.col("pos") + 1)).alias("norm")
-    )
-    texts = materialise(texts, "line-texts")
-    a, b = (texts.select(F.col("h1").alias(x), F.col("first").alias(f"first_{x}"), F.col("norm").alias(f"norm_{x}")) for x in "ab")
-    longer = F.greatest(F.length("norm_a"), F.length("norm_b"))
-    allowed = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-    close = pairs.join(a, "a").join(b, "b").filter(F.abs(F.length("norm_a") - F.length("norm_b")) <= allowed)
-    linked = close.select("first_a", "first_b", F.expr("levenshtein(norm_a, norm_b, cast(floor(greatest(length(norm_a), length(norm_b)) * " + repr(1 - similarity) + " + 1e-9) as int))").alias("d")).filter("d >= 0")
-    roots = components(linked.select("first_a", "first_b"))
+    keys = materialise(shared_keys(classes, max_bits), "line-keys")
+    few, many = keys.filter(F.col("n") <= crowd), keys.filter(F.col("n") > crowd)
+    centres = many.groupBy("key").agg(F.min(F.struct("h1", "sim")).alias("c")).select("key", F.col("c.h1").alias("a"), F.col("c.sim").alias("sim_a"))
+    pairs = _near(_side(few, "a"), _side(few, "b"), max_bits).unionByName(_near(centres, _side(many, "b"), max_bits)).distinct()
+    pairs = materialise(pairs, "line-pairs")
+    wanted = pairs.select(F.explode_outer(F.array("a", "b")).alias("h1")).unionByName(many.select("h1"))
+    texts = _texts(docs, text, classes, wanted)
+    links = _verified(pairs, texts, similarity)
+    if many.head(1):
+        links = materialise(links.distinct(), "line-links")
+        groups = texts.join(components(links), F.col("first") == F.col("node"), "left").select("h1", F.coalesce("root", "first").alias("group"))
+        grouped = materialise(many.join(groups.groupBy("h1").agg(F.min("group").alias("group")), "h1"), "line-groups")
+        between = _near(_side(grouped, "a"), _side(grouped, "b"), max_bits, F.col("group_a") != F.col("group_b")).distinct()
+        links = links.unionByName(_verified(materialise(between, "line-pairs"), texts, similarity))
+    roots = components(links)
     named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", "copies", "first", F.coalesce("root", "first").alias("root"))
     dirty = named.filter((F.col("copies") > 1) | (F.col("root") != F.col("first"))).select("h1", "h2", "root")
     gone = found.select("doc_id", "dk", "pos", "h1", "h2").join(dirty, ["h1", "h2"]).filter(_place() != F.col("root"))
@@ -140,8 +184,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_words: int = 5, max_bit
     gone = materialise(gone, "line-removals")
     joined = docs.join(small_side(gone), F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.xxhash64(text) == F.col(g_dk)), "left")
     parts = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(g_pos))
-    changed = F.when(F.col(g_pos).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+
+    def rest(p: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.col(g_pos))
+        return F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n")
+
+    changed = F.when(F.col(g_pos).isNull(), F.col(text)).otherwise(let(parts, rest))
     out = joined.withColumn(text, changed)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
