@@ -150,6 +150,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return close.filter(F.expr(f"levenshtein(letters_a, letters_b, {allowed}) >= 0")).select("first_a", "first_b")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links (first_a, first_b): only their groups are gone through again."""
+    a, b = (roots.select(F.col("node").alias(f"first_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
+    tied = links.join(a, "first_a", "left").join(b, "first_b", "left").select(F.coalesce("root_a", "first_a").alias("a"), F.coalesce("root_b", "first_b").alias("b"))
+    again = materialise(components(tied).select(F.col("node").alias("group"), F.col("root").alias("new_root")), "line-groups")
+    known = roots.join(again, F.col("root") == F.col("group"), "left").select("node", F.coalesce("new_root", "root").alias("root"))
+    alone = again.join(roots, F.col("group") == F.col("node"), "left_anti").select(F.col("group").alias("node"), F.col("new_root").alias("root"))
+    return known.unionByName(alone)
+
+
 def duplicate_lines(docs: DataFrame, text: str = "text", min_words: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 64) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines to remove from each document that loses any."""
     found = materialise(lines(docs, text, min_words), "lines")
@@ -163,14 +173,14 @@ def duplicate_lines(docs: DataFrame, text: str = "text", min_words: int = 5, max
     pairs = materialise(pairs, "line-pairs")
     wanted = pairs.select(F.explode_outer(F.array("a", "b")).alias("h1")).unionByName(many.select("h1"))
     texts = _texts(docs, text, classes, wanted)
-    links = _verified(pairs, texts, similarity)
+    roots = components(_verified(pairs, texts, similarity))
     if many.head(1):
-        links = materialise(links.distinct(), "line-links")
-        groups = texts.join(components(links), F.col("first") == F.col("node"), "left").select("h1", F.coalesce("root", "first").alias("group"))
-        grouped = materialise(many.join(groups.groupBy("h1").agg(F.min("group").alias("group")), "h1"), "line-groups")
+        roots = materialise(roots, "line-groups")
+        groups = texts.select("h1", "first").distinct().join(roots, F.col("first") == F.col("node"), "left").select("h1", "first", F.coalesce("root", "first").alias("group"))
+        grouped = materialise(many.join(groups.groupBy("h1").agg(F.min("group").alias("group")), "h1"), "line-crowds")
         between = _near(_side(grouped, "a"), _side(grouped, "b"), max_bits, F.col("group_a") != F.col("group_b")).distinct()
-        links = links.unionByName(_verified(materialise(between, "line-pairs"), texts, similarity))
-    roots = components(links)
+        more = _verified(materialise(between, "line-pairs"), texts, similarity)
+        roots = _joined(roots, more)
     named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", "copies", "first", F.coalesce("root", "first").alias("root"))
     dirty = named.filter((F.col("copies") > 1) | (F.col("root") != F.col("first"))).select("h1", "h2", "root")
     gone = found.select("doc_id", "dk", "pos", "h1", "h2").join(dirty, ["h1", "h2"]).filter(_place() != F.col("root"))
