@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,13 +57,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-#: A side of at most this many rows is broadcast; beyond, Spark joins by shuffle.
+#: A side of at most this many rows, and values where rows hold arrays, is broadcast; beyond, Spark
+#: joins by shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_VALUES = 2_000_000
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (written already, so that counting is cheap) marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_side(df: DataFrame, values: str | None = None) -> DataFrame:
+    """df (written already, so that counting is cheap) marked for broadcast if it is small. values: the
+    column of arrays, if it has one, whose elements are counted too."""
+    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few and values:
+        few = (df.agg(F.sum(F.size(values))).first()[0] or 0) <= BROADCAST_VALUES
+    return F.broadcast(df) if few else df

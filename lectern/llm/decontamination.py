@@ -95,10 +95,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", masks: t
     per_doc = materialise(
         diagonals.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("item", "diagonal")).alias("met")).toDF("m_id", "m_dk", "met"), "met"
     )
-    again = source.join(small_side(per_doc), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("dk") == F.col("m_dk")))
+    again = source.join(small_side(per_doc, "met"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("dk") == F.col("m_dk")))
     again = again.select("doc_id", "dk", "met", word_hashes(F.col("text")).alias("words"))
     aligned = again.select("doc_id", "dk", "words", F.explode("met").alias("m")).select("doc_id", "dk", "words", "m.item", "m.diagonal")
-    aligned = aligned.join(small_side(items.withColumnRenamed("words", "own")), "item")
+    aligned = aligned.join(small_side(items.withColumnRenamed("words", "own"), "own"), "item")
     start = F.greatest(F.lit(0), F.col("diagonal"))
     size = F.least(F.size("words"), F.col("diagonal") + F.size("own")) - start
     same = F.zip_with(F.slice("words", start + 1, size), F.slice("own", start - F.col("diagonal") + 1, size), lambda a, b: a == b)

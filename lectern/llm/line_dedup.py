@@ -192,7 +192,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_words: int = 5, max_bit
     g_id, g_dk, g_pos = fresh(docs, "g_id", "g_dk", "g_pos")
     gone = duplicate_lines(docs, text, min_words, max_bits, similarity).toDF(g_id, g_dk, g_pos)
     gone = materialise(gone, "line-removals")
-    joined = docs.join(small_side(gone), F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.xxhash64(text) == F.col(g_dk)), "left")
+    joined = docs.join(small_side(gone, g_pos), F.col("doc_id").eqNullSafe(F.col(g_id)) & (F.xxhash64(text) == F.col(g_dk)), "left")
     parts = F.split(text, "\n")
 
     def rest(p: Column) -> Column:
