@@ -1,15 +1,20 @@
-"""Fuzzy line de-duplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line de-duplication: shingles, SimHash, edit similarity, connected groups.
 
 A line is normalised (lower case, runs of anything but letters, marks and digits become one space).
 Lines of at least ``min_words`` words take part. Equal normalised lines form a class. Classes link if
-their SimHashes (64 bits over the words) differ in at most ``max_bits`` bits and their words have an edit
-similarity (1 - distance / longer length, in words) of at least ``similarity``; for that, each word is
-one letter of 15 bits of its hash. Of each connected group the first line, by document, then by position, stays; all others are removed.
-
-Pigeonhole: the 64 bits are max_bits + 2 blocks; two hashes within max_bits agree on at least two
-blocks, so classes meet on the pairs of blocks (32 bits for the default). The Hamming condition is
-part of that join, so only true candidates leave it. Blocks with more than ``crowd`` classes are first
-linked to one of their own; what that leaves in different groups is then joined as before, so no link
+their words have an edit similarity (1 - distance / longer length, in words) of at least ``similarity``;
+for that, each word is one letter of 15 bits of its hash. Of each connected group the first line, by
+document, then by position, stays; all others are removed.
+
+Candidates: n words with at most 0.2 n edits keep a run of at least ceil(0.8 n / (0.2 n + 1)) words, which
+is two words for a line of five and three or more for all longer ones. So classes meet on shingles of three
+words, those of five words also on two: on the ``shingles`` with the least hashes, which are all shingles
+of a line of up to shingles + 2 words. Of longer lines, pairs share at least a quarter of their shingles,
+and miss each other with a chance of at most 0.75 ** shingles (0.03), less for edits that stand together.
+Pigeonhole: besides, the 64 bits of the SimHash over the words are max_bits + 2 blocks, and classes within
+max_bits bits agree on two of them and meet there. Lengths that rule the similarity out, and SimHashes
+that differ in more than ``gate_bits`` bits (at similarity 0.8 about 12 differ, 32 between unlike lines),
+are dropped within the join. Keys with more than ``crowd`` classes are first linked to one of their own; what that leaves in different groups is then joined as before, so no link
 between groups is lost, and a crowd of near copies does not yield all its pairs.
 
 Texts never pass a shuffle of their own: what is shuffled are hashes and places of lines. Texts of
@@ -35,6 +40,7 @@ from .components import components
 
 _CHUNK = 127  # words whose votes fit a counter of eight bits, the highest of which shares the sign
 _LANES = 0x0101010101010101
+_SHORT = 5  # words up to which one edit can leave no three words in a row
 
 
 def normalised(line: Column) -> Column:
@@ -73,8 +79,21 @@ def _simhash(lanes: list[str], n: Column) -> Column:
     return F.when(n <= _CHUNK, out).otherwise(long)
 
 
-def lines(docs: DataFrame, text: str = "text", min_words: int = 5) -> DataFrame:
-    """One row per line that takes part: doc_id, dk (hash of the text), pos, h1, h2, n, sim."""
+def _shingles(hashes: Column, most: int) -> Column:
+    """The least hashes of shingles of three words, at most so many; of a short line, all of two as well."""
+
+    def grams(size: int) -> Column:
+        def gram(i: Column) -> Column:
+            return F.xxhash64(F.lit(size), *(F.get(hashes, i + k) for k in range(size)))
+
+        return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), gram)).otherwise(F.array().cast("array<bigint>"))
+
+    least = F.slice(F.sort_array(F.array_distinct(grams(3))), 1, most)
+    return F.when(F.size(hashes) <= _SHORT, F.array_distinct(F.concat(grams(3), grams(2)))).otherwise(least)
+
+
+def lines(docs: DataFrame, text: str = "text", min_words: int = 5, shingles: int = 12) -> DataFrame:
+    """One row per line that takes part: doc_id, dk (hash of the text), pos, h1, h2, n, met (shingles), sim."""
     norms = docs.select("doc_id", F.col(text).alias("text")).filter("text is not null").select(
         "doc_id", F.xxhash64("text").alias("dk"), 
         # Not posexplode: Spark would filter its empty arrays, and make every array twice for that.
@@ -86,8 +105,8 @@ def lines(docs: DataFrame, text: str = "text", min_words: int = 5) -> DataFrame:
         F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hs"),
     )
     lanes = [f"l{j}" for j in range(8)]
-    summed = hashed.select("doc_id", "dk", "pos", "h1", "h2", F.size("hs").alias("n"), *(_lane(F.col("hs"), j).alias(lane) for j, lane in enumerate(lanes)))
-    return summed.select("doc_id", "dk", "pos", "h1", "h2", "n", _simhash(lanes, F.col("n")).alias("sim"))
+    summed = hashed.select("doc_id", "dk", "pos", "h1", "h2", F.size("hs").alias("n"), _shingles(F.col("hs"), shingles).alias("met"), *(_lane(F.col("hs"), j).alias(lane) for j, lane in enumerate(lanes)))
+    return summed.select("doc_id", "dk", "pos", "h1", "h2", "n", "met", _simhash(lanes, F.col("n")).alias("sim"))
 
 
 def _keys(sim: Column, max_bits: int) -> Column:
@@ -105,20 +124,22 @@ def _differ(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _near(a: DataFrame, b: DataFrame, max_bits: int, also: Column | None = None) -> DataFrame:
-    """(a, b) of the rows that share a key and differ in at most max_bits bits."""
-    near = (F.col("a") < F.col("b")) & (_differ("sim_a", "sim_b") <= max_bits)
+def _near(a: DataFrame, b: DataFrame, gate_bits: int, similarity: float, also: Column | None = None) -> DataFrame:
+    """(a, b) of the rows that share a key, differ in at most gate_bits bits and can be similar by their words' numbers."""
+    near = (F.col("a") < F.col("b")) & (_differ("sim_a", "sim_b") <= gate_bits)
+    near = near & (F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * similarity - 1e-9)
     return a.join(b, "key").filter(near if also is None else near & also).select("a", "b")
 
 
 def shared_keys(classes: DataFrame, max_bits: int) -> DataFrame:
-    """(key, h1, sim, n) of the keys that n > 1 classes share."""
-    met = classes.select("h1", "sim", F.explode_outer(_keys(F.col("sim"), max_bits)).alias("key"))
-    return met.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    """(h1, key, n, sim, words) of the keys that n > 1 classes share."""
+    met = classes.select("h1", F.explode_outer(F.concat(_keys(F.col("sim"), max_bits), "met")).alias("key"))
+    shared = met.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    return shared.join(classes.select("h1", "sim", "words"), "h1")
 
 
 def _side(keys: DataFrame, x: str) -> DataFrame:
-    return keys.select("key", F.col("h1").alias(x), F.col("sim").alias(f"sim_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in keys.columns if c == "group"))
+    return keys.select("key", F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("sim", "words", "group")))
 
 
 def _place() -> Column:
@@ -131,6 +152,10 @@ def _letters(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode_outer(F.array("a", "b")).alias("h1"))
+
+
 def _texts(docs: DataFrame, text: str, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h1, first, letters) of the classes that are wanted (h1)."""
     places = materialise(classes.join(wanted.distinct(), "h1").select("h1", "first", "first.doc_id", "first.dk", "first.pos"), "line-places")
@@ -160,26 +185,29 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return known.unionByName(alone)
 
 
-def duplicate_lines(docs: DataFrame, text: str = "text", min_words: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 64) -> DataFrame:
+def duplicate_lines(
+    docs: DataFrame, text: str = "text", min_words: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 64, shingles: int = 12, gate_bits: int = 24
+) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines to remove from each document that loses any."""
-    found = materialise(lines(docs, text, min_words), "lines")
+    found = materialise(lines(docs, text, min_words, shingles), "lines")
     classes = materialise(
-        found.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.max("sim").alias("sim")), "line-classes"
+        found.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.max("sim").alias("sim"), F.max("n").alias("words"), F.max("met").alias("met")),
+        "line-classes",
     )
     keys = materialise(shared_keys(classes, max_bits), "line-keys")
     few, many = keys.filter(F.col("n") <= crowd), keys.filter(F.col("n") > crowd)
-    centres = many.groupBy("key").agg(F.min(F.struct("h1", "sim")).alias("c")).select("key", F.col("c.h1").alias("a"), F.col("c.sim").alias("sim_a"))
-    pairs = _near(_side(few, "a"), _side(few, "b"), max_bits).unionByName(_near(centres, _side(many, "b"), max_bits)).distinct()
+    centres = many.groupBy("key").agg(F.min(F.struct("h1", "sim", "words")).alias("c")).select("key", "c.*")
+    pairs = _near(_side(few, "a"), _side(few, "b"), gate_bits, similarity).unionByName(_near(_side(centres, "a"), _side(many, "b"), gate_bits, similarity)).distinct()
     pairs = materialise(pairs, "line-pairs")
-    wanted = pairs.select(F.explode_outer(F.array("a", "b")).alias("h1")).unionByName(many.select("h1"))
-    texts = _texts(docs, text, classes, wanted)
-    roots = components(_verified(pairs, texts, similarity))
+    roots = components(_verified(pairs, _texts(docs, text, classes, _members(pairs)), similarity))
     if many.head(1):
         roots = materialise(roots, "line-groups")
-        groups = texts.select("h1", "first").distinct().join(roots, F.col("first") == F.col("node"), "left").select("h1", "first", F.coalesce("root", "first").alias("group"))
+        crowded = classes.select("h1", "first").join(many.select("h1").distinct(), "h1")
+        groups = crowded.join(roots, F.col("first") == F.col("node"), "left").select("h1", F.coalesce("root", "first").alias("group"))
         grouped = materialise(many.join(groups.groupBy("h1").agg(F.min("group").alias("group")), "h1"), "line-crowds")
-        between = _near(_side(grouped, "a"), _side(grouped, "b"), max_bits, F.col("group_a") != F.col("group_b")).distinct()
-        more = _verified(materialise(between, "line-pairs"), texts, similarity)
+        between = _near(_side(grouped, "a"), _side(grouped, "b"), gate_bits, similarity, F.col("group_a") != F.col("group_b")).distinct()
+        between = materialise(between, "line-pairs")
+        more = _verified(between, _texts(docs, text, classes, _members(between)), similarity)
         roots = _joined(roots, more)
     named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", "copies", "first", F.coalesce("root", "first").alias("root"))
     dirty = named.filter((F.col("copies") > 1) | (F.col("root") != F.col("first"))).select("h1", "h2", "root")
