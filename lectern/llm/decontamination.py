@@ -6,11 +6,13 @@ copied passage. All windows of all documents are hashed under every mask; a bitm
 the benchmark's hashes, used as a scalar subquery, drops nearly all windows within the scan, and only
 the rest joins the benchmark's windows. Hits on one diagonal (document position less item position)
 are verified once: on that diagonal the stretch with the highest score (1 for an equal word,
--``penalty`` for a substituted one) is the overlap. A document is contaminated by an item if the
-overlap has at least ``min_words`` equal words; a penalty of 4 asks for a similarity of 0.8.
+-``penalty`` for a substituted one; of equal scores the longer) is the overlap, or the whole aligned item
+if that has more equal words and they are at least ``whole`` of the item's. A document is contaminated by
+an item if the overlap has at least ``min_words`` equal words or is such a whole item; a penalty of 4 asks
+for a similarity of 0.8.
 
 Benchmark items with equal words are one item, the smallest item_id. Items shorter than the shortest
-mask take no part; those shorter than ``min_words`` must be found whole.
+mask take no part; those shorter than ``min_words`` must be found whole, or to the share ``whole``.
 
 Defined cases: null texts count as empty and are never contaminated; rows that share doc_id and text
 count as one document; null doc_ids can be contaminated; empty tables give an empty result; other
@@ -70,7 +72,7 @@ def benchmark_items(benchmark: DataFrame, text: str = "text") -> DataFrame:
     return words.groupBy("words").agg(F.min("item_id").alias("item")).select("item", "words")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = 10, penalty: int = 4) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", masks: tuple[str, ...] = MASKS, min_words: int = 10, penalty: int = 4, whole: float = 0.8) -> DataFrame:
     """One row per contaminated document and item: doc_id, dk (hash of the text), item_id, and of their
     best overlap doc_start, item_start and n_words in words, matched (equal words), coverage of the item."""
     items = materialise(benchmark_items(benchmark), "items")
@@ -103,12 +105,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", masks: t
     size = F.least(F.size("words"), F.col("diagonal") + F.size("own")) - start
     same = F.zip_with(F.slice("words", start + 1, size), F.slice("own", start - F.col("diagonal") + 1, size), lambda a, b: a == b)
     found = aligned.select("doc_id", "dk", "item", "diagonal", start.alias("start"), F.size("own").alias("item_words"), same.alias("same"))
-    scored = found.withColumn("best", _best_stretch("same", penalty)).select(
+    judged = found.withColumn("best", _best_stretch("same", penalty)).withColumn("equal", F.size(F.filter("same", lambda x: x)))
+    entire = F.col("equal") >= F.col("item_words") * whole - 1e-9
+    # The whole aligned item, where it holds more than its best stretch does.
+    all_of_it = F.struct(F.lit(0).alias("first"), F.size("same").alias("last"), F.col("equal").alias("matched"))
+    judged = judged.withColumn("entire", entire).withColumn("best", F.when(entire & (F.col("equal") > F.col("best.matched")), all_of_it).otherwise(F.col("best")))
+    scored = judged.select(
+        "entire",
         "doc_id", "dk", "item", "item_words", (F.col("start") + F.col("best.first")).alias("doc_start"),
         (F.col("start") + F.col("best.first") - F.col("diagonal")).alias("item_start"), (F.col("best.last") - F.col("best.first")).alias("n_words"),
         F.col("best.matched").alias("matched"),
     )
-    leaked = scored.filter(F.col("matched") >= F.least(F.lit(min_words), F.col("item_words")))
+    leaked = scored.filter(F.col("entire") | (F.col("matched") >= F.least(F.lit(min_words), F.col("item_words"))))
     order = F.struct("matched", -F.col("n_words"), -F.col("doc_start"), -F.col("item_start"))
     best = leaked.groupBy("doc_id", "dk", F.col("item").alias("item_id")).agg(
         *(F.max_by(c, order).alias(c) for c in ("doc_start", "item_start", "n_words", "matched", "item_words"))
@@ -120,11 +128,12 @@ def _best_stretch(same: str, penalty: int) -> Column:
     """The stretch of the array of booleans with the highest score: first, last (exclusive), matched."""
     zero = "named_struct('i', 0, 'score', 0, 'since', 0, 'hits', 0, 'top', 0, 'first', 0, 'last', 0, 'matched', 0)"
     gain = f"if(x, 1, -{penalty})"
-    begin = "a.score <= 0"
+    begin = "a.score < 0"
     score = f"if({begin}, 0, a.score) + {gain}"
     since = f"if({begin}, a.i, a.since)"
     hits = f"if({begin}, 0, a.hits) + if(x, 1, 0)"
-    better = f"{score} > a.top"
+    longer = f"{score} = a.top and {score} > 0 and a.i + 1 - {since} > a.last - a.first"
+    better = f"({score} > a.top or ({longer}))"
     step = (
         f"named_struct('i', a.i + 1, 'score', {score}, 'since', {since}, 'hits', {hits}, 'top', greatest(a.top, {score}), "
         f"'first', if({better}, {since}, a.first), 'last', if({better}, a.i + 1, a.last), 'matched', if({better}, {hits}, a.matched))"
