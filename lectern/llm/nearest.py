@@ -9,11 +9,15 @@ quantile of ``confidence``: a nearer point would have been met before with that
 Largest inner product is nearest Euclidean neighbour after one more coordinate is added, the root of
 M^2 - |x|^2 for points (M: the largest norm) and 0 for queries.
 
-Projected space is cut by a kd-tree, made from a sample of at most ``sample`` vectors, into at most
-``max_regions`` regions of about ``region_size`` points; every vector is indexed in its region, under
-a kd-tree of leaves. Queries search their home region first; the bound found there tells which other
-regions the stopping test still admits. Equal vectors are one point that keeps its k + 1 smallest
-ids, so copies, however many, neither overfill a region nor multiply work.
+Projected space is cut by a kd-tree, made from a sample of projections (16 for each region, at least
+``sample`` and at most 2 ** 20), into at most ``max_regions`` regions of about ``region_size`` points; every
+vector is indexed in its region, under a kd-tree of leaves. A region's points beyond region_size go to
+further tasks, and so do its queries beyond ``block_rows``, so no task grows with the table or with a region
+that all queries reach. Queries search their home region first; the bound found there tells which other
+regions the stopping test still admits. Within a region, a block of queries goes through the leaves from
+the nearest on; a leaf's points are compared with all queries of the block that it is still open to in one
+product. Equal vectors are one point that keeps its k + 1 smallest ids, so copies, however many, neither
+overfill a region nor multiply work.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or differ from the
 commonest length take no part; so do null ids; repeated ids count as one; ties go to the smaller id;
@@ -32,8 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-_LEAF = 64
-_STEP = 16  # leaves between two stopping tests
+_LEAF = 512
+_BLOCK = 128  # queries that go through the leaves together
+_MOST_SAMPLED = 1 << 20  # projections of m numbers each
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -94,36 +99,50 @@ def _unpack(blobs, width: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind).reshape(-1, width)
 
 
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best: largest score, then smallest id."""
+    order = np.lexsort((ids, -score, query))
+    q = query[order]
+    return order[np.arange(len(q)) - np.searchsorted(q, q, "left") < k]
+
+
 def search(ids: np.ndarray, x: np.ndarray, p: np.ndarray, queries: np.ndarray, pq: np.ndarray, bound: np.ndarray, base: np.ndarray, k: int, q: float):
-    """For each query the k best of the points (largest inner product, then smallest id) that the test
-    admits. bound: squared distances that a point must beat; base: squared distance is base - 2 x.q."""
+    """The k best points of each query (largest inner product, then smallest id) that the test admits, as
+    arrays (query, id, score). bound: squared distances that a point must beat; base: squared distance is
+    base - 2 x.q."""
     leaves = _leaves(p)
     low, high = np.array([p[r].min(axis=0) for r in leaves]), np.array([p[r].max(axis=0) for r in leaves])
-    for i in range(len(queries)):
-        away = np.maximum(np.maximum(low - pq[i], pq[i] - high), 0)
-        away = (away * away).sum(axis=1)
-        order = np.argsort(away, kind="stable")
-        limit, best_id, best = bound[i], np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), _STEP):
-            if away[order[at]] > q * limit:
-                break
-            rows = np.concatenate([leaves[j] for j in order[at: at + _STEP]])
-            if limit < np.inf:
-                d = p[rows] - pq[i]
-                rows = rows[(d * d).sum(axis=1) <= q * limit]
-            if not len(rows):
+    out = []
+    for at in range(0, len(queries), _BLOCK):
+        own, near = queries[at:at + _BLOCK], pq[at:at + _BLOCK]
+        away = np.maximum(np.maximum(low[None] - near[:, None], near[:, None] - high[None]), 0)
+        away = np.einsum("qlm,qlm->ql", away, away)
+        limit, top = bound[at:at + _BLOCK].copy(), np.full((len(own), k), -np.inf)
+        found = []
+        for leaf in np.argsort(away.min(axis=0), kind="stable"):
+            open_to = np.flatnonzero(away[:, leaf] <= q * limit)
+            if not len(open_to):
                 continue
-            best_id, best = np.concatenate([best_id, ids[rows]]), np.concatenate([best, x[rows] @ queries[i]])
-            if len(best) > k:
-                top = np.lexsort((best_id, -best))[:k]
-                best_id, best = best_id[top], best[top]
-            if len(best) == k:
-                limit = min(limit, max(0.0, base[i] - 2 * best.min()) * (1 + 1e-9) + 1e-12)
-        yield i, best_id, best
+            rows = leaves[leaf]
+            score = own[open_to] @ x[rows].T
+            d = near[open_to, None] - p[rows][None]
+            score[np.einsum("qlm,qlm->ql", d, d) > q * limit[open_to, None]] = -np.inf
+            both = np.hstack([top[open_to], score])
+            top[open_to] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k:]
+            least = top[open_to].min(axis=1)
+            i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            found.append((open_to[i] + at, ids[rows[j]], score[i, j]))
+            beaten = np.where(least > -np.inf, np.maximum(0.0, base[at + open_to] - 2 * least) * (1 + 1e-9) + 1e-12, np.inf)
+            limit[open_to] = np.minimum(limit[open_to], beaten)
+        if found:
+            block = [np.concatenate(c) for c in zip(*found)]
+            kept = _best(*block, k)
+            out.append([c[kept] for c in block])
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
 def nearest(vectors: DataFrame, query_ids, k: int = 20, m: int = 8, confidence: float = 0.97, region_size: int = 16_384, max_regions: int = 65_536,
-            sample: int = 20_000, seed: int = 11) -> DataFrame:
+            sample: int = 20_000, block_rows: int = 2_000, seed: int = 11) -> DataFrame:
     """vectors: (vec_id, embedding); query_ids: a condition on vec_id. Returns (query_id, rank, vec_id,
     score): the k rows found with the largest inner product with each query, without itself."""
     spark = vectors.sparkSession
@@ -152,8 +171,14 @@ def nearest(vectors: DataFrame, query_ids, k: int = 20, m: int = 8, confidence:
     def extended(x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(0, norm * norm - (x * x).sum(axis=1)))[:, None]])
 
-    picked = classes.select("v").orderBy(F.xxhash64("cid")).limit(sample).toArrow() if depth else None
-    cuts = Cuts(extended(np.asarray(picked.column(0).combine_chunks().flatten()).reshape(-1, width)) @ directions if depth else np.zeros((0, m)), depth)
+    def projected(batches):
+        for b in batches:
+            x = np.asarray(b.column(0).flatten(), np.float64).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in extended(x) @ directions], pa.binary())], ["p"])
+
+    wanted_rows = min(_MOST_SAMPLED, max(sample, 16 * 2**depth))
+    picked = classes.filter(F.pmod(F.xxhash64("cid"), F.lit(max(1, n // wanted_rows))) == 0).select("v")
+    cuts = Cuts(_unpack((r["p"] for r in picked.mapInArrow(projected, "p binary").toLocalIterator()) if depth else (), m, "f8"), depth)
 
     def place(as_query: bool):
         def run(batches):
@@ -175,34 +200,41 @@ def nearest(vectors: DataFrame, query_ids, k: int = 20, m: int = 8, confidence:
     keep = k + 1
 
     def in_region(own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        rows: list[pd.DataFrame] = [pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
-        if len(own) and len(ask):
-            x, p = _unpack(own["x"], width, "f8"), _unpack(own["p"], m, "f8")
-            qx, qp = _unpack(ask["x"], width, "f8"), _unpack(ask["p"], m, "f8")
-            base = norm * norm + (qx * qx).sum(axis=1)
-            qids = ask["cid"].to_numpy()
-            for i, ids, score in search(own["cid"].to_numpy(), x, p, qx, qp, ask["bound"].to_numpy(), base, keep, q):
-                rows.append(pd.DataFrame({"qid": qids[i], "cid": ids, "score": score}))
-        return pd.concat(rows, ignore_index=True)
-
-    # Queries of a region go in blocks, each with its own copy of the region: no task grows with the queries.
+        if not len(own) or not len(ask):
+            return pd.DataFrame({"qid": pd.Series(dtype="int64"), "cid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        qx = _unpack(ask["x"], width, "f8")
+        base = norm * norm + (qx * qx).sum(axis=1)
+        i, ids, score = search(
+            own["cid"].to_numpy(), _unpack(own["x"], width, "f8"), _unpack(own["p"], m, "f8"), qx, _unpack(ask["p"], m, "f8"), ask["bound"].to_numpy(), base, keep, q
+        )
+        return pd.DataFrame({"qid": ask["cid"].to_numpy()[i], "cid": ids, "score": score})
+
+    # At most max_regions rows, here and in searched().
+    boxes = index.mapInArrow(_boxes(m), "region long, n long, low array<double>, high array<double>").groupBy("region").agg(
+        F.sum("n").alias("n"), *(F.min(F.col("low")[j]).alias(f"low{j}") for j in range(m)), *(F.max(F.col("high")[j]).alias(f"high{j}") for j in range(m))
+    ).toPandas()
+    chunks = dict(zip(boxes["region"].tolist(), (-(-boxes["n"] // region_size)).tolist()))
+
+    # A region's points go in chunks, its queries in parts, and every chunk meets every part in a task of its own.
     def searched(asks: DataFrame) -> DataFrame:
-        blocked = asks.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(parts)).cast("int"))
-        spread = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        return spread.groupBy("region", "part").cogroup(blocked.groupBy("region", "part")).applyInPandas(in_region, found_schema)
+        parts = {r["region"]: -(-r["n"] // block_rows) for r in asks.groupBy("region").agg(F.count("*").alias("n")).collect()}
+        plan = F.broadcast(spark.createDataFrame([(r, chunks[r], parts[r]) for r in parts if r in chunks], "region long, chunks int, parts int"))
+
+        def own(side: DataFrame, mine: str, other: str, name: str, others: str) -> DataFrame:
+            dealt = side.join(plan, "region").withColumn(name, F.pmod(F.xxhash64("cid"), F.col(mine)).cast("int"))
+            return dealt.withColumn(others, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("chunks", "parts")
+
+        key = ["region", "chunk", "part"]
+        return own(index, "chunks", "parts", "chunk", "part").groupBy(*key).cogroup(own(asks, "parts", "chunks", "part", "chunk").groupBy(*key)).applyInPandas(in_region, found_schema)
 
-    n_queries = home.count()
-    parts = max(1, min(64, math.ceil(n_queries / 2**depth / 2000)))
     first = materialise(searched(home), "first")
     result = first
     if depth:
-        unpacked = index.mapInArrow(_boxes(m), "region long, low array<double>, high array<double>")
-        boxes = unpacked.groupBy("region").agg(
-            *(F.min(F.col("low")[j]).alias(f"low{j}") for j in range(m)), *(F.max(F.col("high")[j]).alias(f"high{j}") for j in range(m))
-        ).toPandas()  # at most max_regions rows
         regions = boxes["region"].to_numpy()
         low, high = (boxes[[f"{s}{j}" for j in range(m)]].to_numpy() for s in ("low", "high"))
-        reached = first.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        top_first = Window.partitionBy("qid").orderBy(F.desc("score"))
+        best_first = first.withColumn("r", F.row_number().over(top_first)).filter(F.col("r") <= keep)
+        reached = best_first.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least"))
         ask = home.join(reached, F.col("cid") == F.col("qid"), "left").select("cid", "region", "x", "p", F.when(F.col("n") >= keep, F.col("least")).alias("least"))
 
         def further(batches):
@@ -243,8 +275,8 @@ def _boxes(m: int):
             p, region = _unpack(b.column(3).to_pylist(), m, "f8"), b.column(1).to_numpy()
             seen = np.unique(region)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seen), pa.array([p[region == r].min(axis=0).tolist() for r in seen], pa.list_(pa.float64())),
-                 pa.array([p[region == r].max(axis=0).tolist() for r in seen], pa.list_(pa.float64()))], ["region", "low", "high"]
+                [pa.array(seen), pa.array([int((region == r).sum()) for r in seen]), pa.array([p[region == r].min(axis=0).tolist() for r in seen], pa.list_(pa.float64())),
+                 pa.array([p[region == r].max(axis=0).tolist() for r in seen], pa.list_(pa.float64()))], ["region", "n", "low", "high"]
             )
     return run
 
