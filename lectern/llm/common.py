@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -15,19 +16,36 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session does not name one (tests on one machine) a local folder is set.
+    Only a session on one machine (master local) gets a folder of its own where it names none; a cluster
+    without a shared folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lectern-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Bytes of an Arrow batch, where the session keeps Spark's own bound.
+ARROW_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends small batches to Python from now on. Spark's own bound of 64 MB is held
+    several times over (rows, Arrow buffers on both sides, Python objects) by each task."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "67108864", "64MB"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back, which cuts its lineage."""
+    """Write df to the shared folder as Parquet and read it back, which cuts its lineage. All tables of an
+    application lie in one folder of its name, which can go when it has ended."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/lectern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Every step is a pre-aggregated minimum per node and an equi-join, so a node of any degree is
-combined before it is shuffled and Spark may split its side of the join. Edges stay distributed;
-each round is written to the shared folder, which cuts the lineage.
+Every step is a pre-aggregated minimum per node and an equi-join. The minima are written first: few are
+broadcast; else the join reads plain shuffles, of which Spark splits that of a node with many links (one
+that also aggregates, it can't). Edges stay distributed; each round is written to the shared folder, which
+cuts the lineage.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_side
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -18,11 +19,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     smallest neighbour; small star hangs the node and its smaller neighbours on that."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        new = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        new = both.filter("v > u").join(small_side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        near = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+        near = edges.join(small_side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = near.unionByName(least.select("u", F.col("m").alias("v")))
     return new.filter("u > v").distinct()
 

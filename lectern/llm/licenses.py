@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Public statements and notices; callers may pass their own.
 TEMPLATES = {
     "MIT-statement": "Released under the MIT License.",
@@ -184,7 +186,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
             types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "license", "start", "end", "coverage"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, license string, start long, end long, coverage double"
     )
 

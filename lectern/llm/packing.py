@@ -12,8 +12,10 @@ length that a third of all pieces share is numbered by many tasks. Number and pl
 sequence and offset; no group of pieces is ever collected.
 
 Tokenising goes word by word through a bounded memo, which gives the ids of the whole text: the
-tokenizer cuts at white space, and merges within words only. Texts for which that could differ (strings of its special
-tokens, characters whose lower case depends on the library) are encoded whole.
+tokenizer cuts at white space, and merges within words only. That holds for texts of the scripts in
+``_PLAIN``, over all of whose code points a test compares the ids. All other texts, and those with what
+might be a special token, are encoded by the tokenizer itself: libraries know different versions of
+Unicode. Long texts go in segments that end at white space, either way.
 
 Defined cases: a null text counts as empty and gives one piece, the end id; repeated rows are
 packed once each; null doc_ids are kept; an empty table gives an empty result; other columns are
@@ -34,11 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_batches, materialise
 
 CAPACITY = 4096
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 100_000
 _SEGMENT = 1 << 20
+#: ASCII and Latin to Cyrillic, punctuation, kana, Han, Hangul, full width; not: separators that only Python
+#: calls white space, letters whose lower case depends on their place.
+_PLAIN = "\x00-\x1b\x20-\u012f\u0131-\u03a2\u03a4-\u052f\u2000-\u206f\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uffef"
+_OTHER = re.compile(f"[^{_PLAIN}]")
 _CUT = re.compile(r"[ \n\t\r]")
 _MARK = b"\xff"
 
@@ -66,14 +72,16 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]  # all begin with "<|"
+        if not all(t.startswith("<|") for t in special):
+            raise ValueError(f"special tokens that word-wise coding would miss: {special}")
         spec = json.loads(self.whole.to_str())
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
         end = spec["model"]["end_of_word_suffix"]
         byte_of = {c: b for b, c in enumerate(_byte_letters())}
         ranks, self.ids = {}, {}
-        vocabulary = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        vocabulary = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
         for t, i in vocabulary.items():
             marked = t.endswith(end) and t != end
             raw = bytes(byte_of[c] for c in (t.removesuffix(end) if marked else t)) + (_MARK if marked else b"")
@@ -84,9 +92,8 @@ class WordEncoder:
         self.merge = Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     def _odd(self, text: str) -> bool:
-        """Words alone may not tell the ids: special tokens, separators that only Python calls
-        white space, letters whose lower case depends on their place."""
-        return any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1fΣİ")
+        """Words alone may not tell the ids."""
+        return "<|" in text or (not text.isascii() and _OTHER.search(text) is not None) or any(c in text for c in "\x1c\x1d\x1e\x1f")
 
     def _word(self, word: str) -> bytes:
         ids = self.ids
@@ -107,16 +114,18 @@ class WordEncoder:
                     memo[w] = self._word(w)
             return b"".join([memo[w] for w in words])
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
-        if self._odd(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        one = self._whole if self._odd(text) else self._segment
         if len(text) <= _SEGMENT:
-            return self._segment(text)
+            return one(text)
         out, at = [], 0
         while at < len(text):  # bounded memory: long texts go in segments that end at white space
             cut = _CUT.search(text, at + _SEGMENT)
             end = cut.start() if cut else len(text)
-            out.append(self._segment(text[at:end]))
+            out.append(one(text[at:end]))
             at = end
         return b"".join(out)
 
@@ -146,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", capacity: int =
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
 
 
 def _best_pair(free: np.ndarray, gap: int) -> tuple[int, int] | None:

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_batches, materialise
 
-FOLDS = 5
+FOLDS = 4
 BINS = 500
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "longest_word", "distinct_words", "commonest_word", "adjacent_repeats",
@@ -101,7 +101,7 @@ def document_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             x = pa.array([statistics(t.as_py()) for t in b.column(1)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), x], ["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(batches, "doc_id long, stats array<double>")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(batches, "doc_id long, stats array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -125,7 +125,7 @@ def fit(stats: DataFrame, labels: DataFrame, waves: int = 160, ridge: float = 1e
     d = len(STATISTICS)
     per = labels.filter("quality is not null").groupBy(F.col("doc_id").alias("l_id")).agg(F.avg(F.col("quality").cast("double")).alias("y"))
     train = stats.join(per, F.col("doc_id") == F.col("l_id")).filter(~held_out(F.col("doc_id")))
-    train = materialise(train.select("stats", "y", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS).cast("int").alias("fold")), "labelled")
+    train = materialise(train.select("stats", "y", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % (FOLDS + 1) - 1).cast("int").alias("fold")), "labelled")
     rng = np.random.default_rng(seed)
     directions = rng.normal(size=(d, waves)) / np.sqrt(d)
     shift = rng.uniform(0, 2 * np.pi, waves)
@@ -196,7 +196,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: floa
             x = np.array([statistics(t.as_py()) for t in b.column(at)], float).reshape(-1, len(STATISTICS))
             yield b.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return bounded_batches(docs).mapInArrow(batches, docs.schema)
 
 
 def query(spark, sf_dir):
