@@ -41,12 +41,12 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back, which cuts its lineage. All tables of an
     application lie in one folder of its name, which can go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lectern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,11 @@
 """Fuzzy line de-duplication: shingles, SimHash, edit similarity, connected groups.
 
-A line is normalised (lower case, runs of anything but letters, marks and digits become one space).
-Lines of at least ``min_words`` words take part. Equal normalised lines form a class. Classes link if
-their words have an edit similarity (1 - distance / longer length, in words) of at least ``similarity``;
-for that, each word is one letter of 15 bits of its hash. Of each connected group the first line, by
-document, then by position, stays; all others are removed.
+A line is normalised (lower case, runs of anything but letters, marks and digits become one space). Lines
+without any of these take no part. Equal normalised lines form a class, however short. Classes of lines of
+at least ``min_words`` words (shorter ones differ by a fifth or more with one word) also link if their words
+have an edit similarity (1 - distance / longer length, in words) of at least ``similarity``. For that, each
+word is first one letter of 15 bits of its hash; pairs that pass are compared word by word. Of each
+connected group the first line, by document, then by position, stays; all others are removed.
 
 Candidates: n words with at most 0.2 n edits keep a run of at least ceil(0.8 n / (0.2 n + 1)) words, which
 is two words for a line of five and three or more for all longer ones. So classes meet on shingles of three
@@ -17,11 +18,12 @@ that differ in more than ``gate_bits`` bits (at similarity 0.8 about 12 differ,
 are dropped within the join. Keys with more than ``crowd`` classes are first linked to one of their own; what that leaves in different groups is then joined as before, so no link
 between groups is lost, and a crowd of near copies does not yield all its pairs.
 
-Texts never pass a shuffle of their own: what is shuffled are hashes and places of lines. Texts of
-candidates are fetched, and removals applied, by joins on documents that are broadcast only below a
-checked number of rows.
+Lines are normalised once and written. Their shingles and SimHashes are made once for each class, whose
+first text comes along when lines are grouped: later steps fetch texts from the classes and never go back
+to the documents, whose whole texts are never shuffled. Removals are applied by a join that is broadcast
+only below a checked number of rows.
 
-Defined cases: a null text stays null; a text keeps its short lines and its line order; a text all of
+Defined cases: a null text stays null; a text keeps its empty lines and its line order; a text all of
 whose lines go becomes empty; rows that share doc_id and text count as one document and get the same
 text; null doc_ids come first in order; an empty table gives an empty result; other columns are kept,
 and ``n_chars``, if present, is recomputed.
@@ -74,7 +76,7 @@ def _simhash(lanes: list[str], n: Column) -> Column:
         out = out.bitwiseOR(F.shiftleft(low, j)).bitwiseOR(F.shiftleft(top, 56 + j))
     long = F.expr(
         f"""aggregate(sequence(0, 63), 0L, (bits, p) -> bits | shiftleft(if(
-          aggregate(get(array({', '.join(lanes)}), p % 8), 0L, (a, x) -> a + (shiftrightunsigned(x, 8 * cast(floor(p / 8) as int)) & 255)) * 2 > n, 1L, 0L), p))"""
+          aggregate(get(array({', '.join(lanes)}), p % 8), 0L, (a, x) -> a + (shiftrightunsigned(x, 8 * cast(floor(p / 8) as int)) & 255)) * 2 > words, 1L, 0L), p))"""
     )
     return F.when(n <= _CHUNK, out).otherwise(long)
 
@@ -92,21 +94,28 @@ def _shingles(hashes: Column, most: int) -> Column:
     return F.when(F.size(hashes) <= _SHORT, F.array_distinct(F.concat(grams(3), grams(2)))).otherwise(least)
 
 
-def lines(docs: DataFrame, text: str = "text", min_words: int = 5, shingles: int = 12) -> DataFrame:
-    """One row per line that takes part: doc_id, dk (hash of the text), pos, h1, h2, n, met (shingles), sim."""
+def lines(docs: DataFrame, text: str = "text", min_words: int = 5) -> DataFrame:
+    """One row per line that takes part: doc_id, dk (hash of the text), pos, h1, h2, norm (of min_words words at least, else null)."""
     norms = docs.select("doc_id", F.col(text).alias("text")).filter("text is not null").select(
-        "doc_id", F.xxhash64("text").alias("dk"), 
+        "doc_id", F.xxhash64("text").alias("dk"),
         # Not posexplode: Spark would filter its empty arrays, and make every array twice for that.
         F.posexplode_outer(F.transform(F.split("text", "\n"), normalised)).alias("pos", "norm"),
-    )
-    long = norms.filter(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= min_words - 1)
-    hashed = long.select(
-        "doc_id", "dk", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"),
-        F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hs"),
-    )
+    ).filter("norm <> ''")
+    long = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= min_words - 1
+    return norms.select("doc_id", "dk", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), F.when(long, F.col("norm")).alias("norm"))
+
+
+def line_classes(found: DataFrame, shingles: int) -> DataFrame:
+    """(h1, h2, copies, first, norm, words, met, sim) of each class; words, met (shingles) and sim are null where norm is."""
+    per = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "dk", "pos", "norm")).alias("f"), F.count("*").alias("copies"))
+    own = per.select("h1", "h2", "copies", F.struct("f.doc_id", "f.dk", "f.pos").alias("first"), F.col("f.norm").alias("norm"))
+    hashed = own.withColumn("hs", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
     lanes = [f"l{j}" for j in range(8)]
-    summed = hashed.select("doc_id", "dk", "pos", "h1", "h2", F.size("hs").alias("n"), _shingles(F.col("hs"), shingles).alias("met"), *(_lane(F.col("hs"), j).alias(lane) for j, lane in enumerate(lanes)))
-    return summed.select("doc_id", "dk", "pos", "h1", "h2", "n", "met", _simhash(lanes, F.col("n")).alias("sim"))
+    summed = hashed.select(
+        *own.columns, F.when(F.col("norm").isNotNull(), F.size("hs")).alias("words"), F.when(F.col("norm").isNotNull(), _shingles(F.col("hs"), shingles)).alias("met"),
+        *(_lane(F.col("hs"), j).alias(lane) for j, lane in enumerate(lanes)),
+    )
+    return summed.select(*own.columns, "words", "met", F.when(F.col("norm").isNotNull(), _simhash(lanes, F.col("words"))).alias("sim"))
 
 
 def _keys(sim: Column, max_bits: int) -> Column:
@@ -133,7 +142,7 @@ def _near(a: DataFrame, b: DataFrame, gate_bits: int, similarity: float, also: C
 
 def shared_keys(classes: DataFrame, max_bits: int) -> DataFrame:
     """(h1, key, n, sim, words) of the keys that n > 1 classes share."""
-    met = classes.select("h1", F.explode_outer(F.concat(_keys(F.col("sim"), max_bits), "met")).alias("key"))
+    met = classes.filter("words is not null").select("h1", F.explode_outer(F.concat(_keys(F.col("sim"), max_bits), "met")).alias("key"))
     shared = met.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
     return shared.join(classes.select("h1", "sim", "words"), "h1")
 
@@ -156,23 +165,26 @@ def _members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode_outer(F.array("a", "b")).alias("h1"))
 
 
-def _texts(docs: DataFrame, text: str, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, first, letters) of the classes that are wanted (h1)."""
-    places = materialise(classes.join(wanted.distinct(), "h1").select("h1", "first", "first.doc_id", "first.dk", "first.pos"), "line-places")
-    d_id, d_text, d_dk = fresh(places, "d_id", "d_text", "d_dk")
-    source = docs.select(F.col("doc_id").alias(d_id), F.col(text).alias(d_text)).filter(F.col(d_text).isNotNull()).withColumn(d_dk, F.xxhash64(d_text))
-    found = source.join(small_side(places), F.col("doc_id").eqNullSafe(F.col(d_id)) & (F.col("dk") == F.col(d_dk)))
-    norm = normalised(F.element_at(F.split(d_text, "\n"), F.col("pos") + 1))
-    # Repeated rows of a document repeat its lines here; links are made distinct before they are used.
-    return materialise(found.select("h1", "first", _letters(norm).alias("letters")), "line-texts")
+def _texts(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h1, first, norm, letters) of the classes that are wanted (h1)."""
+    wanted = materialise(wanted.distinct(), "line-wanted")
+    return materialise(classes.select("h1", "first", "norm").join(small_side(wanted), "h1").withColumn("letters", _letters(F.col("norm"))), "line-texts", "zstd")
+
+
+def _spelt(x: str) -> str:
+    """The words of norm_x, each one letter that no other word of the pair has."""
+    return f"decode(unhex(array_join(transform(split(norm_{x}, ' '), w -> lpad(hex(65535 + array_position(own, w)), 8, '0')), '')), 'UTF-32')"
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(first_a, first_b) of the pairs whose words are similar."""
-    a, b = (texts.select(F.col("h1").alias(x), F.col("first").alias(f"first_{x}"), F.col("letters").alias(f"letters_{x}")) for x in "ab")
+    a, b = (texts.select(F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("first", "norm", "letters"))) for x in "ab")
     allowed = f"cast(floor(greatest(length(letters_a), length(letters_b)) * {1 - similarity!r} + 1e-9) as int)"
     close = pairs.join(a, "a").join(b, "b").filter(F.expr(f"abs(length(letters_a) - length(letters_b)) <= {allowed}"))
-    return close.filter(F.expr(f"levenshtein(letters_a, letters_b, {allowed}) >= 0")).select("first_a", "first_b")
+    close = close.filter(F.expr(f"levenshtein(letters_a, letters_b, {allowed}) >= 0"))
+    # Different words may have one letter, which only makes lines look closer; these pairs are spelt exactly.
+    exact = f"get(transform(array(array_distinct(split(concat(norm_a, ' ', norm_b), ' '))), own -> levenshtein({_spelt('a')}, {_spelt('b')}, {allowed})), 0) >= 0"
+    return close.filter(F.expr(exact)).select("first_a", "first_b")
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -189,17 +201,14 @@ def duplicate_lines(
     docs: DataFrame, text: str = "text", min_words: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 64, shingles: int = 12, gate_bits: int = 24
 ) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines to remove from each document that loses any."""
-    found = materialise(lines(docs, text, min_words, shingles), "lines")
-    classes = materialise(
-        found.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.max("sim").alias("sim"), F.max("n").alias("words"), F.max("met").alias("met")),
-        "line-classes",
-    )
+    found = materialise(lines(docs, text, min_words), "lines", "zstd")
+    classes = materialise(line_classes(found, shingles), "line-classes", "zstd")
     keys = materialise(shared_keys(classes, max_bits), "line-keys")
     few, many = keys.filter(F.col("n") <= crowd), keys.filter(F.col("n") > crowd)
     centres = many.groupBy("key").agg(F.min(F.struct("h1", "sim", "words")).alias("c")).select("key", "c.*")
     pairs = _near(_side(few, "a"), _side(few, "b"), gate_bits, similarity).unionByName(_near(_side(centres, "a"), _side(many, "b"), gate_bits, similarity)).distinct()
     pairs = materialise(pairs, "line-pairs")
-    roots = components(_verified(pairs, _texts(docs, text, classes, _members(pairs)), similarity))
+    roots = components(_verified(pairs, _texts(classes, _members(pairs)), similarity))
     if many.head(1):
         roots = materialise(roots, "line-groups")
         crowded = classes.select("h1", "first").join(many.select("h1").distinct(), "h1")
@@ -207,7 +216,7 @@ def duplicate_lines(
         grouped = materialise(many.join(groups.groupBy("h1").agg(F.min("group").alias("group")), "h1"), "line-crowds")
         between = _near(_side(grouped, "a"), _side(grouped, "b"), gate_bits, similarity, F.col("group_a") != F.col("group_b")).distinct()
         between = materialise(between, "line-pairs")
-        more = _verified(between, _texts(docs, text, classes, _members(between)), similarity)
+        more = _verified(between, _texts(classes, _members(between)), similarity)
         roots = _joined(roots, more)
     named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", "copies", "first", F.coalesce("root", "first").alias("root"))
     dirty = named.filter((F.col("copies") > 1) | (F.col("root") != F.col("first"))).select("h1", "h2", "root")

@@ -105,7 +105,7 @@ def brute_lines(texts, max_bits=2, similarity=0.8):
         return re.sub(r"[\W_]+", " ", s.lower()).strip()
 
     places = [(d, i, norm(s)) for d, t in enumerate(texts) if t is not None for i, s in enumerate(t.split("\n"))]
-    places = [p for p in places if len(p[2].split()) >= 5]
+    places = [p for p in places if p[2]]
 
     def sim(s):
         h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in s.split()]
@@ -123,7 +123,9 @@ def brute_lines(texts, max_bits=2, similarity=0.8):
     links = []
     for i, p in enumerate(places):
         for q in places[:i]:
-            if bin(sims[p[2]] ^ sims[q[2]]).count("1") <= max_bits:
+            if p[2] == q[2]:
+                links.append((p[:2], q[:2]))
+            elif min(len(p[2].split()), len(q[2].split())) >= 5 and bin(sims[p[2]] ^ sims[q[2]]).count("1") <= max_bits:
                 a, b = p[2].split(), q[2].split()
                 if distance(a, b) <= int(max(len(a), len(b)) * (1 - similarity) + 1e-9):
                     links.append((p[:2], q[:2]))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lectern.llm import packing, simhash_dedup
+from lectern.llm import line_dedup, packing, simhash_dedup
 from tests.llm.test_operators import docs, groups, prose
 
 
@@ -62,3 +63,27 @@ def test_word_coding_gives_the_tokenizers_ids_for_every_code_point(monkeypatch):
     monkeypatch.setattr(packing, "_SEGMENT", 100)
     for text in (prose(400, 2), "՘ " + prose(400, 3), "x" * 1000):
         assert enc.encode(text) == np.array(enc.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+# Lines -------------------------------------------------------------------------------------------
+
+
+def test_short_lines_are_compared_exactly(spark):
+    rows = docs(spark, ["a b c d\n\n---\na B c, d!\na b c e\n你好世界\n你好世界", "x\n...\nA b c d\n\n---", "x"], [3, None, 4])
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(rows).collect()}
+    assert got == {None: "x\n...\nA b c d\n\n---", 3: "\n---\na b c e\n你好世界", 4: ""}
+
+
+def test_words_with_equal_letters_differ(spark, monkeypatch):
+    """With one letter for all words, only the words themselves tell lines apart."""
+    monkeypatch.setattr(line_dedup, "_letters", lambda norm: F.array_join(F.transform(F.split(norm, " "), lambda w: F.lit("x")), ""))
+    base = prose(20, 1).split()
+    texts = [" ".join(base), " ".join([*base[:16], *"qa qb qc qd".split()]), " ".join([*base[:15], *"ra rb rc rd re".split()])]
+    got = {r.doc_id for r in line_dedup.duplicate_lines(docs(spark, texts), gate_bits=64).collect()}
+    assert got == {1}
+
+
+def test_repeated_rows_and_null_ids_of_lines(spark):
+    rows = docs(spark, ["one two three four five six", "one two three four five six", "ONE two three four five six!", "zzz"], [7, 7, None, 8])
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(rows).collect()), key=str)
+    assert got == sorted([(7, ""), (7, ""), (None, "ONE two three four five six!"), (8, "zzz")], key=str)
