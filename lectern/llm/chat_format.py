@@ -4,15 +4,17 @@ A turn is written as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside texts and
 with any backslashes between, gets one more backslash, so that no control string is left; reading
 takes it away again. Roles have their line ends written as %0A.
 
-Windows: prefix sums of turn tokens cut a conversation into spans. With a stride of s tokens, turns
-that lie within one multiple of s share a window; a turn that crosses a multiple is a window of its
-own. A span therefore never exceeds the stride, unless a single turn does, and every turn finds its
-window from its own prefix sum. Each window starts with the conversation's system turn, repeats the
-turns before it that lie within ``history`` tokens, and then has its new turns. Loss spans cover the
-texts of new assistant turns only, so that each target is trained on once.
-
-Prefix sums are taken in two levels (blocks of ``BLOCK`` turn numbers, then turns), so a very long
-conversation is spread over tasks; windows are formed from bounded groups.
+Windows: prefix sums of turn tokens place a conversation's turns on a line, which is cut into segments of
+``SEGMENT`` budgets; a turn belongs to the segment that it starts in. Within a segment, windows are filled
+one after another: each starts with the conversation's system turn, repeats the turns before it that lie
+within ``history`` tokens and leave room for its first new turn, and then takes new turns as long as the
+budget holds. A window therefore never exceeds the budget, marks and roles included, unless a single turn
+does with the system turn; that one stands alone, without history. A system turn of more than half the
+budget is not repeated: it is a turn like any other, in a window of its own if it is too long. Loss spans
+cover the texts of new assistant turns only, so that each target is trained on once.
+
+Prefix sums are taken in two levels (blocks of ``BLOCK`` turn numbers, then turns), and segments are bounded
+by their tokens, so a very long conversation is spread over tasks.
 
 Defined cases: null texts and roles count as empty; turns go by number, nulls first, then by role and
 text; repeated rows are turns of their own; a null conv_id is a conversation; a turn longer than the
@@ -28,7 +30,9 @@ from .common import materialise
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 BLOCK = 64
+SEGMENT = 16
 BUDGET, HISTORY = 2048, 512
+_MARKS = len(START) + 1 + len(END)
 
 
 def escape(text: Column) -> Column:
@@ -47,17 +51,16 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def token_count(text: Column) -> Column:
-    """The estimate that budgets use: a token for four bytes, and five for the marks of a turn."""
-    return (F.floor((F.octet_length(text) + 3) / 4) + 5).cast("long")
+def token_count(role: Column, text: Column) -> Column:
+    """The estimate that budgets use: a token for four bytes of a written turn, marks and role included."""
+    return F.floor((F.octet_length(role) + F.octet_length(text) + _MARKS + 3) / 4).cast("long")
 
 
-def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=token_count) -> DataFrame:
-    """One row per window: conv_id, k1, k2 (its order), text, loss (code point spans, end exclusive),
-    n_context (turns at its start that are repeated), n_new."""
-    turns = conversations.select(
-        "conv_id", "turn", escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")
-    ).withColumn("tokens", tokens(F.col("text"))).withColumn("block", F.floor(F.col("turn") / BLOCK))
+def placed_turns(conversations: DataFrame, budget: int, tokens) -> DataFrame:
+    """One row per turn: conv_id, number, role, text (both escaped), tokens, start (tokens before it, without
+    the system turn), room (of the budget beside the system turn), is_system."""
+    turns = conversations.select("conv_id", "turn", escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
+    turns = turns.withColumn("tokens", tokens(F.col("role"), F.col("text"))).withColumn("block", F.floor(F.col("turn") / BLOCK))
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
     in_block = Window.partitionBy("conv_id", "block").orderBy(*order)
     local = turns.withColumn("ord", F.row_number().over(in_block)).withColumn("upto", F.sum("tokens").over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
@@ -66,45 +69,56 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     )
     per_conv = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())
     before = per_conv.rowsBetween(Window.unboundedPreceding, -1)
-    first = F.first("head").over(per_conv)
+    whole = per_conv.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first("head").over(whole)
+    leads = (first["role"] == "system") & (first["tokens"] <= budget // 2) & (F.sum("n").over(whole) > 1)
     bases = blocks.select(
         F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
-        F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum_before"),
-        F.when(first["role"] == "system", first["tokens"]).otherwise(0).alias("system_tokens"),
+        F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum_before"), F.when(leads, first["tokens"]).otherwise(0).alias("lead"),
     )
     placed = local.join(bases, F.col("conv_id").eqNullSafe(F.col("b_conv")) & F.col("block").eqNullSafe(F.col("b_block")))
     number = F.col("n_before") + F.col("ord") - 1
-    end = F.col("sum_before") + F.col("upto") - F.col("system_tokens")
-    stride = F.greatest(F.lit(max(1, budget // 4)), F.lit(budget - history) - F.col("system_tokens"))
-    placed = placed.select(
-        "conv_id", number.alias("number"), "role", "text", "tokens", ((number == 0) & (F.col("system_tokens") > 0)).alias("is_system"),
-        (end - F.col("tokens")).alias("start"), end.alias("end"), stride.alias("stride"),
+    return placed.select(
+        "conv_id", number.alias("number"), "role", "text", "tokens", (F.col("sum_before") + F.col("upto") - F.col("tokens") - F.col("lead")).alias("start"),
+        (budget - F.col("lead")).alias("room"), ((number == 0) & (F.col("lead") > 0)).alias("is_system"),
     )
-    placed = materialise(placed, "turns")  # spans, history and system turns all read it
-    spoken = placed.filter(~F.col("is_system")).withColumn("k1", F.floor(F.col("start") / F.col("stride"))).withColumn("k2", F.floor((F.col("end") - 1) / F.col("stride")))
-    row = F.struct("kind", "number", "role", "text")
-    new = spoken.select("conv_id", "k1", "k2", "start", F.lit(2).alias("kind"), "number", "role", "text")
-    spans = new.groupBy(F.col("conv_id").alias("w_conv"), F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.min("start").alias("w_start"))
-    spans = materialise(spans, "spans")
-    reach = F.col("start") + history
-    older = spoken.filter(reach >= F.col("end")).withColumn("k", F.explode(F.sequence(F.floor(F.col("end") / F.col("stride")), F.floor(reach / F.col("stride")))))
-    repeated = older.join(
-        spans, F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("k") == F.col("w1")) & (F.col("w_start") >= F.col("end")) & (F.col("w_start") <= reach)
-    ).select("conv_id", F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.lit(1).alias("kind"), "number", "role", "text")
-    system = placed.filter("is_system").select(F.col("conv_id").alias("s_conv"), "number", "role", "text")
-    lead = spans.join(system, F.col("w_conv").eqNullSafe(F.col("s_conv"))).select(
-        F.col("w_conv").alias("conv_id"), F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.lit(0).alias("kind"), "number", "role", "text"
+
+
+def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=token_count) -> DataFrame:
+    """One row per window: conv_id, k1, k2 (its order), text, loss (code point spans, end exclusive),
+    n_context (turns at its start that are repeated), n_new, tokens."""
+    placed = materialise(placed_turns(conversations, budget, tokens), "turns")
+    length = SEGMENT * budget
+    spoken = placed.filter(~F.col("is_system")).withColumn("k1", F.floor(F.col("start") / length))
+    row = F.struct("number", "start", "tokens", "own", "role", "text")
+    own = spoken.select("conv_id", "k1", F.lit(True).alias("own"), "number", "start", "tokens", "role", "text", "room")
+    last = F.floor((F.col("start") + history) / length)
+    older = spoken.filter(last > F.col("k1")).withColumn("to", F.explode(F.sequence(F.col("k1") + 1, last))).select(
+        "conv_id", F.col("to").alias("k1"), F.lit(False).alias("own"), "number", "start", "tokens", "role", "text", "room"
     )
-    only = system.join(spans, F.col("w_conv").eqNullSafe(F.col("s_conv")), "left_anti").select(  # nothing but a system turn
-        F.col("s_conv").alias("conv_id"), F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(2).alias("kind"), "number", "role", "text"
+    segments = own.unionByName(older).groupBy("conv_id", "k1").agg(F.array_sort(F.collect_list(row)).alias("ts"), F.max("room").alias("room"))
+    # A turn opens a window if it passes the limit of the one before; lo: the first turn that it repeats.
+    lo = f"size(filter(slice(ts, 1, i), x -> x.start < get(ts, i).start - least({history}, greatest(0, room - get(ts, i).tokens))))"
+    opened = f"get(transform(array({lo}), lo -> named_struct('limit', get(ts, lo).start + room, 'out', concat(a.out, array(named_struct('lo', lo, 'at', i))))), 0)"
+    cut = F.expr(
+        f"""aggregate(sequence(0, size(ts) - 1), named_struct('limit', -1L, 'out', cast(array() as array<struct<lo: int, at: int>>)),
+          (a, i) -> if(not get(ts, i).own or get(ts, i).start + get(ts, i).tokens <= a.limit, a, {opened}), a -> a.out)"""
     )
-    # A system turn is new in the first window and repeated in the others.
-    first_window = spans.groupBy(F.col("w_conv").alias("f_conv")).agg(F.min(F.struct("w1", "w2")).alias("f"))
-    lead = lead.join(first_window, F.col("conv_id").eqNullSafe(F.col("f_conv"))).select(
-        "conv_id", "k1", "k2", F.when((F.col("k1") == F.col("f.w1")) & (F.col("k2") == F.col("f.w2")), -1).otherwise(0).alias("kind"), "number", "role", "text"
+    opens = segments.withColumn("cut", cut).select("conv_id", "k1", "ts", "cut", F.posexplode_outer("cut").alias("k2", "w"))
+    each = opens.filter("w is not null").select(
+        "conv_id", "k1", "k2", F.slice("ts", F.col("w.lo") + 1, F.col("w.at") - F.col("w.lo")).alias("context"),
+        F.slice("ts", F.col("w.at") + 1, F.coalesce(F.get("cut", F.col("k2") + 1)["at"], F.size("ts")) - F.col("w.at")).alias("new"),
     )
-    parts = new.drop("start").unionByName(repeated).unionByName(lead).unionByName(only)
-    grouped = parts.groupBy("conv_id", "k1", "k2").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    system = placed.filter("is_system").select(F.col("conv_id").alias("s_conv"), F.array(F.struct("role", "text", "tokens")).alias("system"))
+    led = each.join(system, F.col("conv_id").eqNullSafe(F.col("s_conv")), "left")
+    # A system turn is new in a conversation's first window and repeated in the others.
+    is_first = (F.col("k1") == 0) & (F.col("k2") == 0)
+
+    def told(turns: str, target: Column) -> Column:
+        some = F.transform(turns, lambda t: F.struct(target.alias("new"), t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens")))
+        return F.coalesce(some, F.expr("cast(array() as array<struct<new: boolean, role: string, text: string, tokens: bigint>>)"))
+
+    grouped = led.select("conv_id", "k1", "k2", F.concat(told("system", is_first), told("context", F.lit(False)), told("new", F.lit(True))).alias("turns"))
 
     def written(t: Column) -> Column:
         return F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END))
@@ -115,7 +129,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     def spanned(acc: Column, t: Column) -> Column:
         begin = acc["at"] + head(t)
         span = F.struct(begin.cast("int").alias("start"), (begin + F.length(t["text"])).cast("int").alias("end"))
-        target = (t["kind"] == 2) & (t["role"] == "assistant")
+        target = t["new"] & (t["role"] == "assistant")
         return F.struct(
             (acc["at"] + head(t) + F.length(t["text"]) + len(END)).cast("int").alias("at"),
             F.when(target, F.concat(acc["loss"], F.array(span))).otherwise(acc["loss"]).alias("loss"),
@@ -123,9 +137,9 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
 
     empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("loss"))
     return grouped.select(
-        "conv_id", "k1", "k2", F.array_join(F.transform("turns", written), "").alias("text"),
-        F.aggregate("turns", empty, spanned)["loss"].alias("loss"),
-        F.size(F.filter("turns", lambda t: t["kind"].isin(0, 1))).alias("n_context"), F.size(F.filter("turns", lambda t: t["kind"].isin(-1, 2))).alias("n_new"),
+        "conv_id", "k1", "k2", F.array_join(F.transform("turns", written), "").alias("text"), F.aggregate("turns", empty, spanned)["loss"].alias("loss"),
+        F.size(F.filter("turns", lambda t: ~t["new"])).alias("n_context"), F.size(F.filter("turns", lambda t: t["new"])).alias("n_new"),
+        F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["tokens"]).alias("tokens"),
     )
 
 
@@ -133,7 +147,10 @@ _TURN = r"(?s)<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n"
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of the conversations, from nothing but the windows' texts, loss spans and counts."""
+    """Digests of the conversations, from nothing but the windows' texts, loss spans and counts.
+
+    A digest is one function of a whole conversation, so its text meets in one row here, as in any reader of
+    it; formatting itself never holds more than a segment."""
     roles = F.regexp_extract_all("text", F.lit(_TURN), F.lit(1))
     texts = F.regexp_extract_all("text", F.lit(_TURN), F.lit(2))
     # A first window begins with its new system turn, any other with repeated turns.
@@ -168,32 +185,38 @@ def query(spark, sf_dir):
 
 
 ORACLE_SQL = r"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
 ), e AS (
   SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS written, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS number FROM t
 ), k AS (
-  SELECT *, (strlen(written) + 3) // 4 + 5 AS tokens, length(role) + length(written) + 24 AS chars FROM e
+  SELECT *, (strlen(role) + strlen(written) + 27) // 4 AS tokens, length(role) + length(written) + 24 AS chars, count(*) OVER (PARTITION BY conv_id) AS n FROM e
 ), s AS (
-  SELECT conv_id, max(tokens) FILTER (number = 0 AND role = 'system') AS system_tokens, max(chars) FILTER (number = 0 AND role = 'system') AS system_chars
-  FROM k GROUP BY conv_id
+  SELECT conv_id, coalesce(max(tokens) FILTER (leads), 0) AS st, coalesce(max(chars) FILTER (leads), 0) AS sc
+  FROM (SELECT *, number = 0 AND role = 'system' AND n > 1 AND tokens <= 1024 AS leads FROM k) GROUP BY conv_id
 ), p AS (
-  SELECT k.*, coalesce(system_tokens, 0) AS st, coalesce(system_chars, 0) AS sc, greatest(512, 1536 - coalesce(system_tokens, 0)) AS stride,
-         sum(tokens) OVER (PARTITION BY k.conv_id ORDER BY number) - coalesce(system_tokens, 0) AS "end"
-  FROM k JOIN s ON k.conv_id = s.conv_id
+  SELECT *, "end" - tokens AS start, ("end" - tokens) // 32768 AS seg, 2048 - st AS room FROM (
+    SELECT k.*, st, sc, sum(tokens) OVER (PARTITION BY k.conv_id ORDER BY number) - st AS "end" FROM k JOIN s ON k.conv_id = s.conv_id
+  ) WHERE NOT (number = 0 AND st > 0)
+), c AS (
+  SELECT p.conv_id, p.seg, p.number, p.room, p.sc, coalesce(min(o.start), any_value(p.start)) AS since
+  FROM p LEFT JOIN p o ON o.conv_id = p.conv_id AND o.number < p.number AND o.start >= p.start - least(512, greatest(0, p.room - p.tokens))
+  GROUP BY p.conv_id, p.seg, p.number, p.room, p.sc
+), n AS (
+  SELECT c.conv_id, c.seg, c.number, c.since, c.sc, min(o.number) AS next
+  FROM c LEFT JOIN p o ON o.conv_id = c.conv_id AND o.seg = c.seg AND o.number > c.number AND o."end" > c.since + c.room
+  GROUP BY c.conv_id, c.seg, c.number, c.since, c.sc
 ), w AS (
-  SELECT *, "end" - tokens AS start, ("end" - tokens) // stride AS k1, ("end" - 1) // stride AS k2 FROM p WHERE NOT (number = 0 AND role = 'system')
-), spans AS (
-  SELECT conv_id, k1, k2, min(start) AS w_start, sum(chars) + max(sc) AS chars FROM w GROUP BY conv_id, k1, k2
-), again AS (
-  SELECT spans.conv_id, sum(w.chars) AS chars FROM spans JOIN w ON w.conv_id = spans.conv_id AND spans.w_start >= w."end" AND spans.w_start <= w.start + 512
-  GROUP BY spans.conv_id
+  SELECT conv_id, seg, min(number) AS number FROM p GROUP BY conv_id, seg
+  UNION ALL SELECT n.conv_id, n.seg, n.next FROM w JOIN n ON n.conv_id = w.conv_id AND n.number = w.number WHERE n.next IS NOT NULL
+), windows AS (
+  SELECT n.conv_id, n.number, any_value(n.sc) + sum(p.chars) AS chars
+  FROM w JOIN n ON n.conv_id = w.conv_id AND n.number = w.number
+  JOIN p ON p.conv_id = n.conv_id AND p.start >= n.since AND (p.number < n.number OR p.seg = n.seg AND (n.next IS NULL OR p.number < n.next))
+  GROUP BY n.conv_id, n.number
 ), formatted AS (
-  SELECT conv_id, sum(chars) AS chars FROM (
-    SELECT conv_id, chars FROM spans UNION ALL SELECT conv_id, chars FROM again
-    UNION ALL SELECT conv_id, system_chars FROM s WHERE system_chars IS NOT NULL AND conv_id NOT IN (SELECT conv_id FROM spans)
-  ) GROUP BY conv_id
+  SELECT conv_id, sum(chars) AS chars FROM windows GROUP BY conv_id
 )
 SELECT e.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY number)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,

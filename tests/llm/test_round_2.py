@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import line_dedup, packing, simhash_dedup
+from lectern.llm import chat_format, line_dedup, packing, simhash_dedup
 from tests.llm.test_operators import docs, groups, prose
 
 
@@ -87,3 +87,24 @@ def test_repeated_rows_and_null_ids_of_lines(spark):
     rows = docs(spark, ["one two three four five six", "one two three four five six", "ONE two three four five six!", "zzz"], [7, 7, None, 8])
     got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup_lines(rows).collect()), key=str)
     assert got == sorted([(7, ""), (7, ""), (None, "ONE two three four five six!"), (8, "zzz")], key=str)
+
+
+# Chat --------------------------------------------------------------------------------------------
+
+
+def test_chat_windows_keep_the_budget(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, t, "user" if t % 2 else "assistant", "w" * int(rng.integers(0, 400))) for t in range(900)]
+    rows += [(2, t, "r" * 3000, "x") for t in range(12)]
+    rows += [(3, 0, "system", "s" * 200)] + [(3, t, "user", "y" * 100) for t in range(1, 60)] + [(4, 0, "system", "s" * 900), (4, 1, "user", "hi"), (4, 2, "assistant", "ho")]
+    rows += [(5, 0, "user", "z" * 5000), (5, 1, "assistant", "ok"), (5, 2, "user", "z" * 5000)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.windows(conv, 256, 64).collect()
+    by = {c: sorted((r for r in got if r.conv_id == c), key=lambda r: (r.k1, r.k2)) for c in range(1, 6)}
+    for r in got:
+        assert len(r.text) / 4 <= r.tokens and (r.tokens <= 256 or (r.n_new == 1 and r.n_context <= 1))
+    for c, own in by.items():
+        assert sum(r.n_new for r in own) == sum(1 for x in rows if x[0] == c)
+    assert np.mean([r.tokens for r in by[1]]) > 0.7 * 256 and sum(r.n_context > 0 for r in by[1]) > len(by[1]) / 2
+    assert len(by[2]) == 12 and all(r.text.startswith("<|im_start|>system\n") for r in by[3]) and sum(r.n_context > 1 for r in by[3]) > 0
+    assert sum("s" * 900 in r.text for r in by[4]) <= 2 and [r.n_new for r in by[5]] == [1, 1, 1]
