@@ -3,7 +3,8 @@
 Templates are lower-cased words. Of the hashes of their ``gram`` consecutive words, the least of every
 ``window`` neighbours is a fingerprint (winnowing); the inverted index maps fingerprints to templates
 and positions. Documents are looked up at every word, so a template's intact run of gram + window - 1
-words, or any kept fingerprint of a shorter one, is always met. Hits of a template whose diagonals lie
+words is always met. Of templates of fewer words all runs are kept, as long as those that some run must
+keep under the edits that ``coverage`` allows. Hits of a template whose diagonals lie
 within the band are one candidate: its template is aligned, whole, to the words around (edit distance
 with free ends in the document, within the band). Reported are matches whose share of equal template
 words is at least ``coverage``, with their spans; of overlapping matches of one template the best stays.
@@ -13,7 +14,7 @@ judged one by one, so no shuffle is needed and memory is bounded by one batch an
 
 Defined cases: a null text counts as empty and has no match; repeated rows are judged alike; null
 doc_ids are kept; empty tables and empty template lists give an empty result; templates of fewer words
-than ``gram`` are found by their whole text; other columns are ignored.
+than ``gram`` are found by shorter runs; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,6 +51,14 @@ TEMPLATES = {
         in the documentation and/or other materials provided with the distribution.""",
     "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
         published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+        as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+        this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+        above copyright notice and this permission notice appear in all copies.""",
+    "BSD-3-Clause": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+        from this software without specific prior written permission.""",
 }
 _WORD = re.compile(r"[^\W_]+")
 _GAP = -1
@@ -62,7 +71,7 @@ def _hash(gram: tuple[int, ...], names: list[str]) -> int:
 class Index:
     """The inverted index of winnowed fingerprints."""
 
-    def __init__(self, templates: dict[str, str], gram: int = 5, window: int = 4):
+    def __init__(self, templates: dict[str, str], gram: int = 5, window: int = 4, coverage: float = 0.8):
         self.gram, self.names, self.words = gram, list(templates), []
         self.vocabulary: dict[str, int] = {}
         for text in templates.values():
@@ -70,12 +79,14 @@ class Index:
         spelt = list(self.vocabulary)
         self.at: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, words in enumerate(self.words):
-            n = min(gram, len(words))
-            if not n:
+            short = len(words) < gram + window
+            edits = int(len(words) * (1 - coverage) + 1e-9)
+            n = min(gram, -(-(len(words) - edits) // (edits + 1))) if short else gram
+            if not words:
                 continue
             grams = [tuple(words[i:i + n]) for i in range(len(words) - n + 1)]
             hashes = [_hash(g, spelt) for g in grams]
-            span = min(window, len(grams))
+            span = 1 if short else window
             for i in {min(range(s, s + span), key=lambda j: (hashes[j], -j)) for s in range(len(grams) - span + 1)}:
                 self.at[n][grams[i]].append((t, i))
         self.at = {n: dict(found) for n, found in self.at.items()}
@@ -149,23 +160,25 @@ def align(template: list[int], words: np.ndarray, slack: int) -> tuple[int, int,
 
 def matches(text: str, index: Index, coverage: float, band: float) -> list[tuple[str, int, int, float]]:
     """(template, start, end, coverage) in code points, by start."""
-    ids = np.array([index.vocabulary.get(w, _GAP) for w in _WORD.findall(text.lower())], np.int64)
+    lowered = text.lower()
+    # Where lower case changes the length, words are found in the text itself and lowered one by one.
+    where = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(text)] if len(lowered) != len(text) else None
+    words_of = _WORD.findall(lowered) if where is None else [w.lower() for w, _, _ in where]
+    ids = np.array([index.vocabulary.get(w, _GAP) for w in words_of], np.int64)
     candidates = index.candidates(ids, band) if len(ids) else []
     if not candidates:
         return []
-    lowered = text.lower()
-    places = [(m.start(), m.end()) for m in _WORD.finditer(lowered if len(lowered) == len(text) else text)]
-    if len(places) != len(ids):  # lower case made other words: judge the lowered text's places
-        places = [(m.start(), m.end()) for m in _WORD.finditer(lowered)]
+    places = [(m.start(), m.end()) for m in _WORD.finditer(lowered)] if where is None else [(s, e) for _, s, e in where]
     found: list[tuple[float, int, int, int]] = []
     for t, first, last in candidates:
         words = index.words[t]
         width = _band(len(words), band)
         # A group of diagonals wider than the band holds repeats of a short template; each step is aligned.
         for at in range(first, last + 1, width + 1):
-            low = max(0, at - width)
+            low = at - width  # before the text's first word stand gaps, so that a template may lack words there
             high = min(len(ids), min(last, at + width) + len(words) + width)
-            got = align(words, ids[low:high], min(last, at + width) - at + 2 * width)
+            around = np.concatenate([np.full(max(0, -low), _GAP), ids[max(0, low):high]])
+            got = align(words, around, min(last, at + width) - at + 2 * width)
             if got and got[0] >= coverage * len(words):
                 found.append((got[0] / len(words), t, low + got[1], low + got[2]))
     out: list[tuple[float, int, int, int]] = []
@@ -177,7 +190,7 @@ def matches(text: str, index: Index, coverage: float, band: float) -> list[tuple
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", coverage: float = 0.8, band: float = 0.15, gram: int = 5, window: int = 4) -> DataFrame:
     """One row per match: doc_id, license, start, end (code points, end exclusive), coverage."""
-    index = Index(TEMPLATES if templates is None else templates, gram, window)
+    index = Index(TEMPLATES if templates is None else templates, gram, window, coverage)
 
     def run(batches):
         for b in batches:
