@@ -11,8 +11,11 @@ if that has more equal words and they are at least ``whole`` of the item's. A do
 an item if the overlap has at least ``min_words`` equal words or is such a whole item; a penalty of 4 asks
 for a similarity of 0.8.
 
-Benchmark items with equal words are one item, the smallest item_id. Items shorter than the shortest
-mask take no part; those shorter than ``min_words`` must be found whole, or to the share ``whole``.
+Benchmark items with equal words are one item, the smallest item_id. Items shorter than the shortest mask
+leave no room for substitutions: from five words on they must stand in the document word for word (a mask of
+five ones finds them, made only if there are such items), and shorter ones must be all that the document
+says. Items without words match nothing. Items shorter than ``min_words`` must be found whole, or, if they
+reach a mask, to the share ``whole``.
 
 Defined cases: null texts count as empty and are never contaminated; rows that share doc_id and text
 count as one document; null doc_ids can be contaminated; empty tables give an empty result; other
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import any_of, fresh, materialise, small_side
 
 MASKS = ("11011011", "1110010101", "1010011011")
-_SLOTS = 1 << 17  # longs of the bitmap: 1 MB
+_SHORT = "11111"  # for items shorter than all masks
+_SLOTS = 1 << 17  # longs of the bitmap, doubled for larger benchmarks up to 1 << 20: 1 to 8 MB
 
 
 def word_hashes(text: Column) -> Column:
@@ -49,19 +53,27 @@ def _starts(of: Column, masks: tuple[str, ...]) -> Column:
     return F.when(F.size(of) >= least, F.sequence(F.lit(0), F.size(of) - least))
 
 
-def _slot(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(_SLOTS - 1)).cast("int")
+def _slot(h: Column, slots: int) -> Column:
+    return h.bitwiseAND(F.lit(slots - 1)).cast("int")
 
 
 def _bit(h: Column) -> Column:
     return F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
 
 
-def _bitmap(index: DataFrame) -> Column:
-    """One array of _SLOTS longs, whatever the size of the benchmark."""
+def _slots(hashes: int) -> int:
+    """So many that at most an eighth of the bits is set, as far as the largest bitmap goes."""
+    slots = _SLOTS
+    while slots < 8 * _SLOTS and slots * 8 < hashes:
+        slots *= 2
+    return slots
+
+
+def _bitmap(index: DataFrame, slots: int) -> Column:
+    """One array of so many longs, whatever the size of the benchmark."""
     one = F.expr("shiftleft(cast(1 as bigint), b)")
-    bits = index.select(_slot(F.col("h")).alias("s"), _bit(F.col("h")).alias("b")).groupBy("s").agg(F.bit_or(one).alias("bits"))
-    every = index.sparkSession.range(_SLOTS).select(F.col("id").cast("int").alias("s"), F.lit(0).cast("long").alias("bits"))
+    bits = index.select(_slot(F.col("h"), slots).alias("s"), _bit(F.col("h")).alias("b")).groupBy("s").agg(F.bit_or(one).alias("bits"))
+    every = index.sparkSession.range(slots).select(F.col("id").cast("int").alias("s"), F.lit(0).cast("long").alias("bits"))
     dense = bits.union(every).groupBy("s").agg(F.bit_or("bits").alias("bits"))
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "bits"))), lambda x: x["bits"]).alias("bitmap")).scalar()
 
@@ -76,11 +88,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", masks: t
     """One row per contaminated document and item: doc_id, dk (hash of the text), item_id, and of their
     best overlap doc_start, item_start and n_words in words, matched (equal words), coverage of the item."""
     items = materialise(benchmark_items(benchmark), "items")
-    at = F.col("i")
+    at, reach = F.col("i"), min(map(len, masks))
+    if items.filter((F.size("words") >= len(_SHORT)) & (F.size("words") < reach)).head(1):
+        masks = (*masks, _SHORT)
     index = items.select("item", "words", F.explode(_starts(F.col("words"), masks)).alias("i"))
-    index = index.select("item", "i", F.explode(F.array(*_windows(F.col("words"), at, masks))).alias("h")).filter("h is not null")
+    made = [F.when((F.size("words") < reach) | F.lit(mask != _SHORT), w) for w, mask in zip(_windows(F.col("words"), at, masks), masks)]
+    index = index.select("item", "i", F.explode(F.array(*made)).alias("h")).filter("h is not null")
     index = materialise(index, "windows")
-    bitmap = _bitmap(index)
+    slots = _slots(index.count())
+    bitmap = _bitmap(index, slots)
 
     source = docs.select("doc_id", F.col(text).alias("text")).filter("text is not null").withColumn("dk", F.xxhash64("text"))
     hashed = source.select("doc_id", "dk", word_hashes(F.col("text")).alias("words"))
@@ -89,7 +105,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", masks: t
     windows = placed.select("doc_id", "dk", "p", *(w.alias(n) for w, n in zip(_windows(F.col("words"), F.col("p"), masks), names)))
 
     def marked(h: Column) -> Column:
-        return F.call_function("shiftrightunsigned", F.get(bitmap, _slot(h)), _bit(h)).bitwiseAND(F.lit(1).cast("long")) == 1
+        return F.call_function("shiftrightunsigned", F.get(bitmap, _slot(h, slots)), _bit(h)).bitwiseAND(F.lit(1).cast("long")) == 1
 
     likely = windows.filter(any_of([marked(F.col(n)) for n in names]))
     hits = likely.select("doc_id", "dk", "p", F.explode(F.array(*names)).alias("h")).join(small_side(index), "h")
@@ -106,7 +122,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", masks: t
     same = F.zip_with(F.slice("words", start + 1, size), F.slice("own", start - F.col("diagonal") + 1, size), lambda a, b: a == b)
     found = aligned.select("doc_id", "dk", "item", "diagonal", start.alias("start"), F.size("own").alias("item_words"), same.alias("same"))
     judged = found.withColumn("best", _best_stretch("same", penalty)).withColumn("equal", F.size(F.filter("same", lambda x: x)))
-    entire = F.col("equal") >= F.col("item_words") * whole - 1e-9
+    entire = F.col("equal") >= F.when(F.col("item_words") < reach, F.col("item_words")).otherwise(F.col("item_words") * whole - 1e-9)
     # The whole aligned item, where it holds more than its best stretch does.
     all_of_it = F.struct(F.lit(0).alias("first"), F.size("same").alias("last"), F.col("equal").alias("matched"))
     judged = judged.withColumn("entire", entire).withColumn("best", F.when(entire & (F.col("equal") > F.col("best.matched")), all_of_it).otherwise(F.col("best")))
@@ -121,7 +137,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", masks: t
     best = leaked.groupBy("doc_id", "dk", F.col("item").alias("item_id")).agg(
         *(F.max_by(c, order).alias(c) for c in ("doc_start", "item_start", "n_words", "matched", "item_words"))
     )
-    return best.withColumn("coverage", F.col("matched") / F.col("item_words")).drop("item_words")
+    found = best.withColumn("coverage", F.col("matched") / F.col("item_words")).drop("item_words")
+    # Documents of a few words that say just what an item says.
+    tiny = hashed.filter(F.size("words").between(1, len(_SHORT) - 1)).join(small_side(items.filter(F.size("words") < len(_SHORT))), "words")
+    n = F.size("words")
+    said = tiny.select("doc_id", "dk", F.col("item").alias("item_id"), F.lit(0).alias("doc_start"), F.lit(0).alias("item_start"), n.alias("n_words"), n.alias("matched"), F.lit(1.0).alias("coverage"))
+    return found.unionByName(said.distinct())
 
 
 def _best_stretch(same: str, penalty: int) -> Column:

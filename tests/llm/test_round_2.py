@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, line_dedup, packing, simhash_dedup
+from lectern.llm import chat_format, decontamination, licenses, line_dedup, packing, simhash_dedup
 from tests.llm.test_operators import docs, groups, prose
 
 
@@ -108,3 +110,88 @@ def test_chat_windows_keep_the_budget(spark):
     assert np.mean([r.tokens for r in by[1]]) > 0.7 * 256 and sum(r.n_context > 0 for r in by[1]) > len(by[1]) / 2
     assert len(by[2]) == 12 and all(r.text.startswith("<|im_start|>system\n") for r in by[3]) and sum(r.n_context > 1 for r in by[3]) > 0
     assert sum("s" * 900 in r.text for r in by[4]) <= 2 and [r.n_new for r in by[5]] == [1, 1, 1]
+
+
+# Decontamination ---------------------------------------------------------------------------------
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = ["alpha beta gamma delta epsilon zeta eta", "one two three four five", "red green", ""]
+    texts = ["x Alpha beta gamma, delta epsilon zeta ETA y", "alpha beta gamma delta other zeta eta", "we count one two three four five six", "Red, green!", "red green blue", "", "one two three four"]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.doc_start, r.matched) for r in decontamination.overlaps(docs(spark, [*texts, texts[3]], [*range(7), None]), bench).collect()}
+    assert got == {(0, 0, 1, 7), (2, 1, 2, 5), (3, 2, 0, 2), (None, 2, 0, 2)}
+
+
+def test_decontamination_against_all_diagonals(spark):
+    """Every document and item, on every diagonal that holds one seed, by plain loops."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(60)]
+    items = [list(rng.choice(words, n)) for n in (9, 12, 20, 33, 60)]
+    texts = []
+    for k in range(60):
+        own, item = list(rng.choice(words, int(rng.integers(0, 80)))), list(items[k % 5])
+        for i in rng.choice(len(item), int(rng.integers(0, len(item) // 2)), replace=False):
+            item[i] = "zz"
+        at = int(rng.integers(0, len(own) + 1))
+        texts.append(" ".join(own[:at] + (item[: int(rng.integers(5, len(item) + 1))] if k % 2 else item) + own[at:]))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = set()
+    for d, text in enumerate(t.split() for t in texts):
+        for k, item in enumerate(items):
+            for g in range(-len(item) + 1, len(text)):
+                lo = max(0, g)
+                same = [text[p] == item[p - g] for p in range(lo, min(len(text), g + len(item)))]
+                if not any(len(m) <= len(same) - s and all(same[s + j] for j, bit in enumerate(m) if bit == "1") for m in decontamination.MASKS for s in range(len(same))):
+                    continue
+                best = max((sum(same[a:b]) - 4 * (b - a - sum(same[a:b])), b - a, sum(same[a:b])) for a in range(len(same)) for b in range(a + 1, len(same) + 1))
+                if sum(same) >= 0.8 * len(item) - 1e-9 or best[2] >= min(10, len(item)):
+                    want.add((d, k))
+    got = {(r.doc_id, r.item_id) for r in decontamination.overlaps(docs(spark, texts), bench).collect()}
+    assert got == want and 20 < len(want) < 60
+
+
+# Licenses ----------------------------------------------------------------------------------------
+
+
+def plain_alignment(template, words):
+    """Edit distance of the template to any stretch of words, its equal words and that stretch."""
+    best = [(0, 0, j) for j in range(len(words) + 1)]  # cost, -equal, begin
+    for i, t in enumerate(template, 1):
+        row = [(i, 0, 0)]
+        for j, w in enumerate(words, 1):
+            (c, e, b), up, left = best[j - 1], best[j], row[j - 1]
+            row.append(min((c + (t != w), e - (t == w), b), (up[0] + 1, *up[1:]), (left[0] + 1, *left[1:])))
+        best = row
+    return min(best)
+
+
+def test_licenses_against_plain_alignment(spark):
+    rng = np.random.default_rng(6)
+    names = list(licenses.TEMPLATES)
+    texts, spoilt = [], []
+    for k in range(48):
+        words = re.findall(r"[^\W_]+", licenses.TEMPLATES[names[k % len(names)]].lower())
+        edits = int(rng.integers(0, len(words) // 3 + 1))
+        for i in rng.choice(len(words), edits, replace=False):
+            words[i] = "zz"
+        texts.append(" ".join([prose(30, k), *words, prose(30, 100 + k)]))
+        spoilt.append(words)
+    got = {(r.doc_id, r.license): r for r in licenses.scan(docs(spark, texts)).collect()}
+    sure = missed = 0
+    for d, text in enumerate(texts):
+        name = names[d % len(names)]
+        template = re.findall(r"[^\W_]+", licenses.TEMPLATES[name].lower())
+        cost, equal, _ = plain_alignment(template, text.split())
+        if -equal >= 0.8 * len(template):
+            sure += 1
+            missed += (d, name) not in got
+        elif (d, name) in got:
+            assert got[d, name].coverage >= 0.8
+    assert sure >= 20 and missed <= sure // 20
+
+
+def test_license_spans_and_short_edits(spark):
+    texts = ["İİİ x Released under the MIT License. y", "Released under MIT License", "released under the mit agreement", "İ", "ſ RELEASED UNDER THE MIT LICENSE", "x " * 100_000 + "Released under the MIT License."]
+    got = {r.doc_id: texts[r.doc_id][r.start:r.end] for r in licenses.scan(docs(spark, [*texts, texts[0]])).filter("doc_id < 6").collect()}
+    assert got == {0: "Released under the MIT License", 1: "Released under MIT License", 2: "released under the mit", 4: "RELEASED UNDER THE MIT LICENSE", 5: "Released under the MIT License"}
