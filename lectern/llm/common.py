@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -47,7 +48,24 @@ def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lectern-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of materialise() once all that reads them is written itself."""
+    for df in written:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of steps that are written go now: Spark drops them when the driver finds their
+    plans unused, for which it looks every half hour only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_side
+from .common import discard, materialise, small_side
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v) with u > v. Large star hangs each larger neighbour of a node on the node's
-    smallest neighbour; small star hangs the node and its smaller neighbours on that."""
+    smallest neighbour; small star hangs the node and its smaller neighbours on that. The result is written."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
@@ -25,7 +25,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         near = edges.join(small_side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = near.unionByName(least.select("u", F.col("m").alias("v")))
-    return new.filter("u > v").distinct()
+    out = materialise(new.filter("u > v").distinct(), "edges")
+    discard(least, edges)
+    return out
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -49,7 +51,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        edges = _star(_star(edges, True), False)
         after = _signature(edges)
         if after == before:
             break

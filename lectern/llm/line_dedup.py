@@ -15,7 +15,8 @@ and miss each other with a chance of at most 0.75 ** shingles (0.03), less for e
 Pigeonhole: besides, the 64 bits of the SimHash over the words are max_bits + 2 blocks, and classes within
 max_bits bits agree on two of them and meet there. Lengths that rule the similarity out, and SimHashes
 that differ in more than ``gate_bits`` bits (at similarity 0.8 about 12 differ, 32 between unlike lines),
-are dropped within the join. Keys with more than ``crowd`` classes are first linked to one of their own; what that leaves in different groups is then joined as before, so no link
+are dropped within the join; so are pairs that meet once only and differ in more than ``once_bits`` bits
+(0.002 of pairs at 0.8 do). Keys with more than ``crowd`` classes are first linked to one of their own; what that leaves in different groups is then joined as before, so no link
 between groups is lost, and a crowd of near copies does not yield all its pairs.
 
 Lines are normalised once and written. Their shingles and SimHashes are made once for each class, whose
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regexes import let
-from .common import fresh, materialise, small_side
+from .common import discard, fresh, materialise, release, small_side
 from .components import components
 
 _CHUNK = 127  # words whose votes fit a counter of eight bits, the highest of which shares the sign
@@ -134,10 +135,15 @@ def _differ(a: str, b: str) -> Column:
 
 
 def _near(a: DataFrame, b: DataFrame, gate_bits: int, similarity: float, also: Column | None = None) -> DataFrame:
-    """(a, b) of the rows that share a key, differ in at most gate_bits bits and can be similar by their words' numbers."""
+    """(a, b, bits) of the rows that share a key, differ in at most gate_bits bits and can be similar by their words' numbers."""
     near = (F.col("a") < F.col("b")) & (_differ("sim_a", "sim_b") <= gate_bits)
     near = near & (F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * similarity - 1e-9)
-    return a.join(b, "key").filter(near if also is None else near & also).select("a", "b")
+    return a.join(b, "key").filter(near if also is None else near & also).select("a", "b", _differ("sim_a", "sim_b").alias("bits"))
+
+
+def _likely(met: DataFrame, once_bits: int) -> DataFrame:
+    """(a, b): each pair once, without those that met once only and are not close."""
+    return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("bits").alias("bits")).filter((F.col("n") > 1) | (F.col("bits") <= once_bits)).select("a", "b")
 
 
 def shared_keys(classes: DataFrame, max_bits: int) -> DataFrame:
@@ -155,9 +161,13 @@ def _place() -> Column:
     return F.struct("doc_id", "dk", "pos")
 
 
+def _code(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(0x7FFF).cast("long"))
+
+
 def _letters(norm: Column) -> Column:
     """A text with one letter for each word."""
-    codes = F.transform(F.split(norm, " "), lambda w: F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x7FFF).cast("long")) + 0x4E00))
+    codes = F.transform(F.split(norm, " "), lambda w: F.hex(_code(w) + 0x4E00))
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
 
@@ -177,14 +187,26 @@ def _spelt(x: str) -> str:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(first_a, first_b) of the pairs whose words are similar."""
-    a, b = (texts.select(F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("first", "norm", "letters"))) for x in "ab")
-    allowed = f"cast(floor(greatest(length(letters_a), length(letters_b)) * {1 - similarity!r} + 1e-9) as int)"
-    close = pairs.join(a, "a").join(b, "b").filter(F.expr(f"abs(length(letters_a) - length(letters_b)) <= {allowed}"))
-    close = close.filter(F.expr(f"levenshtein(letters_a, letters_b, {allowed}) >= 0"))
-    # Different words may have one letter, which only makes lines look closer; these pairs are spelt exactly.
-    exact = f"get(transform(array(array_distinct(split(concat(norm_a, ' ', norm_b), ' '))), own -> levenshtein({_spelt('a')}, {_spelt('b')}, {allowed})), 0) >= 0"
-    return close.filter(F.expr(exact)).select("first_a", "first_b")
+    """(first_a, first_b) of the pairs whose words are similar; written."""
+    def sides(*columns: str) -> list[DataFrame]:
+        return [texts.select(F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab"]
+
+    def allowed(n_a: str, n_b: str) -> str:
+        return f"cast(floor(greatest({n_a}, {n_b}) * {1 - similarity!r} + 1e-9) as int)"
+
+    a, b = sides("letters")
+    most = allowed("length(letters_a)", "length(letters_b)")
+    close = pairs.join(a, "a").join(b, "b").filter(F.expr(f"abs(length(letters_a) - length(letters_b)) <= {most}"))
+    close = materialise(close.filter(F.expr(f"levenshtein(letters_a, letters_b, {most}) >= 0")).select("a", "b"), "line-close")
+    # Different words may have one letter, which only makes lines look closer; pairs with such words are spelt exactly.
+    a, b = sides("first", "norm")
+    most = allowed("size(split(norm_a, ' '))", "size(split(norm_b, ' '))")
+    exact = f"get(transform(array(array_distinct(split(concat(norm_a, ' ', norm_b), ' '))), own -> levenshtein({_spelt('a')}, {_spelt('b')}, {most})), 0) >= 0"
+    own = F.array_distinct(F.split(F.concat("norm_a", F.lit(" "), "norm_b"), " "))
+    apart = let(own, lambda o: F.size(F.array_distinct(F.transform(o, _code))) == F.size(o))
+    sure = materialise(close.join(a, "a").join(b, "b").filter(apart | F.expr(exact)).select("first_a", "first_b"), "line-sure")
+    discard(close)
+    return sure
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -198,7 +220,8 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(
-    docs: DataFrame, text: str = "text", min_words: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 64, shingles: int = 12, gate_bits: int = 24
+    docs: DataFrame, text: str = "text", min_words: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 64, shingles: int = 12, gate_bits: int = 24,
+    once_bits: int = 18,
 ) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines to remove from each document that loses any."""
     found = materialise(lines(docs, text, min_words), "lines", "zstd")
@@ -206,18 +229,26 @@ def duplicate_lines(
     keys = materialise(shared_keys(classes, max_bits), "line-keys")
     few, many = keys.filter(F.col("n") <= crowd), keys.filter(F.col("n") > crowd)
     centres = many.groupBy("key").agg(F.min(F.struct("h1", "sim", "words")).alias("c")).select("key", "c.*")
-    pairs = _near(_side(few, "a"), _side(few, "b"), gate_bits, similarity).unionByName(_near(_side(centres, "a"), _side(many, "b"), gate_bits, similarity)).distinct()
-    pairs = materialise(pairs, "line-pairs")
-    roots = components(_verified(pairs, _texts(classes, _members(pairs)), similarity))
+    release(docs.sparkSession)
+    pairs = _near(_side(few, "a"), _side(few, "b"), gate_bits, similarity).unionByName(_near(_side(centres, "a"), _side(many, "b"), gate_bits, similarity))
+    pairs = materialise(_likely(pairs, once_bits), "line-pairs")
+    texts = _texts(classes, _members(pairs))
+    release(docs.sparkSession)
+    roots = components(_verified(pairs, texts, similarity))
+    discard(pairs, texts)
     if many.head(1):
         roots = materialise(roots, "line-groups")
         crowded = classes.select("h1", "first").join(many.select("h1").distinct(), "h1")
         groups = crowded.join(roots, F.col("first") == F.col("node"), "left").select("h1", F.coalesce("root", "first").alias("group"))
         grouped = materialise(many.join(groups.groupBy("h1").agg(F.min("group").alias("group")), "h1"), "line-crowds")
-        between = _near(_side(grouped, "a"), _side(grouped, "b"), gate_bits, similarity, F.col("group_a") != F.col("group_b")).distinct()
-        between = materialise(between, "line-pairs")
-        more = _verified(between, _texts(classes, _members(between)), similarity)
-        roots = _joined(roots, more)
+        discard(keys)
+        release(docs.sparkSession)
+        between = _near(_side(grouped, "a"), _side(grouped, "b"), gate_bits, similarity, F.col("group_a") != F.col("group_b"))
+        between = materialise(_likely(between, once_bits), "line-pairs")
+        texts = _texts(classes, _members(between))
+        release(docs.sparkSession)
+        roots = _joined(roots, _verified(between, texts, similarity))
+        discard(between, texts, grouped)
     named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", "copies", "first", F.coalesce("root", "first").alias("root"))
     dirty = named.filter((F.col("copies") > 1) | (F.col("root") != F.col("first"))).select("h1", "h2", "root")
     gone = found.select("doc_id", "dk", "pos", "h1", "h2").join(dirty, ["h1", "h2"]).filter(_place() != F.col("root"))
