@@ -1,19 +1,27 @@
 """Personal data: candidate spans, boosted trees, calibrated thresholds.
 
 Base spans are found by fixed patterns per kind (see KINDS); they always stay. High-recall generators
-propose more, overlapping spans: every run of digit groups is proposed as a phone number, a card
-number and an address, and spelt-out mail addresses as mail. What a proposal is told by is discrete
-(its kind, digits, groups, separators, check sum, neighbouring characters, words before it), so all
-proposals of a corpus fall into cells whose number is bounded by the features' ranges (CELLS).
-
-Learning: a proposal that overlaps a base span of its kind is an example of it, any other is not; no
-feature tells the base pattern's own mark. Trees of depth two are boosted (logistic loss, Newton
-leaves) on the cells' counts, which hold all documents. For each kind the threshold is the lowest
-score from which the share of examples among documents not learnt from (a fifth, by hash) is at least
-``precision`` with at least ``support`` proposals; a kind that never gets there adds nothing.
+propose overlapping spans: of every run of digit groups all parts of up to ``PARTS`` groups (and the whole
+run) that have a phone's, a card's or an address's number of digits, and mail addresses, spelt out or not.
+What a proposal is told by is discrete (FEATURES: format, check, what stands before and after it; not whether
+it is a whole run, since base spans are), so all proposals of a corpus fall into cells whose number is bounded by the features' ranges
+(CELLS, some 134,000).
+
+Learning: a proposal that a base span marks (the plus of a phone, the at sign of a mail address, a card or
+an address that stands alone) is a sure example. No feature tells that mark, and one without it is not
+taken for a counterexample: what is learnt from are marked and unmarked proposals. Those within a span of
+another kind are sure counterexamples; those that merely overlap a span of their own kind are left out.
+Trees of depth two are boosted (logistic loss, Newton leaves) on the cells' counts, which hold all documents,
+to tell the share of marked ones. In cells that hold nothing but personal data this share is that of people
+who write the mark; it is read off the best held-out cells (a fifth of documents, by hash) that have half of
+all marked ones. An unmarked proposal is accepted from the lowest score on down to which held-out
+proposals, all taken together, have at least ``precision`` of that share, and those of that score half of it.
+A kind adds nothing with fewer than ``support`` marked held-out proposals, or if fewer than ``least_share`` of the
+best cells are marked, as the unmarked are then rather numbers of another sort.
 
 Everything on the documents is SQL: positions come from the lengths of matches and of the gaps
-between them, and the trees are compiled into one expression. The texts are read once.
+between them, summed in blocks, and spans are met by halving, so time is linear in a text's matches but for a
+logarithm. The trees are compiled into one expression. The texts are read once.
 
 Defined cases: a null text counts as empty and has no spans; positions are code points, end
 exclusive; repeated rows are judged alike; null doc_ids are kept; an empty table gives an empty
@@ -24,6 +32,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +49,22 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 NUMBER = r"(?<![0-9])[0-9]++(?:[ ().-]{1,3}[0-9]++)*+"
 SPELT = rf"(?i)(?<!{_LOCAL}){_LOCAL}++ ?(?:\(at\)|\[at\]|(?<= )at(?= )) ?[a-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|(?<= )dot(?= )) ?[a-z0-9-]++)++"
 _BEFORE = 24  # characters before a proposal that its features see
+PARTS = 6
 
 #: Feature and the number of values it can have.
-FEATURES = {"kind": 4, "digits": 8, "groups": 6, "longest": 6, "dots": 3, "dashes": 3, "blanks": 3, "brackets": 2, "luhn": 2, "byte_parts": 2, "before": 5, "word": 5}
+FEATURES = {"kind": 4, "digits": 7, "groups": 6, "signs": 5, "valid": 2, "glued": 2, "before": 4, "word": 5}
 CELLS = 2 * math.prod(FEATURES.values())
 
 
+def _running(x: str) -> str:
+    """SQL for the sums of what stands before each element of an array of numbers. Appending copies, so the
+    sums are taken in blocks of 64, then over blocks."""
+    return f"""get(transform(array(transform(transform(sequence(0, (size({x}) - 1) div 64), b -> slice({x}, b * 64 + 1, 64)),
+        k -> aggregate(k, array(0), (a, v) -> concat(a, array(element_at(a, -1) + v))))),
+      local -> get(transform(array(aggregate(local, array(0), (a, l) -> concat(a, array(element_at(a, -1) + element_at(l, -1))))),
+        base -> flatten(transform(local, (l, i) -> transform(slice(l, 1, size(l) - 1), v -> v + get(base, i))))), 0)), 0)"""
+
+
 def located(name: str, text: str, pattern: str, gate: Column | None = None) -> tuple[dict[str, Column], Column]:
     """Two steps: columns to make first, then the matches as an array of (start, end, match, left), from
     the columns' names. Matches do not overlap; left is what stands just before them."""
@@ -53,12 +72,11 @@ def located(name: str, text: str, pattern: str, gate: Column | None = None) -> t
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     if gate is not None:
         matches, gaps = F.when(gate, matches), F.when(gate, gaps)
+    lengths = f"transform({m}, (x, j) -> length(get({g}, j)) + length(x))"
     found = F.expr(
-        f"""aggregate(if(size({m}) > 0, sequence(0, size({m}) - 1), array()),
-          named_struct('at', 0, 'out', cast(array() as array<struct<start: int, end: int, match: string, left: string>>)),
-          (a, j) -> named_struct('at', a.at + length(get({g}, j)) + length(get({m}, j)), 'out', concat(a.out, array(named_struct(
-            'start', a.at + length(get({g}, j)), 'end', a.at + length(get({g}, j)) + length(get({m}, j)), 'match', get({m}, j), 'left', right(get({g}, j), {_BEFORE}))))),
-          a -> a.out)"""
+        f"""if(size({m}) > 0, get(transform(array({lengths}), n -> get(transform(array({_running('n')}), before -> transform({m}, (x, j) -> named_struct(
+            'start', get(before, j) + length(get({g}, j)), 'end', get(before, j) + get(n, j), 'match', x, 'left', right(get({g}, j), {_BEFORE})))), 0)), 0),
+          cast(array() as array<struct<start: int, end: int, match: string, left: string>>))"""
     )
     return {m: matches, g: gaps}, found
 
@@ -87,34 +105,68 @@ def _passes(kind: str, match: Column) -> Column:
     }[kind]
 
 
-def _capped(c: Column, most: int) -> Column:
-    return F.least(c, F.lit(most)).cast("int")
+def _before(left: str) -> str:
+    """0: white space, the text's begin, or a plus (the base pattern's own mark for phones)."""
+    return f"case when {left} = '' or {left} rlike '[\\\\s+]$' then 0 when {left} rlike '[\\\\p{{L}}_]$' then 1 when {left} rlike '[(\\\\[<:=,;]$' then 2 else 3 end"
 
 
-def _features(s: Column) -> dict[str, Column]:
-    """All but the kind; each within the range that FEATURES gives."""
-    match, left = s["match"], s["left"]
-    n, parts = F.length(_digits(match)), F.split(match, "[^0-9]+")
-    last = F.right(left, F.lit(1))
-    return {
-        "digits": F.when(n < 7, 0).when(n < 9, 1).when(n < 11, 2).when(n < 13, 3).when(n < 16, 4).when(n < 17, 5).when(n < 20, 6).otherwise(7),
-        "groups": _capped(F.size(parts) - 1, 5),
-        "longest": _capped(F.aggregate(parts, F.lit(0), lambda a, p: F.greatest(a, F.length(p))), 5),
-        "dots": _capped(F.length(match) - F.length(F.replace(match, F.lit("."), F.lit(""))), 2),
-        "dashes": _capped(F.length(match) - F.length(F.replace(match, F.lit("-"), F.lit(""))), 2),
-        "blanks": _capped(F.length(match) - F.length(F.replace(match, F.lit(" "), F.lit(""))), 2),
-        "brackets": F.when(match.contains("("), 1).otherwise(0),
-        "luhn": F.when(luhn(_digits(match)), 1).otherwise(0),
-        "byte_parts": F.when(match.rlike(r"^[0-9.]+$") & _small_parts(match), 1).otherwise(0),
-        # A plus is the base pattern's own mark for phones, so it counts as white space here.
-        "before": F.when(last == "", 0).when(last.rlike(r"[\s+]"), 1).when(last.rlike(r"[\p{L}_]"), 2).when(last.rlike(r"[(\[<:=,;]"), 3).otherwise(4),
-        "word": F.when(left.rlike(r"(?i)\b(?:tel|phone|call|fax|mobile|cell)\b"), 1).when(left.rlike(r"(?i)\b(?:card|visa|pay|credit|iban|account)\b"), 2)
-        .when(left.rlike(r"(?i)\b(?:ip|host|server|addr|address)\b"), 3).when(left.rlike(r"(?i)\b(?:mail|contact|write)\b"), 4).otherwise(0),
-    }
+def _word(left: str) -> str:
+    words = ("tel|phone|call|fax|mobile|cell", "card|visa|pay|credit|iban|account", "ip|host|server|addr|address", "mail|contact|write")
+    return "case " + " ".join(f"when {left} rlike '(?i)\\\\b(?:{w})\\\\b' then {k}" for k, w in enumerate(words, 1)) + " else 0 end"
+
+
+_PROPOSED = "array<struct<start: int, end: int, kind: int, digits: int, groups: int, signs: int, valid: int, glued: int, before: int, word: int>>"
+
+
+def _mail(of: str) -> str:
+    """SQL for the proposals of an array of mail addresses, spelt out or not; told by what they spell."""
+    plain = "lower(regexp_replace(regexp_replace(s.match, '(?i) ?(?:[(\\\\[]dot[)\\\\]]| dot ) ?', '.'), '(?i) ?(?:[(\\\\[]at[)\\\\]]| at ) ?', '@'))"
+    return f"""transform({of}, s -> get(transform(array({plain}), m -> named_struct('start', s.start, 'end', s.end, 'kind', 0,
+      'digits', least(6, size(split(substring_index(m, '@', -1), '[.]'))), 'groups', least(5, length(substring_index(m, '@', 1)) div 4), 'signs', 0,
+      'valid', if(m rlike '[.][a-z]{{2,6}}$', 1, 0), 'glued', 0, 'before', {_before('s.left')}, 'word', {_word('s.left')})), 0))"""
+
+
+def _numbers(of: str) -> str:
+    """SQL for the proposals of an array of runs of digit groups. A part is told by its groups and the
+    separators within it, never by cutting the run, so that a run of any length takes linear time."""
+    lengths = "transform(g, (x, j) -> length(get(p, j)) + length(x))"
+    digits = "get(d, i + n) - get(d, i)"
+    joined, inner = "array_join(slice(g, i + 1, n), '')", "array_join(slice(p, i + 2, n - 1), '')"
+    signs = f"get(transform(array({inner}), x -> case when x = '' then 0 when x rlike '^[.]+$' then 1 when x rlike '^-+$' then 2 when x rlike '^ +$' then 3 else 4 end), 0)"
+    luhn_sum = """aggregate(sequence(1, length(m)), 0, (a, k) -> a + get(transform(array(ascii(substr(m, length(m) - k + 1, 1)) - 48),
+      v -> if(k % 2 = 1, v, if(v > 4, v * 2 - 9, v * 2))), 0)) % 10 = 0"""
+
+    def part(kind: int, valid: str, low: int) -> str:
+        return f"""named_struct('start', s.start + get(at, i) + length(get(p, i)), 'end', s.start + get(at, i + n - 1) + length(get(p, i + n - 1)) + length(get(g, i + n - 1)), 'kind', {kind},
+          'digits', least(6, greatest(0, {digits} - {low})), 'groups', least({PARTS}, n) - 1, 'signs', {signs}, 'valid', if({valid}, 1, 0),
+          'glued', if(i + n = size(g) or startswith(get(p, i + n), ' '), 0, 1), 'before', if(i = 0, {_before('s.left')}, if(endswith(get(p, i), ' '), 0, if(endswith(get(p, i), '('), 2, 3))), 'word', {_word('s.left')})"""
+
+    small = "forall(slice(g, i + 1, n), x -> length(x) <= 3 and cast(x as int) <= 255)"
+    kinds = f"""concat(
+      if(n = 4 and {inner} = '...', array({part(1, small, 4)}), cast(array() as {_PROPOSED})),
+      if({digits} between 13 and 19, array({part(2, f"get(transform(array({joined}), m -> {luhn_sum}), 0)", 13)}), cast(array() as {_PROPOSED})),
+      if({digits} between 9 and 15, array({part(3, f"{digits} between 10 and 12", 9)}), cast(array() as {_PROPOSED})))"""
+    lengths_of = f"concat(sequence(1, least({PARTS}, size(g) - i)), if(i = 0 and size(g) between {PARTS + 1} and 19, array(size(g)), cast(array() as array<int>)))"
+    parts = f"flatten(transform(sequence(0, size(g) - 1), i -> flatten(transform({lengths_of}, n -> if({digits} between 4 and 19, {kinds}, cast(array() as {_PROPOSED}))))))"
+
+    def let(name: str, value: str, body: str) -> str:
+        return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+    sums = let("at", _running("n"), let("d", f"concat({_running('transform(g, x -> length(x))')}, array(aggregate(g, 0, (a, x) -> a + length(x))))", parts))
+    return f"""flatten(transform({of}, s -> if(length(s.match) < 7, cast(array() as {_PROPOSED}),
+      {let('g', "regexp_extract_all(s.match, '[0-9]+', 0)", let('p', "split(s.match, '[0-9]+', -1)", let('n', lengths, sums)))})))"""
+
+
+def _met(spans: str, s: str) -> str:
+    """SQL for the first of the sorted, disjoint spans that ends after s starts, found by halving; null if there is none."""
+    mid = "cast((a.lo + a.hi) div 2 as int)"
+    step = f"if(a.lo >= a.hi, a, if(get({spans}, {mid}).end <= {s}.start, named_struct('lo', {mid} + 1, 'hi', a.hi), named_struct('lo', a.lo, 'hi', {mid})))"
+    return f"if(size({spans}) = 0, null, get({spans}, aggregate(sequence(0, cast(log2(size({spans})) as int)), named_struct('lo', 0, 'hi', size({spans})), (a, k) -> {step}, a -> a.lo)))"
 
 
 def proposals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held (not learnt from), base and proposed spans, without the text."""
+    """One row per row of docs, without the text: doc_id, held (not learnt from), base spans, and proposed
+    ones with their state: 0 unmarked, 1 marked, 2 overlaps a base span of its kind, 3 one of another kind."""
     found = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     patterns = {
         "email": (EMAIL, F.col("text").contains("@")), "ip": (IP, F.col("text").rlike(r"[0-9]\.[0-9]")), "card": (CARD, F.col("text").rlike(r"[0-9][ -]?[0-9][ -]?[0-9]")),
@@ -128,97 +180,84 @@ def proposals(docs: DataFrame, text: str = "text") -> DataFrame:
     split = found.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held"), *(c.alias(n) for n, c in first.items()))
     placed = split.select("doc_id", "held", *(c.alias(k) for k, c in second.items()))
 
-    def kept(kind: str) -> Column:
-        return F.transform(
-            F.filter(kind, lambda s: _passes(kind, s["match"])), lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-        )
+    def kept_of(kind: str) -> Column:
+        return F.filter(kind, lambda s: _passes(kind, s["match"])).alias(kind)
 
-    def proposed(of: str, kind: str, when) -> Column:
-        def one(s: Column) -> Column:
-            return F.struct(
-                F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), *(c.cast("int").alias(n) for n, c in _features(s).items())
-            )
+    def base_of(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-        return F.transform(F.filter(of, when), one)
+    kept = placed.select("doc_id", "held", "number", "spelt", *(kept_of(k) for k in KINDS))
+    told = kept.select("doc_id", "held", *KINDS, F.expr(_numbers("number")).alias("parts"), F.expr(f"concat({_mail('email')}, {_mail('spelt')})").alias("mails"))
 
-    def n_digits(s: Column) -> Column:
-        return F.length(_digits(s["match"]))
+    def state(kind: int) -> str:
+        others = " or ".join(f"coalesce({_met(k, 's')}.start < s.end, false)" for k in KINDS if k != KINDS[kind])
+        marked = "b.end = s.end and b.start between s.start - 1 and s.start"
+        return f"get(transform(array({_met(KINDS[kind], 's')}), b -> case when coalesce({marked}, false) then 1 when coalesce(b.start < s.end, false) then 2 when {others} then 3 else 0 end), 0)"
 
-    all_base = F.concat(*(kept(k) for k in KINDS))
-    others = F.concat(
-        proposed("spelt", "email", lambda s: F.lit(True)),
-        proposed("number", "ip", lambda s: s["match"].rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$")),
-        proposed("number", "card", lambda s: n_digits(s).between(13, 19)),
-        proposed("number", "phone", lambda s: n_digits(s).between(9, 15)),
-    )
-    return placed.select("doc_id", "held", all_base.alias("base"), others.alias("proposed"))
+    def judged(of: str, kind: int) -> str:
+        fields = ", ".join(f"'{f}', s.{f}" for f in ("start", "end", *FEATURES))
+        return f"transform(filter({of}, s -> s.kind = {kind}), s -> named_struct({fields}, 'state', {state(kind)}))"
 
-
-def _overlaps(base: str, s: Column) -> Column:
-    return F.exists(base, lambda b: (b["kind"] == s["kind"]) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    proposed = "concat(" + ", ".join(judged("mails" if k == 0 else "parts", k) for k in range(len(KINDS))) + ")"
+    return told.select("doc_id", "held", F.concat(*(base_of(k) for k in KINDS)).alias("base"), F.expr(proposed).alias("proposed"))
 
 
 Tree = tuple  # (feature, at most, left, right) or a number
 
 
-def _leaf(rows: list, g: list[float], h: list[float]) -> float:
-    return sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1.0)
-
-
-def _grow(rows: list[int], cells: list[dict], g: list[float], h: list[float], depth: int) -> Tree | float:
+def _grow(rows: np.ndarray, cells: dict[str, np.ndarray], g: np.ndarray, h: np.ndarray, depth: int) -> Tree | float:
+    tg, th = g[rows].sum(), h[rows].sum()
     best, choice = 1e-9, None
-    tg, th = sum(g[i] for i in rows), sum(h[i] for i in rows)
-    if depth:
-        for f, n in FEATURES.items():
-            by_g, by_h = [0.0] * n, [0.0] * n
-            for i in rows:
-                by_g[cells[i][f]] += g[i]
-                by_h[cells[i][f]] += h[i]
-            lg = lh = 0.0
-            for cut in range(n - 1):
-                lg, lh = lg + by_g[cut], lh + by_h[cut]
-                gain = lg * lg / (lh + 1) + (tg - lg) ** 2 / (th - lh + 1) - tg * tg / (th + 1)
-                if gain > best and 0 < lh < th:
-                    best, choice = gain, (f, cut)
+    for f, size in FEATURES.items() if depth else ():
+        lg, lh = (np.cumsum(np.bincount(cells[f][rows], w[rows], size))[:-1] for w in (g, h))
+        gain = lg**2 / (lh + 1) + (tg - lg) ** 2 / (th - lh + 1) - tg**2 / (th + 1)
+        gain = np.where((lh > 1e-12) & (th - lh > 1e-12), gain, 0)
+        if len(gain) and gain.max() > best:
+            best, choice = gain.max(), (f, int(gain.argmax()))
     if not choice:
-        return 0.3 * _leaf(rows, g, h)
+        return float(0.3 * tg / (th + 1))
     f, cut = choice
-    return f, cut, *(_grow([i for i in rows if (cells[i][f] <= cut) == side], cells, g, h, depth - 1) for side in (True, False))
+    left = cells[f][rows] <= cut
+    return f, cut, _grow(rows[left], cells, g, h, depth - 1), _grow(rows[~left], cells, g, h, depth - 1)
 
 
-def _value(tree: Tree | float, cell: dict) -> float:
-    while isinstance(tree, tuple):
-        tree = tree[2] if cell[tree[0]] <= tree[1] else tree[3]
-    return tree
+def _value(tree: Tree | float, cells: dict[str, np.ndarray]) -> np.ndarray:
+    if not isinstance(tree, tuple):
+        return np.full(len(cells["n"]), tree)
+    return np.where(cells[tree[0]] <= tree[1], _value(tree[2], cells), _value(tree[3], cells))
 
 
-def boost(cells: list[dict], rounds: int = 30, depth: int = 2) -> list[Tree | float]:
-    """cells: features, n proposals, y of them examples."""
+def boost(cells: dict[str, np.ndarray], rounds: int = 40, depth: int = 2) -> list[Tree | float]:
+    """cells: arrays of features, n proposals and y marked ones among them."""
     trees: list[Tree | float] = []
-    score = [0.0] * len(cells)
-    total = sum(c["n"] for c in cells) or 1
-    for _ in range(rounds if cells else 0):
-        p = [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in score]
+    score, total = np.zeros(len(cells["n"])), max(1, cells["n"].sum())
+    for _ in range(rounds if len(score) else 0):
+        p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         # In units of a thousand proposals: the leaves' regularisation then does not depend on the corpus' size.
-        g = [(c["y"] - c["n"] * q) * 1000 / total for c, q in zip(cells, p)]
-        h = [c["n"] * q * (1 - q) * 1000 / total for c, q in zip(cells, p)]
-        tree = _grow(list(range(len(cells))), cells, g, h, depth)
-        trees.append(tree)
-        score = [s + _value(tree, c) for s, c in zip(score, cells)]
+        g, h = (cells["y"] - cells["n"] * p) * 1000 / total, cells["n"] * p * (1 - p) * 1000 / total
+        trees.append(_grow(np.arange(len(score)), cells, g, h, depth))
+        score = score + _value(trees[-1], cells)
     return trees
 
 
-def thresholds(cells: list[dict], trees: list, precision: float, support: int) -> dict[int, float]:
-    """kind -> lowest score from which the held-out proposals have the precision."""
+def thresholds(cells: dict[str, np.ndarray], trees: list, precision: float, support: int, least_share: float) -> dict[int, float]:
+    """kind -> lowest score from which unmarked proposals are accepted; cells: of documents not learnt from."""
     out = {}
+    scores = sum((_value(t, cells) for t in trees), np.zeros(len(cells["n"])))
     for kind in range(len(KINDS)):
-        ranked = sorted(((sum(_value(t, c) for t in trees), c["n"], c["y"]) for c in cells if c["kind"] == kind), reverse=True)
-        n = y = 0
-        for at, (score, cn, cy) in enumerate(ranked):
-            n, y = n + cn, y + cy
-            last = at + 1 == len(ranked) or ranked[at + 1][0] < score
-            if last and n >= support and y >= precision * n:
-                out[kind] = score
+        own = cells["kind"] == kind
+        levels = np.unique(scores[own])[::-1]
+        n, y = (np.array([c[own][scores[own] == v].sum() for v in levels], float) for c in (cells["n"], cells["y"]))
+        if y.sum() < support:
+            continue
+        n_up, y_up = np.cumsum(n), np.cumsum(y)
+        half = int(np.searchsorted(y_up, y.sum() / 2))
+        share = y_up[half] / n_up[half]
+        good = np.flatnonzero((y_up >= precision * share * n_up - 1e-9) & (y >= share / 2 * n))
+        if share >= least_share and len(good):
+            # Scores that no held-out proposal has are judged by the trees' own share, down to halfway to the next level.
+            last, floor = levels[good[-1]], math.log(share / (2 - share))
+            out[kind] = float(min(last, max(floor, (last + levels[good[-1] + 1]) / 2 if good[-1] + 1 < len(levels) else floor)))
     return out
 
 
@@ -228,20 +267,22 @@ def _sql(tree: Tree | float, s: str) -> str:
     return f"if({s}.{tree[0]} <= {tree[1]}, {_sql(tree[2], s)}, {_sql(tree[3], s)})"
 
 
-def find(docs: DataFrame, text: str = "text", precision: float = 0.98, support: int = 20) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", precision: float = 0.98, support: int = 20, least_share: float = 0.2) -> DataFrame:
     """One row per row of docs: doc_id, base and added spans (kind, start, end), both sorted."""
     seen = materialise(proposals(docs, text), "proposals")
-    each = seen.select("held", "base", F.explode("proposed").alias("s")).select(
-        "held", *(F.col(f"s.{f}").alias(f) for f in FEATURES), F.when(_overlaps("base", F.col("s")), 1).otherwise(0).alias("y")
-    )
-    cells = [r.asDict() for r in each.groupBy("held", *FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()]  # at most CELLS rows
-    trees = boost([c for c in cells if not c["held"]])
-    limits = thresholds([c for c in cells if c["held"]], trees, precision, support)
+    each = seen.select("held", F.explode("proposed").alias("s")).filter("s.state <> 2").select("held", *(F.col(f"s.{f}").alias(f) for f in FEATURES), (F.col("s.state") == 1).cast("int").alias("y"))
+    rows = each.groupBy("held", *FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()  # at most CELLS rows
+    columns = {c: np.array([r[c] for r in rows], np.int64) for c in ("held", "n", "y", *FEATURES)}
+    learnt, held = ({c: v[columns["held"] == h] for c, v in columns.items()} for h in (0, 1))
+    trees = boost(learnt)
+    limits = thresholds(held, trees, precision, support, least_share)
     score = " + ".join(_sql(t, "s") for t in trees) or "0D"
     accepted = " or ".join(f"(s.kind = {k} and {score} >= {v - 1e-9!r}D)" for k, v in limits.items()) or "false"
-    chosen = F.expr(f"filter(proposed, s -> ({accepted}) and not exists(base, b -> b.kind = s.kind and b.start < s.end and s.start < b.end))")
-    added = F.transform(chosen, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return seen.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(added).alias("added"))
+    chosen = seen.select("doc_id", "base", F.expr(f"array_sort(transform(filter(proposed, s -> s.state = 0 and ({accepted})), s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end)))").alias("c"))
+    # Of accepted spans of a kind, those within another go; spans sorted by start hold few others, all close by.
+    near = f"slice(c, greatest(1, i + 1 - {2 * PARTS}), {4 * PARTS})"
+    inside = f"exists({near}, q -> q.kind = s.kind and q.start <= s.start and q.end >= s.end and (q.start < s.start or q.end > s.end))"
+    return chosen.select("doc_id", F.array_sort("base").alias("base"), F.expr(f"array_distinct(filter(c, (s, i) -> not {inside}))").alias("added"))
 
 
 def redact(text: str = "text", base: str = "base", added: str = "added") -> Column:

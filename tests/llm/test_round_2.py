@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import chat_format, decontamination, licenses, line_dedup, packing, simhash_dedup
-from tests.llm.test_operators import docs, groups, prose
+from lectern.llm import chat_format, decontamination, licenses, line_dedup, packing, pii, simhash_dedup
+from tests.llm.test_operators import base_spans, docs, groups, prose
 
 
 def replaced(text, share, seed):
@@ -195,3 +195,66 @@ def test_license_spans_and_short_edits(spark):
     texts = ["İİİ x Released under the MIT License. y", "Released under MIT License", "released under the mit agreement", "İ", "ſ RELEASED UNDER THE MIT LICENSE", "x " * 100_000 + "Released under the MIT License."]
     got = {r.doc_id: texts[r.doc_id][r.start:r.end] for r in licenses.scan(docs(spark, [*texts, texts[0]])).filter("doc_id < 6").collect()}
     assert got == {0: "Released under the MIT License", 1: "Released under MIT License", 2: "released under the mit", 4: "RELEASED UNDER THE MIT LICENSE", 5: "Released under the MIT License"}
+
+
+# Personal data -----------------------------------------------------------------------------------
+
+
+def card(rng):
+    d = [int(x) for x in rng.integers(0, 10, 15)]
+    total = sum(v if i % 2 else (v * 2 - 9 if v > 4 else v * 2) for i, v in enumerate(reversed(d)))
+    return "".join(map(str, [*d, -total % 10]))
+
+
+def test_pii_adds_what_the_base_patterns_miss(spark):
+    """With the production thresholds: no plus, spelt-out mail, cards side by side, a phone before an address."""
+    rng = np.random.default_rng(1)
+    phone = lambda: f"({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
+    mail = lambda: (f"{prose(1, int(rng.integers(1 << 30)))}", f"{prose(1, int(rng.integers(1 << 30)))}")
+    texts = [f"call +1 {phone()} now" for _ in range(300)] + [f"write {a}@{b}.org today" for a, b in (mail() for _ in range(300))] + [f"pay {card(rng)} soon" for _ in range(300)]
+    texts += [f"number {rng.integers(10**7, 10**8)} of {rng.integers(1000, 9999)}-{rng.integers(10**9, 10**11)}" for _ in range(300)]
+    n = len(texts)
+    texts += [f"call 1 {phone()} now", "write jane (at) home (dot) org today", f"pay {card(rng)} {card(rng)} soon", f"pay {card(rng)[:-1]} soon"]
+    texts += [f"call 1 {phone()} now" for _ in range(40)]  # more than a tenth without the plus
+    rows = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
+    assert not any(rows[i].added for i in range(n))
+    added = {i: [(pii.KINDS[s.kind], texts[i][s.start:s.end]) for s in rows[i].added] for i in range(n, len(texts))}
+    assert added[n] == [("phone", texts[n][5:-4])] and added[n + 1] == [("email", "jane (at) home (dot) org")] and added[n + 3] == []
+    assert {t for _, t in added[n + 2]} >= set(texts[n + 2].split()[1:3])
+    assert all(len(added[i]) == 1 for i in range(n + 4, len(texts)))
+
+
+def test_trees_and_thresholds_against_plain_loops():
+    rng = np.random.default_rng(2)
+    cells = {f: rng.integers(0, n, 500) for f, n in pii.FEATURES.items()} | {"n": rng.integers(1, 50, 500)}
+    cells["y"] = np.where((cells["valid"] == 1) & (cells["signs"] == 3), (cells["n"] * 0.8).astype(int), 0)
+    trees = pii.boost(cells, rounds=10)
+
+    def one(tree, i):
+        while isinstance(tree, tuple):
+            tree = tree[2] if cells[tree[0]][i] <= tree[1] else tree[3]
+        return tree
+
+    score = [sum(one(t, i) for t in trees) for i in range(500)]
+    assert np.allclose(score, sum(pii._value(t, cells) for t in trees))
+    f, cut, *_ = trees[0]
+    gains = {}
+    for name, size in pii.FEATURES.items():  # the first cut is the best of all, by plain sums
+        for c in range(size - 1):
+            g, h = cells["y"] - cells["n"] * 0.5, cells["n"] * 0.25
+            k, left = 1000 / cells["n"].sum(), cells[name] <= c
+            gains[name, c] = sum((g[m].sum() * k) ** 2 / (h[m].sum() * k + 1) for m in (left, ~left))
+    assert gains[f, cut] == pytest.approx(max(gains.values()))
+    limits = pii.thresholds(cells, trees, 0.98, 20, 0.2)
+    for kind, limit in limits.items():
+        own = [i for i in range(500) if cells["kind"][i] == kind and score[i] >= limit - 1e-9]
+        assert sum(cells["y"][i] for i in own) >= 0.98 * 0.7 * sum(cells["n"][i] for i in own)
+    assert len(limits) == 4 and not pii.thresholds(cells, trees, 0.98, 10**6, 0.2)
+
+
+def test_pii_in_a_text_of_numbers(spark):
+    """Linear time: 1 MB of numbers, base spans as by the plain patterns."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(str(x) for x in rng.integers(0, 10**6, 150_000)), "x ".join(f"{a}.{a}.{b}.{b}" for a, b in rng.integers(0, 300, (20_000, 2))), "1.2.3.4." * 5_000]
+    for r in pii.find(docs(spark, [*texts, texts[2]])).filter("doc_id < 3").collect():
+        assert [(pii.KINDS[s.kind], s.start, s.end) for s in r.base] == base_spans(texts[r.doc_id])
