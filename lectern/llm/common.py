@@ -106,3 +106,33 @@ def small_side(df: DataFrame, values: str | None = None) -> DataFrame:
     if few and values:
         few = (df.agg(F.sum(F.size(values))).first()[0] or 0) <= BROADCAST_VALUES
     return F.broadcast(df) if few else df
+
+
+def bitmap_slots(hashes: int, least: int = 1 << 17, most: int = 1 << 20) -> int:
+    """Longs of a bitmap (1 to 8 MB): so many that at most an eighth of the bits is set, as far as the largest goes."""
+    slots = least
+    while slots < most and slots * 8 < hashes:
+        slots *= 2
+    return slots
+
+
+def _slot(h: Column, slots: int) -> Column:
+    return h.bitwiseAND(F.lit(slots - 1)).cast("int")
+
+
+def _bit(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
+
+
+def bitmap(hashes: DataFrame, slots: int) -> Column:
+    """The hashes (column h) as one array of so many longs, whatever their number; a scalar subquery."""
+    one = F.expr("shiftleft(cast(1 as bigint), b)")
+    bits = hashes.select(_slot(F.col("h"), slots).alias("s"), _bit(F.col("h")).alias("b")).groupBy("s").agg(F.bit_or(one).alias("bits"))
+    every = hashes.sparkSession.range(slots).select(F.col("id").cast("int").alias("s"), F.lit(0).cast("long").alias("bits"))
+    dense = bits.union(every).groupBy("s").agg(F.bit_or("bits").alias("bits"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "bits"))), lambda x: x["bits"]).alias("bitmap")).scalar()
+
+
+def marked(bits: Column, h: Column, slots: int) -> Column:
+    """True for every hash in the bitmap, and for a few others."""
+    return F.call_function("shiftrightunsigned", F.get(bits, _slot(h, slots)), _bit(h)).bitwiseAND(F.lit(1).cast("long")) == 1

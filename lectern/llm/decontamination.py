@@ -27,11 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import any_of, fresh, materialise, small_side
+from .common import any_of, bitmap, bitmap_slots, fresh, marked, materialise, small_side
 
 MASKS = ("11011011", "1110010101", "1010011011")
 _SHORT = "11111"  # for items shorter than all masks
-_SLOTS = 1 << 17  # longs of the bitmap, doubled for larger benchmarks up to 1 << 20: 1 to 8 MB
 
 
 def word_hashes(text: Column) -> Column:
@@ -53,31 +52,6 @@ def _starts(of: Column, masks: tuple[str, ...]) -> Column:
     return F.when(F.size(of) >= least, F.sequence(F.lit(0), F.size(of) - least))
 
 
-def _slot(h: Column, slots: int) -> Column:
-    return h.bitwiseAND(F.lit(slots - 1)).cast("int")
-
-
-def _bit(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(63)).cast("int")
-
-
-def _slots(hashes: int) -> int:
-    """So many that at most an eighth of the bits is set, as far as the largest bitmap goes."""
-    slots = _SLOTS
-    while slots < 8 * _SLOTS and slots * 8 < hashes:
-        slots *= 2
-    return slots
-
-
-def _bitmap(index: DataFrame, slots: int) -> Column:
-    """One array of so many longs, whatever the size of the benchmark."""
-    one = F.expr("shiftleft(cast(1 as bigint), b)")
-    bits = index.select(_slot(F.col("h"), slots).alias("s"), _bit(F.col("h")).alias("b")).groupBy("s").agg(F.bit_or(one).alias("bits"))
-    every = index.sparkSession.range(slots).select(F.col("id").cast("int").alias("s"), F.lit(0).cast("long").alias("bits"))
-    dense = bits.union(every).groupBy("s").agg(F.bit_or("bits").alias("bits"))
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "bits"))), lambda x: x["bits"]).alias("bitmap")).scalar()
-
-
 def benchmark_items(benchmark: DataFrame, text: str = "text") -> DataFrame:
     """(item, words): the word hashes of each different item under its smallest id."""
     words = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.coalesce(F.col(text), F.lit(""))).alias("words"))
@@ -95,8 +69,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", masks: t
     made = [F.when((F.size("words") < reach) | F.lit(mask != _SHORT), w) for w, mask in zip(_windows(F.col("words"), at, masks), masks)]
     index = index.select("item", "i", F.explode(F.array(*made)).alias("h")).filter("h is not null")
     index = materialise(index, "windows")
-    slots = _slots(index.count())
-    bitmap = _bitmap(index, slots)
+    slots = bitmap_slots(index.count())
+    bits = bitmap(index, slots)
 
     source = docs.select("doc_id", F.col(text).alias("text")).filter("text is not null").withColumn("dk", F.xxhash64("text"))
     hashed = source.select("doc_id", "dk", word_hashes(F.col("text")).alias("words"))
@@ -104,10 +78,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", masks: t
     names = [f"h{k}" for k in range(len(masks))]
     windows = placed.select("doc_id", "dk", "p", *(w.alias(n) for w, n in zip(_windows(F.col("words"), F.col("p"), masks), names)))
 
-    def marked(h: Column) -> Column:
-        return F.call_function("shiftrightunsigned", F.get(bitmap, _slot(h, slots)), _bit(h)).bitwiseAND(F.lit(1).cast("long")) == 1
-
-    likely = windows.filter(any_of([marked(F.col(n)) for n in names]))
+    likely = windows.filter(any_of([marked(bits, F.col(n), slots) for n in names]))
     hits = likely.select("doc_id", "dk", "p", F.explode(F.array(*names)).alias("h")).join(small_side(index), "h")
     diagonals = hits.select("doc_id", "dk", "item", (F.col("p") - F.col("i")).alias("diagonal")).distinct()
     per_doc = materialise(

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regexes import let
-from .common import discard, fresh, materialise, release, small_side
+from .common import bitmap, bitmap_slots, discard, fresh, marked, materialise, release, small_side
 from .components import components
 
 _CHUNK = 127  # words whose votes fit a counter of eight bits, the highest of which shares the sign
@@ -178,7 +178,11 @@ def _members(pairs: DataFrame) -> DataFrame:
 def _texts(classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h1, first, norm, letters) of the classes that are wanted (h1)."""
     wanted = materialise(wanted.distinct(), "line-wanted")
-    return materialise(classes.select("h1", "first", "norm").join(small_side(wanted), "h1").withColumn("letters", _letters(F.col("norm"))), "line-texts", "zstd")
+    slots = bitmap_slots(wanted.count())  # nearly all others go before anything is shuffled
+    likely = classes.select("h1", "first", "norm").filter(marked(bitmap(wanted.select(F.col("h1").alias("h")), slots), F.col("h1"), slots))
+    texts = materialise(likely.join(small_side(wanted), "h1").withColumn("letters", _letters(F.col("norm"))), "line-texts", "zstd")
+    discard(wanted)
+    return texts
 
 
 def _spelt(x: str) -> str:
@@ -226,6 +230,9 @@ def duplicate_lines(
     """(doc_id, dk, gone): the positions of the lines to remove from each document that loses any."""
     found = materialise(lines(docs, text, min_words), "lines", "zstd")
     classes = materialise(line_classes(found, shingles), "line-classes", "zstd")
+    places = materialise(found.drop("norm"), "line-places")
+    discard(found)
+    release(docs.sparkSession)
     keys = materialise(shared_keys(classes, max_bits), "line-keys")
     few, many = keys.filter(F.col("n") <= crowd), keys.filter(F.col("n") > crowd)
     centres = many.groupBy("key").agg(F.min(F.struct("h1", "sim", "words")).alias("c")).select("key", "c.*")
@@ -251,7 +258,7 @@ def duplicate_lines(
         discard(between, texts, grouped)
     named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", "copies", "first", F.coalesce("root", "first").alias("root"))
     dirty = named.filter((F.col("copies") > 1) | (F.col("root") != F.col("first"))).select("h1", "h2", "root")
-    gone = found.select("doc_id", "dk", "pos", "h1", "h2").join(dirty, ["h1", "h2"]).filter(_place() != F.col("root"))
+    gone = places.join(dirty, ["h1", "h2"]).filter(_place() != F.col("root"))
     return gone.groupBy("doc_id", "dk").agg(F.collect_set("pos").alias("gone"))
 
 
