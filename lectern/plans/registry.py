@@ -43,6 +43,8 @@ _SEGMENTS = """segments AS (
   SELECT user_id, event_id, epoch_us(ts) / 1e6 AS start, epoch_us(ts) / 1e6 + value AS "end", event_type, value FROM events
 )"""
 _TRIM = r"regexp_replace(regexp_replace({0}, '^[\s\x0b]+', ''), '[\s\x0b]+$', '')"
+#: DuckDB's own word ends know ASCII only, so words are put between two control characters first.
+_WORDS = r"regexp_replace({0}, '([\p{{L}}\p{{M}}\p{{N}}_]+)', chr(2) || '\1' || chr(3), 'g')"
 _SENTS = rf"""sents AS (
   SELECT doc_id, pos, sent, rtrim(regexp_replace(lower({_TRIM.format('sent')}), '[\s\x0b]+', ' ', 'g'), '.,!?;:') AS norm FROM (
     SELECT doc_id, unnest(parts) AS sent, generate_subscripts(parts, 1) AS pos FROM (
@@ -124,46 +126,49 @@ _register(
 # Cleaning ----------------------------------------------------------------------------------------
 
 _register(
-    "filler_clean", lambda s, d: _documents(s, d).filter("lang = 'en'").select("doc_id", T.remove_words(F.col("text"), ("the", "of", "and that")).alias("text")),
-    rf"""SELECT doc_id, {_TRIM.format(r"regexp_replace(regexp_replace(text, '(?i)\bthe\b|\bof\b|\band that\b', '', 'g'), '\s{2,}', ' ', 'g')")} AS text FROM documents WHERE lang = 'en'""",
+    "filler_clean", lambda s, d: _documents(s, d).select("doc_id", T.remove_words(F.col("text"), ("the", "of", "and that")).alias("text")),
+    rf"""SELECT doc_id, {_TRIM.format(r"regexp_replace(regexp_replace(text, '(?i)\bthe\b|\bof\b|\band that\b', '', 'g'), '\s{2,}', ' ', 'g')")} AS text FROM documents""",
 )
 _register(
-    "number_format", lambda s, d: _documents(s, d).select("doc_id", T.format_numbers(F.concat(F.col("n_chars").cast("string"), F.lit(", 500 and 2 ,"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit(" , 000 in 1990, 200 people"))).alias("text")),
-    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(n_chars::VARCHAR || ', 500 and 2 ,' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || ' , 000 in 1990, 200 people',
+    "number_format", lambda s, d: _documents(s, d).select("doc_id", T.format_numbers(F.concat(F.col("n_chars").cast("string"), F.lit(", 500 and 2 ,"), F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0"), F.lit(" , 000 in 1990, 200 people "), F.col("text"))).alias("text")),
+    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(n_chars::VARCHAR || ', 500 and 2 ,' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || ' , 000 in 1990, 200 people ' || text,
       '(\d+),\s+(\d{3})', '\1,\2', 'g'), '(\d+)\s+,(\d{3})', '\1,\2', 'g'), '(\d+)\s*,\s*(\d{3})', '\1,\2', 'g') AS text FROM documents""",
 )
 
 
 def _noisy() -> Column:
-    return F.concat(F.lit("Let's go. "), F.substring("text", 1, 200), F.lit(" Oh, oh, oh. Thank you. Maintain capitalization, as written. Copyright 2020 all rights reserved."))
+    return F.concat(F.lit("Let's go. "), F.col("text"), F.lit(" Oh, oh, oh. Thank you. Maintain capitalization, as written. Copyright 2020 all rights reserved."))
 
 
-_NOISY = "'Let''s go. ' || substr(text, 1, 200) || ' Oh, oh, oh. Thank you. Maintain capitalization, as written. Copyright 2020 all rights reserved.'"
+_NOISY = "'Let''s go. ' || text || ' Oh, oh, oh. Thank you. Maintain capitalization, as written. Copyright 2020 all rights reserved.'"
 
 
 def _sql_removals(expression: str, patterns) -> str:
+    """(doc_id, text, n_removed): one pattern after another, each counted in what the one before left."""
+    found = f"SELECT doc_id, {expression} AS text, 0 AS n_removed FROM documents"
     for p in patterns:
-        expression = f"regexp_replace({expression}, '(?i){p.replace(chr(39), chr(39) * 2)}', '', 'g')"
-    return expression
+        p = f"'(?i){p.replace(chr(39), chr(39) * 2)}'"
+        found = f"SELECT doc_id, regexp_replace(text, {p}, '', 'g') AS text, n_removed + len(regexp_extract_all(text, {p}))::INT AS n_removed FROM ({found})"
+    return found
 
 
 _register(
-    "artifact_clean", lambda s, d: _documents(s, d).filter("lang = 'en'").select("doc_id", T.remove_artifacts(_noisy()).alias("text"), F.map_values(T.artifact_counts(_noisy())).alias("counts")).select("doc_id", "text", F.aggregate("counts", F.lit(0), lambda a, c: a + c).alias("n_removed")),
-    f"""SELECT doc_id, {_sql_removals(_NOISY, (*T.INLINE_ARTIFACTS, *T.WATERMARKS))} AS text, 3 AS n_removed FROM documents WHERE lang = 'en'""",
+    "artifact_clean", lambda s, d: _documents(s, d).select("doc_id", T.remove_artifacts(_noisy()).alias("text"), F.map_values(T.artifact_counts(_noisy())).alias("counts")).select("doc_id", "text", F.aggregate("counts", F.lit(0), lambda a, c: a + c).alias("n_removed")),
+    _sql_removals(_NOISY, (*T.INLINE_ARTIFACTS, *T.WATERMARKS)),
 )
 _register(
-    "hallucination_clean", lambda s, d: _documents(s, d).filter("lang = 'en'").select("doc_id", T.remove_hallucinations(_noisy()).alias("text"), T.count_hallucinations(_noisy()).alias("n_removed")),
+    "hallucination_clean", lambda s, d: _documents(s, d).select("doc_id", T.remove_hallucinations(_noisy()).alias("text"), T.count_hallucinations(_noisy()).alias("n_removed")),
 )
 _register(
-    "prompt_clean", lambda s, d: _documents(s, d).filter("lang = 'en'").select("doc_id", T.remove_prompt_artifacts(_noisy()).alias("text")),
-    rf"""WITH a AS (SELECT doc_id, {_sql_removals(_NOISY, (*T.PRIMER_FRAGMENTS, *T.PROMPT_PHRASES))} AS t FROM documents WHERE lang = 'en')
+    "prompt_clean", lambda s, d: _documents(s, d).select("doc_id", T.remove_prompt_artifacts(_noisy()).alias("text")),
+    rf"""WITH a AS (SELECT doc_id, text AS t FROM ({_sql_removals(_NOISY, (*T.PRIMER_FRAGMENTS, *T.PROMPT_PHRASES))}))
     SELECT doc_id, {_TRIM.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[\s\x0b]+', ' ', 'g'), ',\s*,+', ',', 'g'), '\.\s*\.+', '.', 'g'), '^\s*[,\.]+\s*', '')")} AS text FROM a""",
 )
 _register(
-    "spacing_fix", lambda s, d: _documents(s, d).filter("lang = 'en'").select("doc_id", T.fix_spacing(F.concat(F.lit("let 's see , they 've . . gone; I 'm "), F.substring("text", 1, 300))).alias("text")),
+    "spacing_fix", lambda s, d: _documents(s, d).select("doc_id", T.fix_spacing(F.concat(F.lit("let 's see , they 've . . gone; I 'm "), "text")).alias("text")),
 )
 _register(
-    "spelling", lambda s, d: _documents(s, d).select("doc_id", spelling.convert_spelling(F.concat(F.lit("Color COLOR gray checks "), "text")).alias("text")).select("doc_id", F.length("text").alias("chars"), F.substring("text", 1, 40).alias("head")),
+    "spelling", lambda s, d: _documents(s, d).select("doc_id", spelling.convert_spelling(F.concat(F.lit("Color COLOR gray checks "), "text")).alias("text")),
 )
 _register(
     "spelling_tokens",
@@ -179,17 +184,19 @@ _register(
     "SELECT doc_id, replace(replace(text, 'the', '[muted]'), 'and', '[muted]') AS text FROM documents",
 )
 _register(
-    "join_false_breaks", lambda s, d: _documents(s, d).filter("lang = 'en'").select("doc_id", T.join_false_breaks(F.col("text")).alias("text")),
-    r"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b(a|an|the|our|as|of|to|in|on|at|by|for|with|from|but|and|or)\.\s+([A-Z][a-z]{2,})\b', '\1 \2', 'g'),
-      '\b(down|over|under|behind|above|below)\.\s+(Behind|Inside|Outside|Above|Below|Over|Under)\b', '\1 \2', 'g') AS text FROM documents WHERE lang = 'en'""",
+    "join_false_breaks", lambda s, d: _documents(s, d).select("doc_id", T.join_false_breaks(F.col("text")).alias("text")),
+    rf"""SELECT doc_id, replace(replace(regexp_replace(regexp_replace({_WORDS.format('text')},
+      '(?i)\x02(a|an|the|our|as|of|to|in|on|at|by|for|with|from|but|and|or)\x03\.[\s\x0b]+\x02([A-Z][a-z]{{2,}})\x03', '\1 \2', 'g'),
+      '\x02(down|over|under|behind|above|below)\x03\.[\s\x0b]+\x02(Behind|Inside|Outside|Above|Below|Over|Under)\x03', '\1 \2', 'g'), chr(2), ''), chr(3), '') AS text
+    FROM documents""",
 )
 _register("word_runs", lambda s, d: _docs(s, d).select("doc_id", S.collapse_word_runs(F.col("text"), 1).alias("text")))
 _register("phrase_runs", lambda s, d: _docs(s, d).select("doc_id", S.collapse_phrases(F.concat(F.lit("to go, to go, to go, and and and "), "text")).alias("text")))
 _register("repetition_collapse", lambda s, d: _docs(s, d).select("doc_id", S.collapse_repetitions(F.col("text"), 3).alias("text")))
 _register("missing_boundaries", lambda s, d: _docs(s, d).select("doc_id", T.fix_missing_boundaries(F.concat(F.lit("bound so its power now the god but "), "text")).alias("text")))
 _register(
-    "length_guard", lambda s, d: _docs(s, d).select("doc_id", T.length_guard(F.col("text"), F.substring("text", 1, 500), 0.4).alias("text")),
-    "SELECT doc_id, CASE WHEN length(substr(text, 1, 500)) < 0.4 * length(text) THEN text ELSE substr(text, 1, 500) END AS text FROM documents",
+    "length_guard", lambda s, d: _docs(s, d).select("doc_id", T.length_guard(F.col("text"), F.regexp_replace("text", "[a-m ]", ""), 0.4).alias("text")),
+    "SELECT doc_id, CASE WHEN length(p) < 0.4 * length(text) THEN text ELSE p END AS text FROM (SELECT *, regexp_replace(text, '[a-m ]', '', 'g') AS p FROM documents)",
 )
 _register(
     "suspicious", lambda s, d: _documents(s, d).select("doc_id", T.is_suspicious(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" (C) X"))).otherwise(F.col("text"))).alias("suspicious")),
@@ -204,7 +211,15 @@ _register(
       CASE WHEN {_TRIM.format("translate(t, '.!?,;:', '')")} = '' THEN '{T.NO_SPEECH_SHORT}' ELSE t END AS strict
     FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' || chr(10) WHEN doc_id % 3 = 1 THEN '. , !' ELSE text END AS t FROM documents)""",
 )
-_register("sentence_end", lambda s, d: S.explode_sentences(_docs(s, d)).select("doc_id", "pos", T.is_sentence_end(F.col("sentence")).alias("ends")))
+_register(
+    "sentence_end", lambda s, d: S.explode_sentences(_docs(s, d)).select("doc_id", "pos", T.is_sentence_end(F.col("sentence")).alias("ends")),
+    rf"""WITH {_SENTS}, t AS (SELECT doc_id, pos, {_TRIM.format('sent')} AS t FROM sents), w AS (
+      SELECT *, CASE WHEN t = '' THEN 0 ELSE len(regexp_split_to_array(t, '[\s\x0b]+')) END AS n, {_WORDS.format('t')} AS w FROM t)
+    SELECT doc_id, (pos - 1)::INT AS pos, CASE WHEN n < 8 THEN n >= 5 AND regexp_matches(t, '[.!?][\s\x0b]*$') AND NOT regexp_matches(t, '(?i)^(?:{T.FRAGMENTS})')
+      WHEN regexp_matches(w, '(?i)\x02(?:{T.GOING_ON})\x03[\s\x0b]*$|[,:.-][\s\x0b]*$') THEN false
+      WHEN NOT regexp_matches(w, '(?i)\x02(?:{T.VERBS})\x03') AND n < 15 THEN false
+      WHEN n < 20 THEN regexp_matches(w, '(?i)\x02(?:and|but|or)\x03') AND n >= 12 ELSE true END AS ends FROM w""",
+)
 
 # Segments ----------------------------------------------------------------------------------------
 
