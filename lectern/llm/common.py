@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from functools import reduce
 
@@ -65,6 +66,7 @@ def release(spark: SparkSession) -> None:
     """Let the shuffle files of steps that are written go now: Spark drops them when the driver finds their
     plans unused, for which it looks every half hour only."""
     gc.collect()
+    time.sleep(0.3)  # the JVM hears of what Python dropped a little later
     spark.sparkContext._jvm.System.gc()
 
 

@@ -166,9 +166,9 @@ def _code(word: Column) -> Column:
 
 
 def _letters(norm: Column) -> Column:
-    """A text with one letter for each word."""
+    """One letter of two bytes for each word."""
     codes = F.transform(F.split(norm, " "), lambda w: F.hex(_code(w) + 0x4E00))
-    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+    return F.unhex(F.array_join(codes, ""))
 
 
 def _members(pairs: DataFrame) -> DataFrame:
@@ -199,9 +199,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         return f"cast(floor(greatest({n_a}, {n_b}) * {1 - similarity!r} + 1e-9) as int)"
 
     a, b = sides("letters")
-    most = allowed("length(letters_a)", "length(letters_b)")
-    close = pairs.join(a, "a").join(b, "b").filter(F.expr(f"abs(length(letters_a) - length(letters_b)) <= {most}"))
-    close = materialise(close.filter(F.expr(f"levenshtein(letters_a, letters_b, {most}) >= 0")).select("a", "b"), "line-close")
+    most = allowed("length(letters_a) / 2", "length(letters_b) / 2")
+    close = pairs.join(a, "a").join(b, "b").filter(F.expr(f"abs(length(letters_a) - length(letters_b)) / 2 <= {most}"))
+    close = materialise(close.filter(F.expr(f"levenshtein(decode(letters_a, 'UTF-16BE'), decode(letters_b, 'UTF-16BE'), {most}) >= 0")).select("a", "b"), "line-close")
+    release(pairs.sparkSession)
     # Different words may have one letter, which only makes lines look closer; pairs with such words are spelt exactly.
     a, b = sides("first", "norm")
     most = allowed("size(split(norm_a, ' '))", "size(split(norm_b, ' '))")
@@ -239,6 +240,7 @@ def duplicate_lines(
     release(docs.sparkSession)
     pairs = _near(_side(few, "a"), _side(few, "b"), gate_bits, similarity).unionByName(_near(_side(centres, "a"), _side(many, "b"), gate_bits, similarity))
     pairs = materialise(_likely(pairs, once_bits), "line-pairs")
+    release(docs.sparkSession)
     texts = _texts(classes, _members(pairs))
     release(docs.sparkSession)
     roots = components(_verified(pairs, texts, similarity))
