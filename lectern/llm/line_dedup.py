@@ -19,8 +19,8 @@ are dropped within the join; so are pairs that meet once only and differ in more
 (0.002 of pairs at 0.8 do). Keys with more than ``crowd`` classes are first linked to one of their own; what that leaves in different groups is then joined as before, so no link
 between groups is lost, and a crowd of near copies does not yield all its pairs.
 
-Lines are normalised once and written. Their shingles and SimHashes are made once for each class, whose
-first text comes along when lines are grouped: later steps fetch texts from the classes and never go back
+Lines are normalised once and written. Their shingles and SimHashes are made once for each class, by a step
+of their own that shuffles nothing, and go once keys are found. The class's first text comes along when lines are grouped: later steps fetch texts from the classes and never go back
 to the documents, whose whole texts are never shuffled. Removals are applied by a join that is broadcast
 only below a checked number of rows.
 
@@ -106,17 +106,20 @@ def lines(docs: DataFrame, text: str = "text", min_words: int = 5) -> DataFrame:
     return norms.select("doc_id", "dk", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), F.when(long, F.col("norm")).alias("norm"))
 
 
-def line_classes(found: DataFrame, shingles: int) -> DataFrame:
-    """(h1, h2, copies, first, norm, words, met, sim) of each class; words, met (shingles) and sim are null where norm is."""
+def line_classes(found: DataFrame) -> DataFrame:
+    """(h1, h2, copies, first, norm) of each class."""
     per = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "dk", "pos", "norm")).alias("f"), F.count("*").alias("copies"))
-    own = per.select("h1", "h2", "copies", F.struct("f.doc_id", "f.dk", "f.pos").alias("first"), F.col("f.norm").alias("norm"))
-    hashed = own.withColumn("hs", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
+    return per.select("h1", "h2", "copies", F.struct("f.doc_id", "f.dk", "f.pos").alias("first"), F.col("f.norm").alias("norm"))
+
+
+def line_sketches(classes: DataFrame, shingles: int) -> DataFrame:
+    """(h1, words, met (shingles), sim) of the classes that have a norm."""
+    hashed = classes.filter("norm is not null").select("h1", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hs"))
     lanes = [f"l{j}" for j in range(8)]
     summed = hashed.select(
-        *own.columns, F.when(F.col("norm").isNotNull(), F.size("hs")).alias("words"), F.when(F.col("norm").isNotNull(), _shingles(F.col("hs"), shingles)).alias("met"),
-        *(_lane(F.col("hs"), j).alias(lane) for j, lane in enumerate(lanes)),
+        "h1", F.size("hs").alias("words"), _shingles(F.col("hs"), shingles).alias("met"), *(_lane(F.col("hs"), j).alias(lane) for j, lane in enumerate(lanes)),
     )
-    return summed.select(*own.columns, "words", "met", F.when(F.col("norm").isNotNull(), _simhash(lanes, F.col("words"))).alias("sim"))
+    return summed.select("h1", "words", "met", _simhash(lanes, F.col("words")).alias("sim"))
 
 
 def _keys(sim: Column, max_bits: int) -> Column:
@@ -146,11 +149,11 @@ def _likely(met: DataFrame, once_bits: int) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("bits").alias("bits")).filter((F.col("n") > 1) | (F.col("bits") <= once_bits)).select("a", "b")
 
 
-def shared_keys(classes: DataFrame, max_bits: int) -> DataFrame:
+def shared_keys(sketches: DataFrame, max_bits: int) -> DataFrame:
     """(h1, key, n, sim, words) of the keys that n > 1 classes share."""
-    met = classes.filter("words is not null").select("h1", F.explode_outer(F.concat(_keys(F.col("sim"), max_bits), "met")).alias("key"))
+    met = sketches.select("h1", F.explode_outer(F.concat(_keys(F.col("sim"), max_bits), "met")).alias("key"))
     shared = met.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    return shared.join(classes.select("h1", "sim", "words"), "h1")
+    return shared.join(sketches.select("h1", "sim", "words"), "h1")
 
 
 def _side(keys: DataFrame, x: str) -> DataFrame:
@@ -230,11 +233,13 @@ def duplicate_lines(
 ) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines to remove from each document that loses any."""
     found = materialise(lines(docs, text, min_words), "lines", "zstd")
-    classes = materialise(line_classes(found, shingles), "line-classes", "zstd")
+    classes = materialise(line_classes(found), "line-classes", "zstd")
     places = materialise(found.drop("norm"), "line-places")
     discard(found)
     release(docs.sparkSession)
-    keys = materialise(shared_keys(classes, max_bits), "line-keys")
+    sketches = materialise(line_sketches(classes, shingles), "line-sketches", "zstd")
+    keys = materialise(shared_keys(sketches, max_bits), "line-keys")
+    discard(sketches)
     few, many = keys.filter(F.col("n") <= crowd), keys.filter(F.col("n") > crowd)
     centres = many.groupBy("key").agg(F.min(F.struct("h1", "sim", "words")).alias("c")).select("key", "c.*")
     release(docs.sparkSession)
