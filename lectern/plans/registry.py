@@ -51,6 +51,17 @@ _SENTS = rf"""sents AS (
       SELECT doc_id, string_split(regexp_replace({_TRIM.format('text')}, '([.!?])[\s\x0b]+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)))"""
 _RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY pos) AS r FROM sents WHERE norm <> '')"
 
+#: Words and what lies between them, as a list.
+_TOKENS = "string_split(replace(" + _WORDS + ", chr(3), chr(2)), chr(2))"
+_UPPER_FIRST = "upper({0}[1]) || {0}[2:]"
+_SPLIT_WORDS = r"list_filter(regexp_split_to_array({0}, '[\s\x0b]+'), lambda w: w <> '')"
+
+
+def _sql_between(text: str, mark: str, one: str) -> str:
+    """The text with one (of p) applied to what lies between matches of mark."""
+    parts = f"string_split(regexp_replace({text}, '({mark})', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+    return f"array_to_string(list_transform({parts}, lambda p, i: CASE WHEN i % 2 = 0 THEN p ELSE {one} END), '')"
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -169,6 +180,10 @@ _register(
 )
 _register(
     "spelling", lambda s, d: _documents(s, d).select("doc_id", spelling.convert_spelling(F.concat(F.lit("Color COLOR gray checks "), "text")).alias("text")),
+    "WITH s AS (SELECT MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in spelling.BRITISH.items()) + "} AS british), t AS (SELECT doc_id, "
+    + _TOKENS.format("'Color COLOR gray checks ' || text") + f""" AS ws FROM documents)
+    SELECT doc_id, array_to_string(list_transform(ws, lambda w: CASE WHEN british[lower(w)] IS NULL THEN w WHEN upper(w) = w AND lower(w) <> w THEN upper(british[lower(w)])
+      WHEN w[1] <> lower(w[1]) THEN {_UPPER_FIRST.format('british[lower(w)]')} ELSE british[lower(w)] END), '') AS text FROM t, s""",
 )
 _register(
     "spelling_tokens",
@@ -221,6 +236,68 @@ _register(
       WHEN n < 20 THEN regexp_matches(w, '(?i)\x02(?:and|but|or)\x03') AND n >= 12 ELSE true END AS ends FROM w""",
 )
 
+_register(
+    "capital_sentences", lambda s, d: _docs(s, d).select("doc_id", T.capitalise_sentences(F.lower("text")).alias("text")),
+    f"""WITH {_SENTS} SELECT doc_id, coalesce(string_agg({_UPPER_FIRST.format('lower(sent)')}, ' ' ORDER BY pos) FILTER (sent <> ''), '') AS text FROM sents GROUP BY doc_id""",
+)
+_register(
+    "capital_words", lambda s, d: _docs(s, d).select("doc_id", T.capitalise_words(F.concat(F.lit("on monday i'm in FRANCE, not i. "), "text")).alias("text")),
+    "SELECT doc_id, array_to_string(list_transform(" + _TOKENS.format("'on monday i''m in FRANCE, not i. ' || text")
+    + f", lambda w: CASE WHEN lower(w) IN ({', '.join(repr(w) for w in T.PROPER_NOUNS)}) THEN {_UPPER_FIRST.format('lower(w)')} WHEN w = 'i' THEN 'I' ELSE w END), '') AS text FROM documents",
+)
+_register(
+    "final_cleanup", lambda s, d: _docs(s, d).select("doc_id", T.final_cleanup(F.concat(F.lit('he said " so " ,and left ;now '), "text")).alias("text")),
+    rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('he said " so " ,and left ;now ' || text, '[\s\x0b]+([,.!?;:])', '\1', 'g'), '([,.!?;:])[\s\x0b]*', '\1 ', 'g'), '[\s\x0b]+', ' ', 'g') AS t FROM documents),
+    b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '" +', '"', 'g'), ' +"', ' "', 'g') AS t FROM a),
+    c AS (SELECT doc_id, CASE WHEN t <> '' AND NOT regexp_matches(t, '[.!?]$') THEN t || '.' ELSE t END AS t FROM b)
+    SELECT doc_id, {_TRIM.format(_UPPER_FIRST.format('t'))} AS text FROM c""",
+)
+_register(
+    "decimal_cleanup", lambda s, d: _docs(s, d).select("doc_id", T.decimal_cleanup(F.concat(F.lit("it is 0. 25 of 1, 000 , or so .  then it ends! we go. "), "text")).alias("text")),
+    rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('it is 0. 25 of 1, 000 , or so .  then it ends! we go. ' || text, '(\d)\.[\s\x0b]+(\d)', '\1.\2', 'g'),
+      '(\d),[\s\x0b]+(\d{{3}})\b', '\1,\2', 'g'), '[^\S\n]+([,.!?;:])', '\1', 'g') AS t FROM documents),
+    p AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?][^\S\n]{{1,8}})([a-z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM a)
+    SELECT doc_id, array_to_string(list_transform(ps, lambda x, i: CASE WHEN i > 1 THEN {_UPPER_FIRST.format('x')} ELSE x END), '') AS text FROM p""",
+)
+_register(
+    "capital_split", lambda s, d: _docs(s, d).select("doc_id", F.posexplode(S.split_capital(F.col("text"))).alias("pos", "sentence")),
+    r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\x0b]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents)
+    SELECT doc_id, (generate_subscripts(ps, 1) - 1)::INT AS pos, unnest(ps) AS sentence FROM p""",
+)
+_register(
+    "reassemble", lambda s, d: S.reassemble(S.explode_sentences(_docs(s, d)).filter(F.col("pos") % 3 != 1)),
+    f"WITH {_SENTS} SELECT doc_id, string_agg(sent, ' ' ORDER BY pos) AS text FROM sents WHERE pos % 3 <> 2 GROUP BY doc_id",
+)
+_register(
+    "abbreviation_end",
+    lambda s, d: S.explode_sentences(_docs(s, d)).select("doc_id", "pos", T.is_abbreviation_end(F.concat("sentence", F.element_at(F.array(*(F.lit(x) for x in ("", " Dr.", " B.", "..."))), F.col("pos") % 4 + 1))).alias("open")),
+    rf"""WITH {_SENTS}, t AS (SELECT doc_id, (pos - 1)::INT AS pos, {_TRIM.format("(sent || ['', ' Dr.', ' B.', '...'][(pos - 1) % 4 + 1])")} AS t FROM sents),
+    w AS (SELECT *, regexp_split_to_array(t, '[\s\x0b]+')[-1] AS w FROM t)
+    SELECT doc_id, pos, w IN ({', '.join(repr(a) for a in T.ABBREVIATIONS)}) OR regexp_matches(w, '^[A-Z]\.$') OR ends_with(t, '...') AS open FROM w""",
+)
+_register(
+    "chunk_overlap",
+    lambda s, d: _conversations(s, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("c")).select("conv_id", P.drop_overlap(F.col("c.text"), 3).alias("text")),
+    r"""WITH w AS (SELECT conv_id, turn, text, regexp_split_to_array(text, '[\s\x0b]+') AS ws, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+    SELECT conv_id, string_agg(CASE WHEN NOT last AND len(ws) > 3 THEN array_to_string(ws[1:len(ws) - 3], ' ') ELSE text END, ' ' ORDER BY turn) AS text FROM w GROUP BY conv_id""",
+)
+_register(
+    "result_shape",
+    lambda s, d: transcripts.normalise_results(_conversations(s, d).select("conv_id", "turn", F.struct(
+        F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.lit(" ")).alias("text"),
+        F.when(F.col("turn") % 5 != 4, F.array(*(F.struct(c.alias("text")) for c in (F.col("text"), F.lit(None).cast("string"), F.concat(F.lit(" "), "role"))))).alias("segments"),
+        F.col("role").alias("language")).alias("result"))).select("conv_id", "turn", "result.text", F.size("result.segments").alias("n_segments"), "result.language"),
+    rf"""WITH t AS (SELECT *, {_TRIM.format('text')} AS t, turn % 5 <> 4 AS has FROM conversations)
+    SELECT conv_id, turn, coalesce(nullif(CASE turn % 3 WHEN 0 THEN t WHEN 1 THEN '' END, ''), CASE WHEN NOT has THEN '' WHEN t = '' THEN role ELSE t || ' ' || role END) AS text,
+      CASE WHEN NOT has THEN 0 WHEN t = '' THEN 1 ELSE 2 END::INT AS n_segments, role AS language FROM t""",
+)
+_register(
+    "label_text",
+    lambda s, d: _conversations(s, d).select("conv_id", "turn", F.split("text", " ").alias("ws")).select("conv_id", "turn", P.from_labels(F.col("ws"), F.transform("ws", lambda w, i: F.element_at(F.array(*map(F.lit, ("O", "COMMA", "O", "PERIOD"))), i % 4 + 1))).alias("text")),
+    r"""SELECT conv_id, turn, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, ' '), lambda w, i: w || ['', ' ,', '', ' .'][(i - 1) % 4 + 1]), ' '),
+      '[\s\x0b]+([.,!?])', '\1', 'g'), '([.,!?])([A-Z])', '\1 \2', 'g') AS text FROM conversations""",
+)
+
 # Segments ----------------------------------------------------------------------------------------
 
 _MERGED = """flagged AS (
@@ -237,7 +314,16 @@ _register(
     f"""WITH {_SEGMENTS}, {_MERGED.format(gap=3600)}, long AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "end" - start DESC, start, "end") AS r FROM merged WHERE "end" - start >= 10)
     SELECT user_id, start, "end", n FROM long WHERE r <= 5""",
 )
-_register("standard_segments", lambda s, d: G.standard_segments(_segments(s, d), ["user_id"], 0.5, 3600.0, 10, "pair_shortest").select("user_id", "start", "end"))
+_register(
+    "standard_segments", lambda s, d: G.standard_segments(_segments(s, d), ["user_id"], 0.5, 3600.0, 10, "pair_shortest").select("user_id", "start", "end"),
+    f"""WITH {_SEGMENTS}, {_MERGED.format(gap=3600)}, r AS (
+      SELECT user_id, start, "end", count(*) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY "end" - start, start, "end") AS r FROM merged WHERE "end" - start >= 0.5
+    ), c AS (SELECT *, total > 10 AND r <= total - least(10, total // 2) AS short FROM r),
+    n AS (SELECT *, coalesce(start - lag("end") OVER (PARTITION BY user_id ORDER BY r) <= 7200, false) AS near FROM c WHERE short),
+    g AS (SELECT *, sum((NOT near)::INT) OVER (PARTITION BY user_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS run FROM n),
+    p AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run ORDER BY r) - 1) // 2 AS pair FROM g)
+    SELECT user_id, start, "end" FROM c WHERE NOT short UNION ALL SELECT user_id, arg_min(start, r), max("end") FROM p GROUP BY user_id, run, pair""",
+)
 _register(
     "longest_k", lambda s, d: G.longest(_segments(s, d), ["user_id"], 3).select("user_id", "start", "end", "event_id"),
     f"""WITH {_SEGMENTS} SELECT user_id, start, "end", event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "end" - start DESC, start, "end") AS r FROM segments) WHERE r <= 3""",
@@ -313,8 +399,27 @@ _register(
 )
 _register("rich_paragraphs", lambda s, d: _docs(s, d).select("doc_id", F.posexplode(P.rich_paragraphs(F.col("text"))).alias("para_no", "text")))
 _register("format_paragraphs", lambda s, d: _docs(s, d).select("doc_id", P.refine_paragraphs(P.format_paragraphs(F.col("text"))).alias("text")))
-_register("refine_case", lambda s, d: _docs(s, d).select("doc_id", P.refine_case(F.col("text")).alias("text")))
-_register("split_long", lambda s, d: _docs(s, d).select("doc_id", P.split_long_sentences(F.col("text")).alias("text")))
+_COMMAS = r"""array_to_string(list_transform(string_split(regexp_replace(p, ',[\s\x0b]+([A-Z][a-z])', ',' || chr(2) || '\1', 'g'), chr(2)),
+  lambda x, k: CASE WHEN k = 1 OR regexp_matches(x, '^(?:The|An)(?:[^a-z]|$)') THEN x ELSE lower(x[1]) || x[2:] END), ' ')"""
+_LONE = "upper(w[1]) = w[1] AND lower(w[1]) <> w[1] AND lower(w[2:]) = w[2:] AND NOT (upper(w) = w AND length(w) > 1) AND w <> 'I'"
+_register(
+    "refine_case", lambda s, d: _docs(s, d).select("doc_id", P.refine_case(F.concat(F.lit("we Saw, The Cat, And An Owl at NASA. I Came so. "), "text")).alias("text")),
+    "SELECT doc_id, " + _sql_between("'we Saw, The Cat, And An Owl at NASA. I Came so. ' || text", r"[.!?]+[\s\x0b]+", "list_transform([" + _SPLIT_WORDS.format(_COMMAS) + "]," + f"""
+      lambda ws: array_to_string(list_transform(ws, lambda w, j: CASE WHEN j = 1 THEN {_UPPER_FIRST.format('w')} WHEN {_LONE} AND NOT regexp_matches(ws[j - 1], '[.!?]$') THEN lower(w[1]) || w[2:] ELSE w END), ' '))[1]""")
+    + " AS text FROM documents",
+)
+_register(
+    "lower_within", lambda s, d: _docs(s, d).select("doc_id", P.lower_within(F.concat(F.lit("we Saw NASA in the USA. it IS so! "), "text")).alias("text")),
+    "SELECT doc_id, " + _sql_between("'we Saw NASA in the USA. it IS so! ' || text", r"[.!?][\s\x0b]+", "array_to_string(list_transform(" + _SPLIT_WORDS.format("p") + f""",
+      lambda w, j: CASE WHEN j = 1 THEN {_UPPER_FIRST.format('lower(w)')} WHEN upper(w) = w AND lower(w) <> w AND length(w) <= 3 THEN w ELSE lower(w) END), ' ')""") + " AS text FROM documents",
+)
+_register(
+    "split_long", lambda s, d: _docs(s, d).select("doc_id", P.split_long_sentences(F.col("text")).alias("text")),
+    rf"""WITH {_SENTS}, cut AS (SELECT doc_id, pos, CASE WHEN length(sent) <= 170 THEN sent ELSE array_to_string(list_transform(
+      regexp_extract_all(regexp_replace(sent, '[\s\x0b]+', ' ', 'g'), '\S.{{0,169}}(?: |$)|\S+(?: |$)'), lambda x: CASE WHEN regexp_matches(rtrim(x), '[.!?]$') THEN rtrim(x) ELSE rtrim(x) || '.' END), ' ') END AS line
+      FROM sents WHERE sent <> '')
+    SELECT d.doc_id, coalesce(c.text, '') AS text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, ' ' ORDER BY pos) AS text FROM cut GROUP BY doc_id) c ON d.doc_id = c.doc_id""",
+)
 _register("segment_paragraphs", lambda s, d: P.segment_paragraphs(_conversations(s, d).withColumn("start", F.col("turn") * 2.0).withColumn("end", F.col("turn") * 2.0 + F.when(F.col("role") == "user", 1.9).otherwise(0.5)), ["conv_id"]))
 _register(
     "gap_paragraphs",
