@@ -525,9 +525,12 @@ _register(
     """SELECT term, min(doc_id) AS pos FROM (SELECT doc_id, split_part(text, ' ', 1) AS term FROM documents) WHERE term <> '' AND NOT starts_with(term, '#') GROUP BY term ORDER BY pos LIMIT 100""",
 )
 _register(
-    "prompt_builder", lambda s, d: _conversations(s, d).groupBy("conv_id").agg(F.array_sort(F.collect_set("text")).alias("terms")).select("conv_id", T.build_prompt(F.col("terms")).alias("prompt")),
-    """WITH j AS (SELECT conv_id, string_agg(text, '; ' ORDER BY text) AS p FROM (SELECT DISTINCT conv_id, text FROM conversations) GROUP BY conv_id)
-    SELECT conv_id, CASE WHEN length(p) > 600 THEN regexp_replace(left(p, 597), '\\s+$', '') || '...' ELSE p END AS prompt FROM j""",
+    "prompt_builder", lambda s, d: _conversations(s, d).groupBy("conv_id").agg(F.array_sort(F.collect_set("text")).alias("terms")).select(
+        "conv_id", T.build_prompt(F.col("terms")).alias("prompt"), T.build_prompt(F.col("terms"), 300, "As you know, it is so.", F.when(F.col("conv_id") % 2 == 0, F.lit(" A lecture "))).alias("primed")),
+    """WITH j AS (SELECT conv_id, string_agg(text, '; ' ORDER BY text) AS p FROM (SELECT DISTINCT conv_id, text FROM conversations) GROUP BY conv_id),
+    k AS (SELECT *, CASE WHEN conv_id % 2 = 0 THEN 'A lecture. ' ELSE '' END || 'As you know, it is so.' || CASE WHEN p = '' THEN '' ELSE ' ' || p END AS q FROM j)
+    SELECT conv_id, CASE WHEN length(p) > 600 THEN regexp_replace(left(p, 597), '\\s+$', '') || '...' ELSE p END AS prompt,
+      CASE WHEN length(q) > 300 THEN regexp_replace(left(q, 297), '\\s+$', '') || '...' ELSE q END AS primed FROM k""",
 )
 _register(
     "progress_parse",
@@ -566,7 +569,42 @@ _register(
     "pipeline_live",
     lambda s, d: pipelines.live(_conversations(s, d).select("conv_id", (F.col("turn") * 2.0).alias("start"), (F.col("turn") * 2.0 + 1).alias("end"), "text", F.lit(0.0).alias("avg_logprob"), F.lit(0.0).alias("no_speech_prob")), ["conv_id"]).select("conv_id", "text", F.size("paragraphs").alias("n_paragraphs")),
 )
+_register("pipeline_lecture", lambda s, d: pipelines.lecture(_docs(s, d)).select("doc_id", "text", F.size("paragraphs").alias("n_paragraphs")))
+_register("pipeline_no_vad", lambda s, d: pipelines.no_vad(_docs(s, d)).select("doc_id", "text", F.size("paragraphs").alias("n_paragraphs")))
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as results of a recording's pieces, 25 seconds apart."""
+    turn, text = F.col("turn"), F.col("text")
+    said = F.when(turn % 4 == 1, F.lit("")).when(turn % 4 == 2, F.concat(F.lit(" "), text)).when(turn % 4 == 3, F.lit(". ")).otherwise(text)
+    segments = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.col("role").alias("text")) for a, b in ((30.0, 31.0), (2.0, 3.0))))
+    return _conversations(spark, sf_dir).select(
+        "conv_id", turn.alias("segment_id"), (turn * 25.0).alias("start_time"), said.alias("text"), F.when(turn != 1, segments).alias("segments"), F.when(turn > 1, F.col("role")).alias("language"))
+
+
+_PIECES = """pieces AS (SELECT conv_id, turn, role, CASE turn % 4 WHEN 1 THEN '' WHEN 2 THEN ' ' || text WHEN 3 THEN '. ' ELSE text END AS said FROM conversations)"""
+_register(
+    "pipeline_vad_parallel",
+    lambda s, d: pipelines.combine_results(_pieces(s, d), ["conv_id"]).select("conv_id", "text", F.to_json("segments").alias("segments"), "language").select(
+        "conv_id", "text", F.regexp_replace("segments", r'[{}\[\]"]', "").alias("segments"), "language"),
+    rf"""WITH {_PIECES}, t AS (SELECT conv_id, string_agg({_TRIM.format('said')}, ' ' ORDER BY turn) FILTER (said <> '') AS text, arg_min(role, turn) FILTER (turn > 1) AS language FROM pieces GROUP BY conv_id),
+    g AS (SELECT conv_id, turn, role, unnest([30.0, 2.0])::DOUBLE + turn * 25.0 AS start, unnest([1, 2]) AS i FROM pieces WHERE turn <> 1),
+    j AS (SELECT conv_id, string_agg('start:' || start::DOUBLE || ',end:' || (start + 1)::DOUBLE || ',text:' || role, ',' ORDER BY start, turn, i) AS segments FROM g GROUP BY conv_id)
+    SELECT t.conv_id, coalesce({_TRIM.format('t.text')}, '') AS text, coalesce(segments, '') AS segments, language FROM t LEFT JOIN j ON t.conv_id = j.conv_id""",
+)
+_register("pipeline_hybrid", lambda s, d: pipelines.hybrid(_pieces(s, d), ["conv_id"]).select("conv_id", "text", F.size("paragraphs").alias("n_paragraphs")))
+_register(
+    "pipeline_semantic",
+    lambda s, d: pipelines.semantic_paragraphs(_embeddings(s, d).select((F.floor(F.col("vec_id") / 20)).alias("doc"), "vec_id", "embedding", F.concat(F.lit("This is what was said at place "), F.col("vec_id").cast("string"), F.lit(".")).alias("text")), ["doc"], "vec_id", "embedding"),
+)
+_register(
+    "pipeline_questions", lambda s, d: pipelines.questions(_conversations(s, d), ["conv_id"], "turn", question=F.col("role") == "user"),
+    """WITH l AS (SELECT *, lag(role = 'user' OR starts_with(text, 'Q:')) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations),
+    m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN CASE WHEN starts_with(text, 'Q:') THEN text ELSE 'Q: ' || text END
+      WHEN after THEN CASE WHEN starts_with(text, 'A:') THEN text ELSE 'A: ' || text END ELSE text END AS line FROM l)
+    SELECT conv_id, string_agg(line, chr(10) || chr(10) ORDER BY turn) AS text, count(*) FILTER (starts_with(line, 'Q:'))::INT AS n_questions FROM m GROUP BY conv_id""",
+)
 _register(
     "pipeline_report",
-    lambda s, d: pipelines.report(pipelines.postprocess(_docs(s, d).withColumn("before", F.col("text"))), "before", "text").select("doc_id", F.to_json("report").alias("report")),
+    lambda s, d: pipelines.report(pipelines.postprocess(_docs(s, d).withColumn("before", F.col("text")), pipelines.Settings(statistics=True)), "before", "text").select("doc_id", F.to_json("report").alias("report")),
 )

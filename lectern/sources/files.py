@@ -19,6 +19,11 @@ def listing(spark: SparkSession, folder: str, recursive: bool = True, pattern: s
     return reader.load(folder).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size")).withColumn("ext", extension(F.col("path")))
 
 
+def in_order(files: DataFrame) -> DataFrame:
+    """A batch in the order of its paths."""
+    return files.orderBy("path")
+
+
 def media(files: DataFrame, kinds: tuple[str, ...] = MEDIA) -> DataFrame:
     return files.filter(F.col("ext").isin(*kinds))
 

@@ -13,9 +13,11 @@ SEGMENT = "doc_id long, seg_no int, start double, end double, text string, avg_l
 
 
 def read_transcripts(spark: SparkSession, folder: str, pattern: str = "*.txt", recursive: bool = False) -> DataFrame:
-    """(path, stem, text, source, body) of whole text files; what is not UTF-8 is replaced."""
+    """(path, stem, text, source, body) of whole text files. Bytes that are not UTF-8 are dropped, and with them,
+    in such files only, characters that stand for unreadable ones."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(folder)
-    text = F.expr("make_valid_utf8(cast(content as string))")
+    raw = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
     texts = files.select("path", F.regexp_replace(text, "\r\n?", "\n").alias("text"))
     return texts.select("path", stem(F.col("path")).alias("stem"), "text", header_source(F.col("text")).alias("source"), body(F.col("text")).alias("body"))
 
