@@ -20,7 +20,7 @@ def test_small_letters_within_sentences(spark):
 
 def test_case_after_commas_and_marks(spark):
     texts = ["x, The Cat,\n Andy, An Owl", "one? Two A. Three", "I am. I, I'm A cat... b", "", None]
-    assert _one(spark, texts, P.refine_case) == ["X, the cat, andy, an owl", "One? Two A. Three", "I am. I, i'm a cat... B", "", None]
+    assert _one(spark, texts, P.refine_case) == ["X, the cat, andy, an owl", "One? Two a. Three", "I am. I, i'm a cat... B", "", None]
 
 
 def test_long_sentences_fill_their_lines(spark):
