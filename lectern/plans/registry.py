@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import metadata as M
 from ..functions import spelling
 from ..functions import text as T
+from ..functions.regexes import lower
 from ..operators import paragraphs as P
 from ..operators import segments as G
 from ..operators import sentences as S
@@ -237,7 +238,7 @@ _register(
 )
 
 _register(
-    "capital_sentences", lambda s, d: _docs(s, d).select("doc_id", T.capitalise_sentences(F.lower("text")).alias("text")),
+    "capital_sentences", lambda s, d: _docs(s, d).select("doc_id", T.capitalise_sentences(lower(F.col("text"))).alias("text")),
     f"""WITH {_SENTS} SELECT doc_id, coalesce(string_agg({_UPPER_FIRST.format('lower(sent)')}, ' ' ORDER BY pos) FILTER (sent <> ''), '') AS text FROM sents GROUP BY doc_id""",
 )
 _register(
