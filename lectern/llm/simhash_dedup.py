@@ -18,7 +18,8 @@ of 64 bits differ, too many for segments to tell pairs apart, so such pairs meet
 pairs at 0.8 share a key). Pairs that meet pass the Hamming check at ``wide_bits`` bits, then the shingles
 themselves are compared. Keys with more than ``crowd`` classes are first linked to one of their own; classes
 of such a key that this leaves in different groups meet again where they share a second key (0.996 of pairs
-at 0.8), so a crowd of near copies does not yield all its pairs and an accidental crowd falls apart.
+at 0.8), and what is in different groups even then is compared with all others of its key. So a crowd of near
+copies does not yield all its pairs, and no pair of different groups is left out.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like
 any other; repeated rows share a class; rows with a null doc_id get a fingerprint and the component
@@ -206,13 +207,21 @@ def _wide_links(classes: DataFrame, docs: DataFrame, text: str, words: int, simi
     found = materialise(_similar(pairs, classes, docs, text, words, similarity), "near-links")
     if not many.head(1):
         return found
-    roots = components(found).withColumnRenamed("node", "ck")
-    grouped = materialise(many.join(roots, "ck", "left").select("key", "ck", "fp", F.coalesce("root", "ck").alias("group")), "near-crowds")
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
-    open_ = grouped.join(mixed, "key").join(keys.select("ck", F.col("key").alias("other")), "ck").filter("key <> other")
-    again = open_.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "ck", "fp", "group").distinct()
-    between = materialise(_met(again, again, wide_bits, F.col("a_group") != F.col("b_group")).distinct(), "near-pairs")
-    return found.unionByName(_similar(between, classes, docs, text, words, similarity))
+    for whole in (False, True):
+        roots = components(found).withColumnRenamed("node", "ck")
+        grouped = materialise(many.join(roots, "ck", "left").select("key", "ck", "fp", F.coalesce("root", "ck").alias("group")), "near-crowds")
+        mixed = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
+        again = materialise(grouped.join(mixed, "key"), "near-open")
+        if not again.head(1):
+            break
+        if not whole:
+            open_ = again.join(keys.select("ck", F.col("key").alias("other")), "ck").filter("key <> other")
+            again = open_.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "ck", "fp", "group").distinct()
+        between = _met(again, again, wide_bits, F.col("a_group") != F.col("b_group")).distinct().join(pairs, ["a", "b"], "left_anti")
+        between = materialise(between, "near-pairs")
+        found = materialise(found.unionByName(_similar(between, classes, docs, text, words, similarity)), "near-links")
+        pairs = pairs.unionByName(between)
+    return found
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = 3, max_bits: int = 3, similarity: float | None = None, wide_bits: int = 24, crowd: int = 64) -> DataFrame:
