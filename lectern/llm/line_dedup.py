@@ -15,10 +15,14 @@ and miss each other with a chance of at most 0.75 ** shingles (0.03), less for e
 Pigeonhole: besides, the 64 bits of the SimHash over the words are max_bits + 2 blocks, and classes within
 max_bits bits agree on two of them and meet there. Lengths that rule the similarity out, and SimHashes
 that differ in more than ``gate_bits`` bits (at similarity 0.8 about 12 differ, 32 between unlike lines),
-are dropped within the join; so are pairs that meet once only and differ in more than ``once_bits`` bits
+are dropped within the join; so are pairs whose words differ too much, whatever their order: of a bit for
+each word, turned over for each time it occurs, an edit changes two at most; and pairs that meet once only and differ in more than ``once_bits`` bits
 (0.002 of pairs at 0.8 do). Keys with more than ``crowd`` classes are first linked to one of their own; what that leaves in different groups is then joined as before, so no link
 between groups is lost, and a crowd of near copies does not yield all its pairs.
 
+Disk: keys are dealt into ``slices`` by their lowest bits, and one slice after another is grouped and joined;
+pairs get their letters in slices of at most some millions. What a slice has shuffled goes before the next.
+
 Lines are normalised once and written. Their shingles and SimHashes are made once for each class, by a step
 of their own that shuffles nothing, and go once keys are found. The class's first text comes along when lines are grouped: later steps fetch texts from the classes and never go back
 to the documents, whose whole texts are never shuffled. Removals are applied by a join that is broadcast
@@ -32,6 +36,7 @@ and ``n_chars``, if present, is recomputed.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +48,8 @@ from .components import components
 
 _CHUNK = 127  # words whose votes fit a counter of eight bits, the highest of which shares the sign
 _LANES = 0x0101010101010101
+_PAIRS = 4_000_000  # pairs that get their letters at once
+_WIDE = [f"odd{q}" for q in range(4)]
 _SHORT = 5  # words up to which one edit can leave no three words in a row
 
 
@@ -82,6 +89,17 @@ def _simhash(lanes: list[str], n: Column) -> Column:
     return F.when(n <= _CHUNK, out).otherwise(long)
 
 
+def _odd(hashes: str) -> Column:
+    """A bit is 1 if an odd number of the words have it: an edit changes one or, as a substitution, two bits."""
+    return F.expr(f"aggregate({hashes}, 0L, (bits, h) -> bits ^ shiftleft(1L, cast(shiftrightunsigned(h, 58) as int)))")
+
+
+def _odd_wide(hashes: str) -> list[Column]:
+    """As _odd, but of 256 bits, which tells longer lines apart too."""
+    one = "bits ^ shiftleft(1L, cast(shiftrightunsigned(h, 58) as int))"
+    return [F.expr(f"aggregate({hashes}, 0L, (bits, h) -> if((shiftrightunsigned(h, 56) & 3) = {q}, {one}, bits))").alias(f"odd{q}") for q in range(4)]
+
+
 def _shingles(hashes: Column, most: int) -> Column:
     """The least hashes of shingles of three words, at most so many; of a short line, all of two as well."""
 
@@ -113,13 +131,13 @@ def line_classes(found: DataFrame) -> DataFrame:
 
 
 def line_sketches(classes: DataFrame, shingles: int) -> DataFrame:
-    """(h1, words, met (shingles), sim) of the classes that have a norm."""
+    """(h1, words, met (shingles), sim, odd) of the classes that have a norm."""
     hashed = classes.filter("norm is not null").select("h1", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hs"))
     lanes = [f"l{j}" for j in range(8)]
     summed = hashed.select(
-        "h1", F.size("hs").alias("words"), _shingles(F.col("hs"), shingles).alias("met"), *(_lane(F.col("hs"), j).alias(lane) for j, lane in enumerate(lanes)),
+        "h1", F.size("hs").alias("words"), _shingles(F.col("hs"), shingles).alias("met"), _odd("hs").alias("odd"), *(_lane(F.col("hs"), j).alias(lane) for j, lane in enumerate(lanes)),
     )
-    return summed.select("h1", "words", "met", _simhash(lanes, F.col("words")).alias("sim"))
+    return summed.select("h1", "words", "met", _simhash(lanes, F.col("words")).alias("sim"), "odd")
 
 
 def _keys(sim: Column, max_bits: int) -> Column:
@@ -138,9 +156,10 @@ def _differ(a: str, b: str) -> Column:
 
 
 def _near(a: DataFrame, b: DataFrame, gate_bits: int, similarity: float, also: Column | None = None) -> DataFrame:
-    """(a, b, bits) of the rows that share a key, differ in at most gate_bits bits and can be similar by their words' numbers."""
+    """(a, b, bits) of the rows that share a key, differ in at most gate_bits bits and can be similar by their words."""
+    longer = F.greatest("words_a", "words_b")
     near = (F.col("a") < F.col("b")) & (_differ("sim_a", "sim_b") <= gate_bits)
-    near = near & (F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * similarity - 1e-9)
+    near = near & (F.least("words_a", "words_b") >= longer * similarity - 1e-9) & (_differ("odd_a", "odd_b") <= 2 * F.floor(longer * (1 - similarity) + 1e-9))
     return a.join(b, "key").filter(near if also is None else near & also).select("a", "b", _differ("sim_a", "sim_b").alias("bits"))
 
 
@@ -149,15 +168,16 @@ def _likely(met: DataFrame, once_bits: int) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("bits").alias("bits")).filter((F.col("n") > 1) | (F.col("bits") <= once_bits)).select("a", "b")
 
 
-def shared_keys(sketches: DataFrame, max_bits: int) -> DataFrame:
-    """(h1, key, n, sim, words) of the keys that n > 1 classes share."""
-    met = sketches.select("h1", F.explode_outer(F.concat(_keys(F.col("sim"), max_bits), "met")).alias("key"))
-    shared = met.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    return shared.join(sketches.select("h1", "sim", "words"), "h1")
+def shared_keys(sketches: DataFrame, max_bits: int, slice_: int = 0, slices: int = 1) -> DataFrame:
+    """(h1, sim, words, odd, key, n) of the keys that n > 1 classes share; of so many slices of the keys, one."""
+    every = F.concat(_keys(F.col("sim"), max_bits), "met")
+    own = F.filter(every, lambda k: k.bitwiseAND(F.lit(slices - 1).cast("long")) == slice_) if slices > 1 else every
+    met = sketches.select("h1", "sim", "words", "odd", F.explode_outer(own).alias("key")).filter("key is not null")
+    return met.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
 
 
 def _side(keys: DataFrame, x: str) -> DataFrame:
-    return keys.select("key", F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("sim", "words", "group")))
+    return keys.select("key", F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("sim", "words", "odd", "group", *_WIDE)))
 
 
 def _place() -> Column:
@@ -203,9 +223,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
     a, b = sides("letters")
     most = allowed("length(letters_a) / 2", "length(letters_b) / 2")
-    close = pairs.join(a, "a").join(b, "b").filter(F.expr(f"abs(length(letters_a) - length(letters_b)) / 2 <= {most}"))
-    close = materialise(close.filter(F.expr(f"levenshtein(decode(letters_a, 'UTF-16BE'), decode(letters_b, 'UTF-16BE'), {most}) >= 0")).select("a", "b"), "line-close")
-    release(pairs.sparkSession)
+    slices, parts = pairs.count() // _PAIRS + 1, []
+    for k in range(slices):
+        own = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
+        close = own.join(a, "a").join(b, "b").filter(F.expr(f"abs(length(letters_a) - length(letters_b)) / 2 <= {most}"))
+        parts.append(materialise(close.filter(F.expr(f"levenshtein(decode(letters_a, 'UTF-16BE'), decode(letters_b, 'UTF-16BE'), {most}) >= 0")).select("a", "b"), "line-close"))
+        release(pairs.sparkSession)
+    close = reduce(DataFrame.unionByName, parts)
     # Different words may have one letter, which only makes lines look closer; pairs with such words are spelt exactly.
     a, b = sides("first", "norm")
     most = allowed("size(split(norm_a, ' '))", "size(split(norm_b, ' '))")
@@ -213,7 +237,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     own = F.array_distinct(F.split(F.concat("norm_a", F.lit(" "), "norm_b"), " "))
     apart = let(own, lambda o: F.size(F.array_distinct(F.transform(o, _code))) == F.size(o))
     sure = materialise(close.join(a, "a").join(b, "b").filter(apart | F.expr(exact)).select("first_a", "first_b"), "line-sure")
-    discard(close)
+    discard(*parts)
     return sure
 
 
@@ -229,7 +253,7 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def duplicate_lines(
     docs: DataFrame, text: str = "text", min_words: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 64, shingles: int = 12, gate_bits: int = 24,
-    once_bits: int = 18,
+    once_bits: int = 18, slices: int = 4,
 ) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines to remove from each document that loses any."""
     found = materialise(lines(docs, text, min_words), "lines", "zstd")
@@ -238,31 +262,49 @@ def duplicate_lines(
     discard(found)
     release(docs.sparkSession)
     sketches = materialise(line_sketches(classes, shingles), "line-sketches", "zstd")
-    keys = materialise(shared_keys(sketches, max_bits), "line-keys")
+    met, crowds = [], []
+    for k in range(slices):
+        keys = materialise(shared_keys(sketches, max_bits, k, slices), "line-keys")
+        release(docs.sparkSession)
+        few, many = keys.filter(F.col("n") <= crowd), keys.filter(F.col("n") > crowd)
+        centres = many.groupBy("key").agg(F.min(F.struct("h1", "sim", "words", "odd")).alias("c")).select("key", "c.*")
+        near = _near(_side(few, "a"), _side(few, "b"), gate_bits, similarity).unionByName(_near(_side(centres, "a"), _side(many, "b"), gate_bits, similarity))
+        met.append(materialise(near, "line-met"))
+        crowds.append(materialise(many.drop("n"), "line-crowds"))
+        discard(keys)
+        release(docs.sparkSession)
     discard(sketches)
-    few, many = keys.filter(F.col("n") <= crowd), keys.filter(F.col("n") > crowd)
-    centres = many.groupBy("key").agg(F.min(F.struct("h1", "sim", "words")).alias("c")).select("key", "c.*")
-    release(docs.sparkSession)
-    pairs = _near(_side(few, "a"), _side(few, "b"), gate_bits, similarity).unionByName(_near(_side(centres, "a"), _side(many, "b"), gate_bits, similarity))
-    pairs = materialise(_likely(pairs, once_bits), "line-pairs")
+    pairs = materialise(_likely(reduce(DataFrame.unionByName, met), once_bits), "line-pairs")
+    discard(*met)
     release(docs.sparkSession)
     texts = _texts(classes, _members(pairs))
     release(docs.sparkSession)
     roots = components(_verified(pairs, texts, similarity))
     discard(pairs, texts)
+    many = reduce(DataFrame.unionByName, crowds)
     if many.head(1):
         roots = materialise(roots, "line-groups")
-        crowded = classes.select("h1", "first").join(many.select("h1").distinct(), "h1")
-        groups = crowded.join(roots, F.col("first") == F.col("node"), "left").select("h1", F.coalesce("root", "first").alias("group"))
-        grouped = materialise(many.join(groups.groupBy("h1").agg(F.min("group").alias("group")), "h1"), "line-crowds")
-        discard(keys)
+        crowded = classes.select("h1", "first", "norm").join(materialise(many.select("h1").distinct(), "line-crowded"), "h1")
+        groups = crowded.join(roots, F.col("first") == F.col("node"), "left").select("h1", F.coalesce("root", "first").alias("group"), F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hs"))
+        groups = groups.select("h1", "group", *_odd_wide("hs")).groupBy("h1").agg(F.min("group").alias("group"), *(F.first(c).alias(c) for c in _WIDE))
+        groups = materialise(groups, "line-crowded")
+        edits = F.floor(F.greatest("words_a", "words_b") * (1 - similarity) + 1e-9)
+        apart = (F.col("group_a") != F.col("group_b")) & (reduce(lambda x, y: x + y, (_differ(f"{c}_a", f"{c}_b") for c in _WIDE)) <= 2 * edits)
+        release(docs.sparkSession)
+        met = []
+        for own in crowds:
+            grouped = materialise(own.join(groups, "h1"), "line-grouped")
+            release(docs.sparkSession)
+            met.append(materialise(_near(_side(grouped, "a"), _side(grouped, "b"), gate_bits, similarity, apart), "line-met"))
+            discard(grouped, own)
+            release(docs.sparkSession)
+        between = materialise(_likely(reduce(DataFrame.unionByName, met), once_bits), "line-pairs")
+        discard(*met)
         release(docs.sparkSession)
-        between = _near(_side(grouped, "a"), _side(grouped, "b"), gate_bits, similarity, F.col("group_a") != F.col("group_b"))
-        between = materialise(_likely(between, once_bits), "line-pairs")
         texts = _texts(classes, _members(between))
         release(docs.sparkSession)
         roots = _joined(roots, _verified(between, texts, similarity))
-        discard(between, texts, grouped)
+        discard(between, texts)
     named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", "copies", "first", F.coalesce("root", "first").alias("root"))
     dirty = named.filter((F.col("copies") > 1) | (F.col("root") != F.col("first"))).select("h1", "h2", "root")
     gone = places.join(dirty, ["h1", "h2"]).filter(_place() != F.col("root"))
