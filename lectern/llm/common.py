@@ -101,6 +101,13 @@ BROADCAST_ROWS = 200_000
 BROADCAST_VALUES = 2_000_000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df marked for a join by shuffle. Spark takes the size of a side from that of its files, times the width of its
+    rows: it knows neither how many rows an array yields nor how well a file is packed, and broadcasts, through the
+    driver, what is many times its own bound."""
+    return df.hint("merge")
+
+
 def small_side(df: DataFrame, values: str | None = None) -> DataFrame:
     """df (written already, so that counting is cheap) marked for broadcast if it is small. values: the
     column of arrays, if it has one, whose elements are counted too."""

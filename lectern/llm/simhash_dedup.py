@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, materialise, small_side
+from .common import bounded_batches, fresh, materialise, shuffled, small_side
 from .components import components
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -155,7 +155,7 @@ def links(classes: DataFrame, max_bits: int = 3) -> DataFrame:
     chain = F.lit(False)
     for i in range(m):
         chain = chain | ((F.col("i") == i) & budget(x, i))
-    met = left.join(right, (F.col("key") == F.col("other")) & (F.col("i") == F.col("j")) & (F.col("a") < F.col("b")) & chain & (F.bit_count(x) <= max_bits))
+    met = left.join(shuffled(right), (F.col("key") == F.col("other")) & (F.col("i") == F.col("j")) & (F.col("a") < F.col("b")) & chain & (F.bit_count(x) <= max_bits))
     return met.select("a", "b")
 
 
