@@ -109,12 +109,12 @@ def shuffled(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, values: str | None = None) -> DataFrame:
-    """df (written already, so that counting is cheap) marked for broadcast if it is small. values: the
-    column of arrays, if it has one, whose elements are counted too."""
+    """df (written already, so that counting is cheap) marked for broadcast if it is small, else for a shuffle.
+    values: the column of arrays, if it has one, whose elements are counted too."""
     few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     if few and values:
         few = (df.agg(F.sum(F.size(values))).first()[0] or 0) <= BROADCAST_VALUES
-    return F.broadcast(df) if few else df
+    return F.broadcast(df) if few else shuffled(df)
 
 
 def bitmap_slots(hashes: int, least: int = 1 << 17, most: int = 1 << 20) -> int:

@@ -170,7 +170,7 @@ def _met(a: DataFrame, b: DataFrame, wide_bits: int, also: Column | None = None)
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of classes whose first texts share that part of their shingles."""
-    wanted = materialise(pairs.select(F.explode_outer(F.array("a", "b")).alias("ck")).distinct().join(classes.select("ck", "first.*"), "ck"), "near-wanted")
+    wanted = materialise(pairs.select(F.explode_outer(F.array("a", "b")).alias("ck")).distinct().join(shuffled(classes.select("ck", "first.*")), "ck"), "near-wanted")
     source = docs.select(F.col("doc_id").cast("long").alias("d_id"), F.col(text).cast("string").alias("text")).withColumn("d_dk", F.xxhash64("text"))
     texts = source.join(small_side(wanted), F.col("d_id").eqNullSafe(F.col("doc_id")) & (F.col("d_dk") == F.col("dk"))).select("ck", "text")
 
@@ -183,7 +183,7 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, w
     shingles = materialise(bounded_batches(texts).mapInArrow(sets, "ck long, shingles binary"), "near-shingles")
     both = pairs
     for x in "ab":
-        both = both.join(shingles.select(F.col("ck").alias(x), F.col("shingles").alias(f"s_{x}")), x)
+        both = both.join(shuffled(shingles.select(F.col("ck").alias(x), F.col("shingles").alias(f"s_{x}"))), x)
 
     def judged(it):
         for b in it:
