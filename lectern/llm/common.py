@@ -65,9 +65,10 @@ def discard(*written: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let the shuffle files of steps that are written go now: Spark drops them when the driver finds their
     plans unused, for which it looks every half hour only."""
-    gc.collect()
-    time.sleep(0.3)  # the JVM hears of what Python dropped a little later
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round ends may still hold what the second finds
+        gc.collect()
+        time.sleep(0.3)  # the JVM hears of what Python dropped a little later
+        spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -43,12 +43,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.regexes import let
-from .common import bitmap, bitmap_slots, discard, fresh, marked, materialise, release, small_side
+from .common import bitmap, bitmap_slots, discard, fresh, marked, materialise, release, shuffled, small_side
 from .components import components
 
 _CHUNK = 127  # words whose votes fit a counter of eight bits, the highest of which shares the sign
 _LANES = 0x0101010101010101
 _PAIRS = 4_000_000  # pairs that get their letters at once
+_FEW = 50_000  # pairs that get their texts at once
 _WIDE = [f"odd{q}" for q in range(4)]
 _SHORT = 5  # words up to which one edit can leave no three words in a row
 
@@ -155,17 +156,49 @@ def _differ(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _near(a: DataFrame, b: DataFrame, gate_bits: int, similarity: float, also: Column | None = None) -> DataFrame:
-    """(a, b, bits) of the rows that share a key, differ in at most gate_bits bits and can be similar by their words."""
-    longer = F.greatest("words_a", "words_b")
-    near = (F.col("a") < F.col("b")) & (_differ("sim_a", "sim_b") <= gate_bits)
-    near = near & (F.least("words_a", "words_b") >= longer * similarity - 1e-9) & (_differ("odd_a", "odd_b") <= 2 * F.floor(longer * (1 - similarity) + 1e-9))
-    return a.join(b, "key").filter(near if also is None else near & also).select("a", "b", _differ("sim_a", "sim_b").alias("bits"))
+def _can_be(bits: Column, similarity: float) -> Column:
+    """Whether lines whose words differ in so many bits of _odd can be similar. Of d edits, each changes two bits
+    at most, and those that make up the difference in length, one."""
+    edits = F.floor(F.greatest("words_a", "words_b") * (1 - similarity) + 1e-9)
+    return bits + F.abs(F.col("words_a") - F.col("words_b")) <= 2 * edits
+
+
+def _near(a: DataFrame, b: DataFrame, gate_bits: int, similarity: float, also: Column | None = None, ordered: bool = True) -> DataFrame:
+    """(a, b, bits, times) of the rows that share a key, differ in at most gate_bits bits and can be similar by their words.
+    ordered: of two rows that are on both sides, a is the lesser. Rows that have all their keys meet at the least
+    shared one only, with the number of these; rows of _by_length meet in a band of lengths."""
+    on = [c for c in ("key", "at") if c in a.columns]
+    near = F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")
+    near = near | (F.col("at") != F.col("band_a")) if "at" in on else near
+    near = near & (_differ("sim_a", "sim_b") <= gate_bits)
+    near = near & (F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * similarity - 1e-9) & _can_be(_differ("odd_a", "odd_b"), similarity)
+    near = near if also is None else near & also
+    times = F.lit(1)
+    if "keys_a" in a.columns:
+        shared = F.array_intersect("keys_a", "keys_b")
+        near, times = near & (F.col("key") == F.array_min(shared)), F.size(shared)
+    return a.join(b, on).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _differ("sim_a", "sim_b").alias("bits"), times.alias("times"))
 
 
 def _likely(met: DataFrame, once_bits: int) -> DataFrame:
     """(a, b): each pair once, without those that met once only and are not close."""
-    return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("bits").alias("bits")).filter((F.col("n") > 1) | (F.col("bits") <= once_bits)).select("a", "b")
+    return met.groupBy("a", "b").agg(F.sum("times").alias("n"), F.min("bits").alias("bits")).filter((F.col("n") > 1) | (F.col("bits") <= once_bits)).select("a", "b")
+
+
+def _band(similarity: float) -> Column:
+    """Lengths that can be similar are in one band or in two next to each other."""
+    return F.floor(F.log(F.col("words").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
+
+
+def _centres(many: DataFrame, similarity: float) -> DataFrame:
+    """Of each key, the shortest class of each band of lengths: what a crowd shares is the greater part of these."""
+    return many.groupBy("key", _band(similarity).alias("band")).agg(F.min(F.struct("words", "h1", "sim", "odd")).alias("c")).select("key", "c.*")
+
+
+def _by_length(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Two sides for _near: rows at their own band and the one above, and at their own; rows of one band meet in order."""
+    banded = rows.withColumn("band", _band(similarity))
+    return _side(banded.withColumn("at", F.explode_outer(F.array("band", F.col("band") + 1))), "a"), _side(banded.withColumn("at", F.col("band")), "b")
 
 
 def shared_keys(sketches: DataFrame, max_bits: int, slice_: int = 0, slices: int = 1) -> DataFrame:
@@ -177,7 +210,7 @@ def shared_keys(sketches: DataFrame, max_bits: int, slice_: int = 0, slices: int
 
 
 def _side(keys: DataFrame, x: str) -> DataFrame:
-    return keys.select("key", F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("sim", "words", "odd", "group", *_WIDE)))
+    return keys.select("key", *(c for c in keys.columns if c == "at"), F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("sim", "words", "odd", "group", "keys", "band", *_WIDE)))
 
 
 def _place() -> Column:
@@ -198,47 +231,72 @@ def _members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode_outer(F.array("a", "b")).alias("h1"))
 
 
+def _wanted(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted classes (h1, written) and a few others: nearly all others go before anything is shuffled."""
+    slots = bitmap_slots(wanted.count())
+    return classes.filter(marked(bitmap(wanted.select(F.col("h1").alias("h")), slots), F.col("h1"), slots))
+
+
 def _texts(classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h1, first, norm, letters) of the classes that are wanted (h1)."""
     wanted = materialise(wanted.distinct(), "line-wanted")
-    slots = bitmap_slots(wanted.count())  # nearly all others go before anything is shuffled
-    likely = classes.select("h1", "first", "norm").filter(marked(bitmap(wanted.select(F.col("h1").alias("h")), slots), F.col("h1"), slots))
-    texts = materialise(likely.join(small_side(wanted), "h1").withColumn("letters", _letters(F.col("norm"))), "line-texts", "zstd")
+    texts = materialise(_wanted(classes.select("h1", "first", "norm"), wanted).join(small_side(wanted), "h1").withColumn("letters", _letters(F.col("norm"))), "line-texts", "zstd")
     discard(wanted)
     return texts
 
 
+def _crowded(classes: DataFrame, many: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h1, group, 256 bits of _odd_wide, keys) of the classes that have crowded keys (h1, key); written. Texts become
+    bits before anything is shuffled."""
+    own = materialise(many.groupBy("h1").agg(F.collect_set("key").alias("keys")), "line-crowded")
+    hashed = _wanted(classes, own).filter("norm is not null").select("h1", "first", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hs"))
+    wide = hashed.select("h1", "first", *_odd_wide("hs")).join(shuffled(own), "h1")
+    groups = wide.join(roots, F.col("first") == F.col("node"), "left").select("h1", F.coalesce("root", "first").alias("group"), *_WIDE, "keys")
+    out = materialise(groups.groupBy("h1").agg(F.min("group").alias("group"), *(F.first(c).alias(c) for c in [*_WIDE, "keys"])), "line-crowded")
+    discard(own)
+    return out
+
+
 def _spelt(x: str) -> str:
     """The words of norm_x, each one letter that no other word of the pair has."""
     return f"decode(unhex(array_join(transform(split(norm_{x}, ' '), w -> lpad(hex(65535 + array_position(own, w)), 8, '0')), '')), 'UTF-32')"
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(first_a, first_b) of the pairs whose words are similar; written."""
-    def sides(*columns: str) -> list[DataFrame]:
-        return [texts.select(F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab"]
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, slices: int) -> DataFrame:
+    """(first_a, first_b) of the pairs whose words are similar; written, as so many tables."""
+    def side(texts: DataFrame, x: str, *columns: str) -> DataFrame:
+        return texts.select(F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
 
     def allowed(n_a: str, n_b: str) -> str:
         return f"cast(floor(greatest({n_a}, {n_b}) * {1 - similarity!r} + 1e-9) as int)"
 
-    a, b = sides("letters")
-    most = allowed("length(letters_a) / 2", "length(letters_b) / 2")
-    slices, parts = pairs.count() // _PAIRS + 1, []
-    for k in range(slices):
-        own = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
-        close = own.join(a, "a").join(b, "b").filter(F.expr(f"abs(length(letters_a) - length(letters_b)) / 2 <= {most}"))
-        parts.append(materialise(close.filter(F.expr(f"levenshtein(decode(letters_a, 'UTF-16BE'), decode(letters_b, 'UTF-16BE'), {most}) >= 0")).select("a", "b"), "line-close"))
-        release(pairs.sparkSession)
+    def by_slice(pairs: DataFrame, times: int, *columns: str):
+        """One slice of the pairs after another, with both sides; of texts, only the slice's own are shuffled."""
+        for k in range(times):
+            own = pairs.filter(F.pmod("a", F.lit(times)) == k)
+            other = materialise(own.select(F.col("b").alias("h1")).distinct(), "line-wanted")
+            yield own.join(side(texts.filter(F.pmod("h1", F.lit(times)) == k), "a", *columns), "a").join(side(_wanted(texts, other), "b", *columns), "b")
+            discard(other)
+            release(pairs.sparkSession)
+
+    n = pairs.count()
+    most, parts = allowed("length(letters_a) / 2", "length(letters_b) / 2"), []
+    for met in by_slice(pairs, max(slices if n > _FEW else 1, n // _PAIRS + 1), "letters"):
+        near = met.filter(F.expr(f"abs(length(letters_a) - length(letters_b)) / 2 <= {most}"))
+        parts.append(materialise(near.filter(F.expr(f"levenshtein(decode(letters_a, 'UTF-16BE'), decode(letters_b, 'UTF-16BE'), {most}) >= 0")).select("a", "b"), "line-close"))
+        del met, near
     close = reduce(DataFrame.unionByName, parts)
     # Different words may have one letter, which only makes lines look closer; pairs with such words are spelt exactly.
-    a, b = sides("first", "norm")
     most = allowed("size(split(norm_a, ' '))", "size(split(norm_b, ' '))")
     exact = f"get(transform(array(array_distinct(split(concat(norm_a, ' ', norm_b), ' '))), own -> levenshtein({_spelt('a')}, {_spelt('b')}, {most})), 0) >= 0"
     own = F.array_distinct(F.split(F.concat("norm_a", F.lit(" "), "norm_b"), " "))
     apart = let(own, lambda o: F.size(F.array_distinct(F.transform(o, _code))) == F.size(o))
-    sure = materialise(close.join(a, "a").join(b, "b").filter(apart | F.expr(exact)).select("first_a", "first_b"), "line-sure")
+    sure = []
+    for met in by_slice(close, slices if n > _FEW else 1, "first", "norm"):
+        sure.append(materialise(met.filter(apart | F.expr(exact)).select("first_a", "first_b"), "line-sure"))
+        del met
     discard(*parts)
-    return sure
+    return reduce(DataFrame.unionByName, sure)
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -257,7 +315,11 @@ def duplicate_lines(
 ) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines to remove from each document that loses any."""
     found = materialise(lines(docs, text, min_words), "lines", "zstd")
-    classes = materialise(line_classes(found), "line-classes", "zstd")
+    parts = []
+    for k in range(slices):
+        parts.append(materialise(line_classes(found.filter(F.pmod("h1", F.lit(slices)) == k)), "line-classes", "zstd"))
+        release(docs.sparkSession)
+    classes = reduce(DataFrame.unionByName, parts)
     places = materialise(found.drop("norm"), "line-places")
     discard(found)
     release(docs.sparkSession)
@@ -267,8 +329,8 @@ def duplicate_lines(
         keys = materialise(shared_keys(sketches, max_bits, k, slices), "line-keys")
         release(docs.sparkSession)
         few, many = keys.filter(F.col("n") <= crowd), keys.filter(F.col("n") > crowd)
-        centres = many.groupBy("key").agg(F.min(F.struct("h1", "sim", "words", "odd")).alias("c")).select("key", "c.*")
-        near = _near(_side(few, "a"), _side(few, "b"), gate_bits, similarity).unionByName(_near(_side(centres, "a"), _side(many, "b"), gate_bits, similarity))
+        near = _near(_side(few, "a"), _side(few, "b"), gate_bits, similarity)
+        near = near.unionByName(_near(_side(_centres(many, similarity), "a"), _side(many, "b"), gate_bits, similarity, ordered=False))
         met.append(materialise(near, "line-met"))
         crowds.append(materialise(many.drop("n"), "line-crowds"))
         discard(keys)
@@ -279,23 +341,20 @@ def duplicate_lines(
     release(docs.sparkSession)
     texts = _texts(classes, _members(pairs))
     release(docs.sparkSession)
-    roots = components(_verified(pairs, texts, similarity))
+    roots = components(_verified(pairs, texts, similarity, slices))
     discard(pairs, texts)
     many = reduce(DataFrame.unionByName, crowds)
     if many.head(1):
         roots = materialise(roots, "line-groups")
-        crowded = classes.select("h1", "first", "norm").join(materialise(many.select("h1").distinct(), "line-crowded"), "h1")
-        groups = crowded.join(roots, F.col("first") == F.col("node"), "left").select("h1", F.coalesce("root", "first").alias("group"), F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hs"))
-        groups = groups.select("h1", "group", *_odd_wide("hs")).groupBy("h1").agg(F.min("group").alias("group"), *(F.first(c).alias(c) for c in _WIDE))
-        groups = materialise(groups, "line-crowded")
-        edits = F.floor(F.greatest("words_a", "words_b") * (1 - similarity) + 1e-9)
-        apart = (F.col("group_a") != F.col("group_b")) & (reduce(lambda x, y: x + y, (_differ(f"{c}_a", f"{c}_b") for c in _WIDE)) <= 2 * edits)
+        groups = _crowded(classes, many, roots)
         release(docs.sparkSession)
+        wide = reduce(lambda x, y: x + y, (_differ(f"{c}_a", f"{c}_b") for c in _WIDE))
+        apart = (F.col("group_a") != F.col("group_b")) & _can_be(wide, similarity)
         met = []
         for own in crowds:
             grouped = materialise(own.join(groups, "h1"), "line-grouped")
             release(docs.sparkSession)
-            met.append(materialise(_near(_side(grouped, "a"), _side(grouped, "b"), gate_bits, similarity, apart), "line-met"))
+            met.append(materialise(_near(*_by_length(grouped, similarity), gate_bits, similarity, apart), "line-met"))
             discard(grouped, own)
             release(docs.sparkSession)
         between = materialise(_likely(reduce(DataFrame.unionByName, met), once_bits), "line-pairs")
@@ -303,7 +362,7 @@ def duplicate_lines(
         release(docs.sparkSession)
         texts = _texts(classes, _members(between))
         release(docs.sparkSession)
-        roots = _joined(roots, _verified(between, texts, similarity))
+        roots = _joined(roots, _verified(between, texts, similarity, slices))
         discard(between, texts)
     named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", "copies", "first", F.coalesce("root", "first").alias("root"))
     dirty = named.filter((F.col("copies") > 1) | (F.col("root") != F.col("first"))).select("h1", "h2", "root")
