@@ -17,7 +17,7 @@ max_bits bits agree on two of them and meet there. Lengths that rule the similar
 that differ in more than ``gate_bits`` bits (at similarity 0.8 about 12 differ, 32 between unlike lines),
 are dropped within the join; so are pairs whose words differ too much, whatever their order: of a bit for
 each word, turned over for each time it occurs, an edit changes two at most; and pairs that meet once only and differ in more than ``once_bits`` bits
-(0.002 of pairs at 0.8 do). Keys with more than ``crowd`` classes are first linked to one of their own; what that leaves in different groups is then joined as before, so no link
+(0.002 of pairs at 0.8 do). Keys with more than ``crowd`` classes are first linked to the shortest of each band of lengths; what that leaves in different groups is then joined as before, so no link
 between groups is lost, and a crowd of near copies does not yield all its pairs.
 
 Disk: keys are dealt into ``slices`` by their lowest bits, and one slice after another is grouped and joined;
