@@ -1,4 +1,4 @@
-"""Fuzzy line de-duplication: shingles, SimHash, edit similarity, connected groups.
+"""Fuzzy line de-duplication: shingles, edit similarity, connected groups.
 
 A line is normalised (lower case, runs of anything but letters, marks and digits become one space). Lines
 without any of these take no part. Equal normalised lines form a class, however short. Classes of lines of
@@ -8,25 +8,24 @@ word is first one letter of 15 bits of its hash; pairs that pass are compared wo
 connected group the first line, by document, then by position, stays; all others are removed.
 
 Candidates: n words with at most 0.2 n edits keep a run of at least ceil(0.8 n / (0.2 n + 1)) words, which
-is two words for a line of five and three or more for all longer ones. So classes meet on shingles of three
-words, those of five words also on two: on the ``shingles`` with the least hashes, which are all shingles
-of a line of up to shingles + 2 words. Of longer lines, pairs share at least a quarter of their shingles,
-and miss each other with a chance of at most 0.75 ** shingles (0.03), less for edits that stand together.
-Pigeonhole: besides, the 64 bits of the SimHash over the words are max_bits + 2 blocks, and classes within
-max_bits bits agree on two of them and meet there. Lengths that rule the similarity out, and SimHashes
-that differ in more than ``gate_bits`` bits (at similarity 0.8 about 12 differ, 32 between unlike lines),
-are dropped within the join; so are pairs whose words differ too much, whatever their order: of a bit for
-each word, turned over for each time it occurs, an edit changes two at most; and pairs that meet once only and differ in more than ``once_bits`` bits
-(0.002 of pairs at 0.8 do). Keys with more than ``crowd`` classes are first linked to the shortest of each band of lengths; what that leaves in different groups is then joined as before, so no link
+is three or more for all lines but those of five words, where the word in the middle may differ. So classes
+meet on shingles of three words, those of five words also on all but the middle one: on at most ``shingles`` of
+them, which are all of a line of up to shingles + 2 words. Of longer lines, those of most bytes are taken,
+equal ones by hash: a choice that both lines make alike, and of shingles that few other lines have, as long words
+are rare. Shingles of the common words grow with the square of the input; these do not. Pairs share at least a
+quarter of their shingles, and miss each other with a chance of at most 0.75 ** shingles (0.03), less for edits
+that stand together. Lengths that rule the similarity out are dropped within the join; so are pairs whose words
+differ too much, whatever their order: of a bit for each word, turned over for each time it occurs, an edit
+changes two at most. Keys with more than ``crowd`` classes are first linked to the shortest of each band of lengths; what that leaves in different groups is then joined as before, so no link
 between groups is lost, and a crowd of near copies does not yield all its pairs.
 
-Disk: keys are dealt into ``slices`` by their lowest bits, and one slice after another is grouped and joined;
-pairs get their letters in slices of at most some millions. What a slice has shuffled goes before the next.
+Keys that two classes share are found from the keys alone; only their rows get anything else. With ``slices``
+keys are dealt by their lowest bits, and one slice after another is grouped and joined; pairs get their texts in
+slices of at most some millions. What a slice has shuffled goes before the next.
 
-Lines are normalised once and written. Their shingles and SimHashes are made once for each class, by a step
-of their own that shuffles nothing, and go once keys are found. The class's first text comes along when lines are grouped: later steps fetch texts from the classes and never go back
-to the documents, whose whole texts are never shuffled. Removals are applied by a join that is broadcast
-only below a checked number of rows.
+Lines are normalised once and written. Their shingles are made once by a step of their own that shuffles nothing,
+and go once keys are found. Texts are shuffled only for the lines that pairs need; later steps never go back
+to the documents. Removals are applied by a join that is broadcast only below a checked number of rows.
 
 Defined cases: a null text stays null; a text keeps its empty lines and its line order; a text all of
 whose lines go becomes empty; rows that share doc_id and text count as one document and get the same
@@ -37,7 +36,6 @@ and ``n_chars``, if present, is recomputed.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,53 +44,21 @@ from ..functions.regexes import let
 from .common import bitmap, bitmap_slots, discard, fresh, marked, materialise, release, shuffled, small_side
 from .components import components
 
-_CHUNK = 127  # words whose votes fit a counter of eight bits, the highest of which shares the sign
-_LANES = 0x0101010101010101
-_PAIRS = 4_000_000  # pairs that get their letters at once
-_FEW = 50_000  # pairs that get their texts at once
+_PAIRS = 4_000_000  # of more, the pairs of a slice
+_FEW = 1_000_000  # pairs up to which all get their texts at once
+_TEXT_SLICES = 4  # of pairs whose texts are joined at once, if there are more
 _WIDE = [f"odd{q}" for q in range(4)]
-_SHORT = 5  # words up to which one edit can leave no three words in a row
+_LONG = 42  # bytes of a word that count; three such lengths fit seven bits
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def _lane(hashes: Column, j: int) -> Column:
-    """Eight counters in one long: of bit j of every byte of the hashes, for each chunk of words."""
-
-    def votes(chunk: Column) -> Column:
-        return F.aggregate(chunk, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES)))
-
-    chunks = F.when(F.size(hashes) <= _CHUNK, F.array(hashes)).otherwise(
-        F.transform(F.sequence(F.lit(0), ((F.size(hashes) - 1) / _CHUNK).cast("int")), lambda c: F.slice(hashes, c * _CHUNK + 1, _CHUNK))
-    )
-    return F.transform(chunks, votes)
-
-
-def _simhash(lanes: list[str], n: Column) -> Column:
-    """Bit 8b + j is set if more than half of the n words set it.
-
-    In one chunk, all eight counters of a lane are compared at once: adding 127 less half of n lifts a
-    counter to 128 if it is more than half. The highest counter goes alone, as it shares the sign."""
-    half = F.floor(n / 2).cast("long")
-    low7 = 0x00FFFFFFFFFFFFFF
-    out = F.lit(0).cast("long")
-    for j, lane in enumerate(lanes):
-        own = F.get(lane, F.lit(0))
-        low = F.shiftrightunsigned((own.bitwiseAND(F.lit(low7)) + (127 - half) * (_LANES & low7)).bitwiseAND(F.lit(0x0080808080808080)), 7)
-        top = F.shiftrightunsigned((F.shiftrightunsigned(own, 56) + 127 - half).bitwiseAND(F.lit(128).cast("long")), 7)
-        out = out.bitwiseOR(F.shiftleft(low, j)).bitwiseOR(F.shiftleft(top, 56 + j))
-    long = F.expr(
-        f"""aggregate(sequence(0, 63), 0L, (bits, p) -> bits | shiftleft(if(
-          aggregate(get(array({', '.join(lanes)}), p % 8), 0L, (a, x) -> a + (shiftrightunsigned(x, 8 * cast(floor(p / 8) as int)) & 255)) * 2 > words, 1L, 0L), p))"""
-    )
-    return F.when(n <= _CHUNK, out).otherwise(long)
-
-
 def _odd(hashes: str) -> Column:
-    """A bit is 1 if an odd number of the words have it: an edit changes one or, as a substitution, two bits."""
-    return F.expr(f"aggregate({hashes}, 0L, (bits, h) -> bits ^ shiftleft(1L, cast(shiftrightunsigned(h, 58) as int)))")
+    """A bit is 1 if an odd number of the words have it: an edit changes one or, as a substitution, two bits.
+    Of a shift the lowest six bits count."""
+    return F.expr(f"aggregate({hashes}, 0L, (bits, h) -> bits ^ shiftleft(1L, cast(shiftrightunsigned(h, 34) as int)))")
 
 
 def _odd_wide(hashes: str) -> list[Column]:
@@ -101,17 +67,24 @@ def _odd_wide(hashes: str) -> list[Column]:
     return [F.expr(f"aggregate({hashes}, 0L, (bits, h) -> if((shiftrightunsigned(h, 56) & 3) = {q}, {one}, bits))").alias(f"odd{q}") for q in range(4)]
 
 
+def _word(word: Column) -> Column:
+    """54 bits of a word's hash below its length in bytes: three of these add up without touching the sign."""
+    return F.shiftleft(F.least(F.octet_length(word), F.lit(_LONG)).cast("long"), 56) + F.shiftrightunsigned(F.xxhash64(word), 10)
+
+
 def _shingles(hashes: Column, most: int) -> Column:
-    """The least hashes of shingles of three words, at most so many; of a short line, all of two as well."""
+    """Sums of three words next to each other, at most so many, the longest first; null for none. Of five words, all but the
+    middle one as well (four words are what a line of five can lose to)."""
 
-    def grams(size: int) -> Column:
-        def gram(i: Column) -> Column:
-            return F.xxhash64(F.lit(size), *(F.get(hashes, i + k) for k in range(size)))
+    def later(by: int) -> Column:
+        return F.slice(hashes, by + 1, F.greatest(F.size(hashes) - by, F.lit(0)))
 
-        return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(0), F.size(hashes) - size), gram)).otherwise(F.array().cast("array<bigint>"))
+    def around(*at: int) -> Column:
+        return F.array(F.xxhash64(*(F.get(hashes, F.lit(i)) for i in at)))
 
-    least = F.slice(F.sort_array(F.array_distinct(grams(3))), 1, most)
-    return F.when(F.size(hashes) <= _SHORT, F.array_distinct(F.concat(grams(3), grams(2)))).otherwise(least)
+    grams = F.zip_with(F.zip_with(hashes, later(1), lambda x, y: x + y), later(2), lambda x, y: x + y)
+    split = F.when(F.size(hashes) == 5, around(0, 1, 3, 4)).when(F.size(hashes) == 4, around(0, 1, 2, 3)).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(F.slice(F.sort_array(F.array_distinct(grams), False), 1, most), split)
 
 
 def lines(docs: DataFrame, text: str = "text", min_words: int = 5) -> DataFrame:
@@ -126,30 +99,16 @@ def lines(docs: DataFrame, text: str = "text", min_words: int = 5) -> DataFrame:
 
 
 def line_classes(found: DataFrame) -> DataFrame:
-    """(h1, h2, copies, first, norm) of each class."""
-    per = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "dk", "pos", "norm")).alias("f"), F.count("*").alias("copies"))
-    return per.select("h1", "h2", "copies", F.struct("f.doc_id", "f.dk", "f.pos").alias("first"), F.col("f.norm").alias("norm"))
-
-
-def line_sketches(classes: DataFrame, shingles: int) -> DataFrame:
-    """(h1, words, met (shingles), sim, odd) of the classes that have a norm."""
-    hashed = classes.filter("norm is not null").select("h1", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hs"))
-    lanes = [f"l{j}" for j in range(8)]
-    summed = hashed.select(
-        "h1", F.size("hs").alias("words"), _shingles(F.col("hs"), shingles).alias("met"), _odd("hs").alias("odd"), *(_lane(F.col("hs"), j).alias(lane) for j, lane in enumerate(lanes)),
-    )
-    return summed.select("h1", "words", "met", _simhash(lanes, F.col("words")).alias("sim"), "odd")
+    """(h1, h2, copies, first) of each class, and norm if found has it."""
+    norm = [c for c in found.columns if c == "norm"]
+    per = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "dk", "pos", *norm)).alias("f"), F.count("*").alias("copies"))
+    return per.select("h1", "h2", "copies", F.struct("f.doc_id", "f.dk", "f.pos").alias("first"), *(F.col(f"f.{c}").alias(c) for c in norm))
 
 
-def _keys(sim: Column, max_bits: int) -> Column:
-    """One long for each pair of blocks: the two blocks and which they are."""
-    m = max_bits + 2
-    at = [64 * i // m for i in range(m + 1)]
-
-    def block(i: int) -> Column:
-        return F.shiftrightunsigned(sim, at[i]).bitwiseAND(F.lit((1 << (at[i + 1] - at[i])) - 1))
-
-    return F.array(*(F.xxhash64(F.lit(k), block(i), block(j)) for k, (i, j) in enumerate(combinations(range(m), 2))))
+def line_sketches(found: DataFrame, shingles: int) -> DataFrame:
+    """(h1, words, met (shingles), odd) of the lines or classes that have a norm."""
+    hashed = found.filter("norm is not null").select("h1", F.transform(F.split("norm", " "), _word).alias("hs"))
+    return hashed.select("h1", F.size("hs").alias("words"), _shingles(F.col("hs"), shingles).alias("met"), _odd("hs").alias("odd"))
 
 
 def _differ(a: str, b: str) -> Column:
@@ -164,25 +123,20 @@ def _can_be(bits: Column, similarity: float) -> Column:
 
 
 def _near(a: DataFrame, b: DataFrame, gate_bits: int, similarity: float, also: Column | None = None, ordered: bool = True) -> DataFrame:
-    """(a, b, bits, times) of the rows that share a key, differ in at most gate_bits bits and can be similar by their words.
+    """(a, b, times) of the rows that share a key, differ in at most gate_bits bits of _odd (of 64) and can be similar by their words.
     ordered: of two rows that are on both sides, a is the lesser. Rows that have all their keys meet at the least
     shared one only, with the number of these; rows of _by_length meet in a band of lengths."""
     on = [c for c in ("key", "at") if c in a.columns]
     near = F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")
     near = near | (F.col("at") != F.col("band_a")) if "at" in on else near
-    near = near & (_differ("sim_a", "sim_b") <= gate_bits)
+    near = near if gate_bits >= 64 else near & (_differ("odd_a", "odd_b") <= gate_bits)
     near = near & (F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * similarity - 1e-9) & _can_be(_differ("odd_a", "odd_b"), similarity)
     near = near if also is None else near & also
     times = F.lit(1)
     if "keys_a" in a.columns:
         shared = F.array_intersect("keys_a", "keys_b")
         near, times = near & (F.col("key") == F.array_min(shared)), F.size(shared)
-    return a.join(b, on).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), _differ("sim_a", "sim_b").alias("bits"), times.alias("times"))
-
-
-def _likely(met: DataFrame, once_bits: int) -> DataFrame:
-    """(a, b): each pair once, without those that met once only and are not close."""
-    return met.groupBy("a", "b").agg(F.sum("times").alias("n"), F.min("bits").alias("bits")).filter((F.col("n") > 1) | (F.col("bits") <= once_bits)).select("a", "b")
+    return a.join(b, on).filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), times.alias("times"))
 
 
 def _band(similarity: float) -> Column:
@@ -192,7 +146,7 @@ def _band(similarity: float) -> Column:
 
 def _centres(many: DataFrame, similarity: float) -> DataFrame:
     """Of each key, the shortest class of each band of lengths: what a crowd shares is the greater part of these."""
-    return many.groupBy("key", _band(similarity).alias("band")).agg(F.min(F.struct("words", "h1", "sim", "odd")).alias("c")).select("key", "c.*")
+    return many.groupBy("key", _band(similarity).alias("band")).agg(F.min(F.struct("words", "h1", "odd")).alias("c")).select("key", "c.*")
 
 
 def _by_length(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -202,15 +156,22 @@ def _by_length(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
 
 
 def shared_keys(sketches: DataFrame, max_bits: int, slice_: int = 0, slices: int = 1) -> DataFrame:
-    """(h1, sim, words, odd, key, n) of the keys that n > 1 classes share; of so many slices of the keys, one."""
-    every = F.concat(_keys(F.col("sim"), max_bits), "met")
-    own = F.filter(every, lambda k: k.bitwiseAND(F.lit(slices - 1).cast("long")) == slice_) if slices > 1 else every
-    met = sketches.select("h1", "sim", "words", "odd", F.explode_outer(own).alias("key")).filter("key is not null")
-    return met.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    """(h1, words, odd, key, n) of the keys that n > 1 classes share; of so many slices of the keys, one; written.
+    max_bits has no effect: no pair is left to meet by SimHash."""
+    own = F.filter(F.col("met"), lambda k: k.bitwiseAND(F.lit(slices - 1).cast("long")) == slice_) if slices > 1 else F.col("met")
+    every = sketches.select("h1", "words", "odd", F.explode_outer(own).alias("key")).filter("key is not null")
+    common = every.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least < most").select("key")
+    common = materialise(common, "line-common")
+    slots = bitmap_slots(common.count())
+    met = every.filter(marked(bitmap(common.select(F.col("key").alias("h")), slots), F.col("key"), slots))
+    met = met.groupBy("key", "h1").agg(F.first("words").alias("words"), F.first("odd").alias("odd"))
+    out = materialise(met.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"), "line-keys")
+    discard(common)
+    return out
 
 
 def _side(keys: DataFrame, x: str) -> DataFrame:
-    return keys.select("key", *(c for c in keys.columns if c == "at"), F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("sim", "words", "odd", "group", "keys", "band", *_WIDE)))
+    return keys.select("key", *(c for c in keys.columns if c == "at"), F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("words", "odd", "group", "keys", "band", *_WIDE)))
 
 
 def _place() -> Column:
@@ -231,26 +192,27 @@ def _members(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode_outer(F.array("a", "b")).alias("h1"))
 
 
-def _wanted(classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted classes (h1, written) and a few others: nearly all others go before anything is shuffled."""
+def _wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted rows (h1, written) and a few others: nearly all others go before anything is shuffled."""
     slots = bitmap_slots(wanted.count())
-    return classes.filter(marked(bitmap(wanted.select(F.col("h1").alias("h")), slots), F.col("h1"), slots))
+    return rows.filter(marked(bitmap(wanted.select(F.col("h1").alias("h")), slots), F.col("h1"), slots))
 
 
-def _texts(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(found: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h1, first, norm, letters) of the classes that are wanted (h1)."""
     wanted = materialise(wanted.distinct(), "line-wanted")
-    texts = materialise(_wanted(classes.select("h1", "first", "norm"), wanted).join(small_side(wanted), "h1").withColumn("letters", _letters(F.col("norm"))), "line-texts", "zstd")
+    own = _wanted(found.filter("norm is not null"), wanted).join(small_side(wanted), "h1")
+    texts = materialise(line_classes(own).select("h1", "first", "norm").withColumn("letters", _letters(F.col("norm"))), "line-texts", "zstd")
     discard(wanted)
     return texts
 
 
-def _crowded(classes: DataFrame, many: DataFrame, roots: DataFrame) -> DataFrame:
+def _crowded(found: DataFrame, many: DataFrame, roots: DataFrame) -> DataFrame:
     """(h1, group, 256 bits of _odd_wide, keys) of the classes that have crowded keys (h1, key); written. Texts become
     bits before anything is shuffled."""
     own = materialise(many.groupBy("h1").agg(F.collect_set("key").alias("keys")), "line-crowded")
-    hashed = _wanted(classes, own).filter("norm is not null").select("h1", "first", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hs"))
-    wide = hashed.select("h1", "first", *_odd_wide("hs")).join(shuffled(own), "h1")
+    hashed = _wanted(found.filter("norm is not null"), own).select("h1", _place().alias("place"), F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("hs"))
+    wide = hashed.select("h1", "place", *_odd_wide("hs")).groupBy("h1", *_WIDE).agg(F.min("place").alias("first")).join(shuffled(own), "h1")
     groups = wide.join(roots, F.col("first") == F.col("node"), "left").select("h1", F.coalesce("root", "first").alias("group"), *_WIDE, "keys")
     out = materialise(groups.groupBy("h1").agg(F.min("group").alias("group"), *(F.first(c).alias(c) for c in [*_WIDE, "keys"])), "line-crowded")
     discard(own)
@@ -263,7 +225,7 @@ def _spelt(x: str) -> str:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, slices: int) -> DataFrame:
-    """(first_a, first_b) of the pairs whose words are similar; written, as so many tables."""
+    """(first_a, first_b) of the pairs whose words are similar; written, as so many tables or more if there are many pairs."""
     def side(texts: DataFrame, x: str, *columns: str) -> DataFrame:
         return texts.select(F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
 
@@ -272,6 +234,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, slices: int
 
     def by_slice(pairs: DataFrame, times: int, *columns: str):
         """One slice of the pairs after another, with both sides; of texts, only the slice's own are shuffled."""
+        if times == 1:
+            yield pairs.join(side(texts, "a", *columns), "a").join(side(texts, "b", *columns), "b")
+            return
         for k in range(times):
             own = pairs.filter(F.pmod("a", F.lit(times)) == k)
             other = materialise(own.select(F.col("b").alias("h1")).distinct(), "line-wanted")
@@ -279,23 +244,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, slices: int
             discard(other)
             release(pairs.sparkSession)
 
-    n = pairs.count()
-    most, parts = allowed("length(letters_a) / 2", "length(letters_b) / 2"), []
-    for met in by_slice(pairs, max(slices if n > _FEW else 1, n // _PAIRS + 1), "letters"):
-        near = met.filter(F.expr(f"abs(length(letters_a) - length(letters_b)) / 2 <= {most}"))
-        parts.append(materialise(near.filter(F.expr(f"levenshtein(decode(letters_a, 'UTF-16BE'), decode(letters_b, 'UTF-16BE'), {most}) >= 0")).select("a", "b"), "line-close"))
-        del met, near
-    close = reduce(DataFrame.unionByName, parts)
+    n, sure = pairs.count(), []
+    most = allowed("length(letters_a) / 2", "length(letters_b) / 2")
+    near = F.expr(f"abs(length(letters_a) - length(letters_b)) / 2 <= {most} and levenshtein(decode(letters_a, 'UTF-16BE'), decode(letters_b, 'UTF-16BE'), {most}) >= 0")
     # Different words may have one letter, which only makes lines look closer; pairs with such words are spelt exactly.
     most = allowed("size(split(norm_a, ' '))", "size(split(norm_b, ' '))")
     exact = f"get(transform(array(array_distinct(split(concat(norm_a, ' ', norm_b), ' '))), own -> levenshtein({_spelt('a')}, {_spelt('b')}, {most})), 0) >= 0"
     own = F.array_distinct(F.split(F.concat("norm_a", F.lit(" "), "norm_b"), " "))
     apart = let(own, lambda o: F.size(F.array_distinct(F.transform(o, _code))) == F.size(o))
-    sure = []
-    for met in by_slice(close, slices if n > _FEW else 1, "first", "norm"):
-        sure.append(materialise(met.filter(apart | F.expr(exact)).select("first_a", "first_b"), "line-sure"))
+    for met in by_slice(pairs, max(slices if n > _FEW else 1, n // _PAIRS + 1), "first", "norm", "letters"):
+        sure.append(materialise(met.filter(near).filter(apart | F.expr(exact)).select("first_a", "first_b"), "line-sure"))
         del met
-    discard(*parts)
     return reduce(DataFrame.unionByName, sure)
 
 
@@ -310,43 +269,34 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def duplicate_lines(
-    docs: DataFrame, text: str = "text", min_words: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 64, shingles: int = 12, gate_bits: int = 24,
-    once_bits: int = 18, slices: int = 4,
+    docs: DataFrame, text: str = "text", min_words: int = 5, max_bits: int = 2, similarity: float = 0.8, crowd: int = 64, shingles: int = 12, gate_bits: int = 64,
+    slices: int = 1,
 ) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines to remove from each document that loses any."""
     found = materialise(lines(docs, text, min_words), "lines", "zstd")
-    parts = []
-    for k in range(slices):
-        parts.append(materialise(line_classes(found.filter(F.pmod("h1", F.lit(slices)) == k)), "line-classes", "zstd"))
-        release(docs.sparkSession)
-    classes = reduce(DataFrame.unionByName, parts)
-    places = materialise(found.drop("norm"), "line-places")
-    discard(found)
-    release(docs.sparkSession)
-    sketches = materialise(line_sketches(classes, shingles), "line-sketches", "zstd")
+    sketches = materialise(line_sketches(found, shingles), "line-sketches", "zstd")
     met, crowds = [], []
     for k in range(slices):
-        keys = materialise(shared_keys(sketches, max_bits, k, slices), "line-keys")
+        keys = shared_keys(sketches, max_bits, k, slices)
         release(docs.sparkSession)
         few, many = keys.filter(F.col("n") <= crowd), keys.filter(F.col("n") > crowd)
         near = _near(_side(few, "a"), _side(few, "b"), gate_bits, similarity)
         near = near.unionByName(_near(_side(_centres(many, similarity), "a"), _side(many, "b"), gate_bits, similarity, ordered=False))
-        met.append(materialise(near, "line-met"))
+        met.append(materialise(near.select("a", "b").distinct(), "line-met"))
         crowds.append(materialise(many.drop("n"), "line-crowds"))
         discard(keys)
         release(docs.sparkSession)
     discard(sketches)
-    pairs = materialise(_likely(reduce(DataFrame.unionByName, met), once_bits), "line-pairs")
+    pairs = materialise(reduce(DataFrame.unionByName, met).distinct(), "line-pairs") if slices > 1 else met.pop()
     discard(*met)
+    texts = _texts(found, _members(pairs))
     release(docs.sparkSession)
-    texts = _texts(classes, _members(pairs))
-    release(docs.sparkSession)
-    roots = components(_verified(pairs, texts, similarity, slices))
+    roots = components(_verified(pairs, texts, similarity, _TEXT_SLICES))
     discard(pairs, texts)
     many = reduce(DataFrame.unionByName, crowds)
     if many.head(1):
         roots = materialise(roots, "line-groups")
-        groups = _crowded(classes, many, roots)
+        groups = _crowded(found, many, roots)
         release(docs.sparkSession)
         wide = reduce(lambda x, y: x + y, (_differ(f"{c}_a", f"{c}_b") for c in _WIDE))
         apart = (F.col("group_a") != F.col("group_b")) & _can_be(wide, similarity)
@@ -354,19 +304,21 @@ def duplicate_lines(
         for own in crowds:
             grouped = materialise(own.join(groups, "h1"), "line-grouped")
             release(docs.sparkSession)
-            met.append(materialise(_near(*_by_length(grouped, similarity), gate_bits, similarity, apart), "line-met"))
+            met.append(materialise(_near(*_by_length(grouped, similarity), gate_bits, similarity, apart).select("a", "b"), "line-met"))
             discard(grouped, own)
             release(docs.sparkSession)
-        between = materialise(_likely(reduce(DataFrame.unionByName, met), once_bits), "line-pairs")
+        between = materialise(reduce(DataFrame.unionByName, met).distinct(), "line-pairs")
         discard(*met)
         release(docs.sparkSession)
-        texts = _texts(classes, _members(between))
+        texts = _texts(found, _members(between))
         release(docs.sparkSession)
-        roots = _joined(roots, _verified(between, texts, similarity, slices))
+        roots = _joined(roots, _verified(between, texts, similarity, _TEXT_SLICES))
         discard(between, texts)
+    classes = materialise(line_classes(found.drop("norm")), "line-classes")
+    release(docs.sparkSession)
     named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", "copies", "first", F.coalesce("root", "first").alias("root"))
     dirty = named.filter((F.col("copies") > 1) | (F.col("root") != F.col("first"))).select("h1", "h2", "root")
-    gone = places.join(dirty, ["h1", "h2"]).filter(_place() != F.col("root"))
+    gone = found.join(dirty, ["h1", "h2"]).filter(_place() != F.col("root"))
     return gone.groupBy("doc_id", "dk").agg(F.collect_set("pos").alias("gone"))
 
 
