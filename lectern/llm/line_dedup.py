@@ -4,7 +4,7 @@ A line is normalised (lower case, runs of anything but letters, marks and digits
 without any of these take no part. Equal normalised lines form a class, however short. Classes of lines of
 at least ``min_words`` words (shorter ones differ by a fifth or more with one word) also link if their words
 have an edit similarity (1 - distance / longer length, in words) of at least ``similarity``. For that, each
-word is first one letter of 15 bits of its hash; pairs that pass are compared word by word. Of each
+word is first one letter of 20 bits of its hash; pairs that pass are compared word by word. Of each
 connected group the first line, by document, then by position, stays; all others are removed.
 
 Candidates: n words with at most 0.2 n edits keep a run of at least ceil(0.8 n / (0.2 n + 1)) words, which
@@ -16,7 +16,8 @@ are rare. Shingles of the common words grow with the square of the input; these
 quarter of their shingles, and miss each other with a chance of at most 0.75 ** shingles (0.03), less for edits
 that stand together. Lengths that rule the similarity out are dropped within the join; so are pairs whose words
 differ too much, whatever their order: of a bit for each word, turned over for each time it occurs, an edit
-changes two at most. Keys with more than ``crowd`` classes are first linked to the shortest of each band of lengths; what that leaves in different groups is then joined as before, so no link
+changes two at most. Keys with more than ``crowd`` classes are first linked to the shortest of each band of lengths, then, in turns, to
+others of it; what that leaves outside a key's main group is then joined with all the rest of the key, so no link
 between groups is lost, and a crowd of near copies does not yield all its pairs.
 
 Keys that two classes share are found from the keys alone; only their rows get anything else. With ``slices``
@@ -47,6 +48,7 @@ from .components import components
 _PAIRS = 4_000_000  # of more, the pairs of a slice
 _FEW = 1_000_000  # pairs up to which all get their texts at once
 _TEXT_SLICES = 4  # of pairs whose texts are joined at once, if there are more
+_TURNS = 2  # in which a crowd meets further classes of its own before all that are still in different groups meet
 _WIDE = [f"odd{q}" for q in range(4)]
 _LONG = 42  # bytes of a word that count; three such lengths fit seven bits
 
@@ -94,7 +96,7 @@ def lines(docs: DataFrame, text: str = "text", min_words: int = 5) -> DataFrame:
         # Not posexplode: Spark would filter its empty arrays, and make every array twice for that.
         F.posexplode_outer(F.transform(F.split("text", "\n"), normalised)).alias("pos", "norm"),
     ).filter("norm <> ''")
-    long = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= min_words - 1
+    long = F.substring_index("norm", " ", min_words - 1) != F.col("norm")
     return norms.select("doc_id", "dk", "pos", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), F.when(long, F.col("norm")).alias("norm"))
 
 
@@ -128,7 +130,7 @@ def _near(a: DataFrame, b: DataFrame, gate_bits: int, similarity: float, also: C
     shared one only, with the number of these; rows of _by_length meet in a band of lengths."""
     on = [c for c in ("key", "at") if c in a.columns]
     near = F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")
-    near = near | (F.col("at") != F.col("band_a")) if "at" in on else near
+    near = near | F.col("main_b") if "main_b" in b.columns else near | (F.col("at") != F.col("band_a")) if "at" in on else near
     near = near if gate_bits >= 64 else near & (_differ("odd_a", "odd_b") <= gate_bits)
     near = near & (F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * similarity - 1e-9) & _can_be(_differ("odd_a", "odd_b"), similarity)
     near = near if also is None else near & also
@@ -149,9 +151,26 @@ def _centres(many: DataFrame, similarity: float) -> DataFrame:
     return many.groupBy("key", _band(similarity).alias("band")).agg(F.min(F.struct("words", "h1", "odd")).alias("c")).select("key", "c.*")
 
 
+def _picked(grouped: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Of each key and band of lengths, one class by hash, another one in each turn."""
+    columns = [c for c in grouped.columns if c not in ("key", "keys")]
+    least = F.min(F.struct(F.xxhash64("h1", F.lit(turn)).alias("order"), *columns)).alias("c")
+    return grouped.groupBy("key", _band(similarity).alias("in_band")).agg(least).select("key", *(F.col(f"c.{c}").alias(c) for c in columns))
+
+
+def _with_main(grouped: DataFrame) -> DataFrame:
+    """grouped with main: whether a row's group has most rows of its key; keys of one group only go."""
+    most = grouped.groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", "count").alias("most"), F.count("*").alias("groups")).filter("groups > 1")
+    return materialise(grouped.join(shuffled(most), "key").withColumn("main", F.col("group") == F.col("most")).drop("most", "groups"), "line-grouped")
+
+
 def _by_length(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Two sides for _near: rows at their own band and the one above, and at their own; rows of one band meet in order."""
+    """Two sides for _near: rows at their own band and the one above, and at their own; rows of one band meet in order.
+    Of rows with main, those outside their key's main group meet all others, at their own band and both beside it."""
     banded = rows.withColumn("band", _band(similarity))
+    if "main" in rows.columns:
+        a = banded.filter("not main").withColumn("at", F.explode_outer(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+        return _side(a, "a"), _side(banded.withColumn("at", F.col("band")), "b")
     return _side(banded.withColumn("at", F.explode_outer(F.array("band", F.col("band") + 1))), "a"), _side(banded.withColumn("at", F.col("band")), "b")
 
 
@@ -171,7 +190,7 @@ def shared_keys(sketches: DataFrame, max_bits: int, slice_: int = 0, slices: int
 
 
 def _side(keys: DataFrame, x: str) -> DataFrame:
-    return keys.select("key", *(c for c in keys.columns if c == "at"), F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("words", "odd", "group", "keys", "band", *_WIDE)))
+    return keys.select("key", *(c for c in keys.columns if c == "at"), F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in keys.columns if c in ("words", "odd", "group", "keys", "band", "main", *_WIDE)))
 
 
 def _place() -> Column:
@@ -179,13 +198,13 @@ def _place() -> Column:
 
 
 def _code(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(0x7FFF).cast("long"))
+    return F.xxhash64(word).bitwiseAND(F.lit(0xFFFFF).cast("long"))
 
 
 def _letters(norm: Column) -> Column:
-    """One letter of two bytes for each word."""
-    codes = F.transform(F.split(norm, " "), lambda w: F.hex(_code(w) + 0x4E00))
-    return F.unhex(F.array_join(codes, ""))
+    """One letter for each word, of those beyond the first 65,536: there are 2^20, of four bytes each."""
+    codes = F.transform(F.split(norm, " "), lambda w: F.hex(_code(w) + 0x10000))
+    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda h: F.lpad(h, 8, "0")), "")), "UTF-32")
 
 
 def _members(pairs: DataFrame) -> DataFrame:
@@ -219,6 +238,12 @@ def _crowded(found: DataFrame, many: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
+def _repeated(found: DataFrame) -> DataFrame:
+    """The rows of the classes that have more than one, and a few others; without norm."""
+    more = materialise(found.groupBy("h1", "h2").count().filter("count > 1").select("h1"), "line-repeated")
+    return _wanted(found.drop("norm"), more)
+
+
 def _spelt(x: str) -> str:
     """The words of norm_x, each one letter that no other word of the pair has."""
     return f"decode(unhex(array_join(transform(split(norm_{x}, ' '), w -> lpad(hex(65535 + array_position(own, w)), 8, '0')), '')), 'UTF-32')"
@@ -245,13 +270,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, slices: int
             release(pairs.sparkSession)
 
     n, sure = pairs.count(), []
-    most = allowed("length(letters_a) / 2", "length(letters_b) / 2")
-    near = F.expr(f"abs(length(letters_a) - length(letters_b)) / 2 <= {most} and levenshtein(decode(letters_a, 'UTF-16BE'), decode(letters_b, 'UTF-16BE'), {most}) >= 0")
+    most = allowed("length(letters_a)", "length(letters_b)")
+    # Most pairs that are similar differ by far less than they may, and the time of a comparison grows with its bound.
+    near = F.expr(f"abs(length(letters_a) - length(letters_b)) <= {most} and ({' or '.join(f'levenshtein(letters_a, letters_b, {m}) >= 0' for m in (f'{most} div 16', f'{most} div 4', most))})")
     # Different words may have one letter, which only makes lines look closer; pairs with such words are spelt exactly.
     most = allowed("size(split(norm_a, ' '))", "size(split(norm_b, ' '))")
     exact = f"get(transform(array(array_distinct(split(concat(norm_a, ' ', norm_b), ' '))), own -> levenshtein({_spelt('a')}, {_spelt('b')}, {most})), 0) >= 0"
-    own = F.array_distinct(F.split(F.concat("norm_a", F.lit(" "), "norm_b"), " "))
-    apart = let(own, lambda o: F.size(F.array_distinct(F.transform(o, _code))) == F.size(o))
+    apart = F.expr("size(array_distinct(split(concat(letters_a, letters_b), ''))) = size(array_distinct(split(concat(norm_a, ' ', norm_b), ' ')))")
     for met in by_slice(pairs, max(slices if n > _FEW else 1, n // _PAIRS + 1), "first", "norm", "letters"):
         sure.append(materialise(met.filter(near).filter(apart | F.expr(exact)).select("first_a", "first_b"), "line-sure"))
         del met
@@ -294,31 +319,44 @@ def duplicate_lines(
     roots = components(_verified(pairs, texts, similarity, _TEXT_SLICES))
     discard(pairs, texts)
     many = reduce(DataFrame.unionByName, crowds)
-    if many.head(1):
+    if many.head(1):  # groups grow by one class of each band after another; what is left apart is compared in full
         roots = materialise(roots, "line-groups")
         groups = _crowded(found, many, roots)
         release(docs.sparkSession)
         wide = reduce(lambda x, y: x + y, (_differ(f"{c}_a", f"{c}_b") for c in _WIDE))
         apart = (F.col("group_a") != F.col("group_b")) & _can_be(wide, similarity)
-        met = []
-        for own in crowds:
-            grouped = materialise(own.join(groups, "h1"), "line-grouped")
+        for turn in range(_TURNS + 1):
+            met = []
+            for own in crowds:
+                grouped = materialise(own.join(groups.withColumn("group", F.xxhash64("group")), "h1"), "line-grouped")
+                release(docs.sparkSession)
+                if turn < _TURNS:
+                    near = _near(_side(_picked(grouped, similarity, turn), "a"), _side(grouped.drop("keys"), "b"), gate_bits, similarity, apart, ordered=False)
+                else:
+                    whole, grouped = grouped, _with_main(grouped)
+                    discard(whole)
+                    near = _near(*_by_length(grouped, similarity), gate_bits, similarity, apart)
+                met.append(materialise(near.select("a", "b"), "line-met"))
+                discard(grouped)
+                release(docs.sparkSession)
+            between = materialise(reduce(DataFrame.unionByName, met).distinct(), "line-pairs")
+            discard(*met)
             release(docs.sparkSession)
-            met.append(materialise(_near(*_by_length(grouped, similarity), gate_bits, similarity, apart).select("a", "b"), "line-met"))
-            discard(grouped, own)
+            texts = _texts(found, _members(between))
             release(docs.sparkSession)
-        between = materialise(reduce(DataFrame.unionByName, met).distinct(), "line-pairs")
-        discard(*met)
-        release(docs.sparkSession)
-        texts = _texts(found, _members(between))
-        release(docs.sparkSession)
-        roots = _joined(roots, _verified(between, texts, similarity, _TEXT_SLICES))
-        discard(between, texts)
-    classes = materialise(line_classes(found.drop("norm")), "line-classes")
+            roots = materialise(_joined(roots, _verified(between, texts, similarity, _TEXT_SLICES)), "line-groups")
+            discard(between, texts)
+            if turn < _TURNS:
+                groups = materialise(groups.join(roots, F.col("group") == F.col("node"), "left").withColumn("group", F.coalesce("root", "group")).drop("node", "root"), "line-crowded")
+        discard(*crowds)
+    roots = materialise(roots, "line-roots")
+    own = _repeated(found)
+    release(docs.sparkSession)
+    classes = materialise(line_classes(own).filter("copies > 1").drop("copies"), "line-classes")
     release(docs.sparkSession)
-    named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", "copies", "first", F.coalesce("root", "first").alias("root"))
-    dirty = named.filter((F.col("copies") > 1) | (F.col("root") != F.col("first"))).select("h1", "h2", "root")
-    gone = found.join(dirty, ["h1", "h2"]).filter(_place() != F.col("root"))
+    named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "first").alias("root"))
+    gone = own.join(named, ["h1", "h2"]).filter(_place() != F.col("root")).select("doc_id", "dk", "pos")
+    gone = gone.unionByName(roots.filter("node != root").select("node.doc_id", "node.dk", "node.pos"))
     return gone.groupBy("doc_id", "dk").agg(F.collect_set("pos").alias("gone"))
 
 
