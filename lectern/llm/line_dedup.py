@@ -16,7 +16,7 @@ are rare. Shingles of the common words grow with the square of the input; these
 quarter of their shingles, and miss each other with a chance of at most 0.75 ** shingles (0.03), less for edits
 that stand together. Lengths that rule the similarity out are dropped within the join; so are pairs whose words
 differ too much, whatever their order: of a bit for each word, turned over for each time it occurs, an edit
-changes two at most. Keys with more than ``crowd`` classes are first linked to the shortest of each band of lengths, then, in turns, to
+changes two at most. Keys with more than ``crowd`` classes are first linked to the shortest of each band of lengths, then to
 others of it; what that leaves outside a key's main group is then joined with all the rest of the key, so no link
 between groups is lost, and a crowd of near copies does not yield all its pairs.
 
@@ -48,7 +48,7 @@ from .components import components
 _PAIRS = 4_000_000  # of more, the pairs of a slice
 _FEW = 1_000_000  # pairs up to which all get their texts at once
 _TEXT_SLICES = 4  # of pairs whose texts are joined at once, if there are more
-_TURNS = 2  # in which a crowd meets further classes of its own before all that are still in different groups meet
+_PICKS = 2  # classes of each key and band that a crowd meets before all that are still in different groups meet
 _WIDE = [f"odd{q}" for q in range(4)]
 _LONG = 42  # bytes of a word that count; three such lengths fit seven bits
 
@@ -152,14 +152,15 @@ def _centres(many: DataFrame, similarity: float) -> DataFrame:
 
 
 def _picked(grouped: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """Of each key and band of lengths, one class by hash, another one in each turn."""
+    """Of each key and band of lengths, one class by hash, another one for each turn."""
     columns = [c for c in grouped.columns if c not in ("key", "keys")]
     least = F.min(F.struct(F.xxhash64("h1", F.lit(turn)).alias("order"), *columns)).alias("c")
     return grouped.groupBy("key", _band(similarity).alias("in_band")).agg(least).select("key", *(F.col(f"c.{c}").alias(c) for c in columns))
 
 
-def _with_main(grouped: DataFrame) -> DataFrame:
-    """grouped with main: whether a row's group has most rows of its key; keys of one group only go."""
+def _with_main(grouped: DataFrame, moved: DataFrame) -> DataFrame:
+    """grouped by the groups of now (moved: those that were joined to another), with main: whether a row's group has most rows of its key; keys of one group only go."""
+    grouped = grouped.join(small_side(moved), "group", "left").withColumn("group", F.coalesce("moved", "group")).drop("moved")
     most = grouped.groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", "count").alias("most"), F.count("*").alias("groups")).filter("groups > 1")
     return materialise(grouped.join(shuffled(most), "key").withColumn("main", F.col("group") == F.col("most")).drop("most", "groups"), "line-grouped")
 
@@ -325,19 +326,18 @@ def duplicate_lines(
         release(docs.sparkSession)
         wide = reduce(lambda x, y: x + y, (_differ(f"{c}_a", f"{c}_b") for c in _WIDE))
         apart = (F.col("group_a") != F.col("group_b")) & _can_be(wide, similarity)
-        for turn in range(_TURNS + 1):
+        held = []
+        for picks in (True, False):
             met = []
-            for own in crowds:
-                grouped = materialise(own.join(groups.withColumn("group", F.xxhash64("group")), "h1"), "line-grouped")
-                release(docs.sparkSession)
-                if turn < _TURNS:
-                    near = _near(_side(_picked(grouped, similarity, turn), "a"), _side(grouped.drop("keys"), "b"), gate_bits, similarity, apart, ordered=False)
+            for k, own in enumerate(crowds):
+                if picks:
+                    held.append(materialise(own.join(groups.withColumn("group", F.xxhash64("group")), "h1"), "line-grouped"))
+                    release(docs.sparkSession)
+                    few = reduce(DataFrame.unionByName, (_picked(held[k], similarity, turn) for turn in range(_PICKS)))
+                    near = _near(_side(few, "a"), _side(held[k].drop("keys"), "b"), gate_bits, similarity, apart, ordered=False)
                 else:
-                    whole, grouped = grouped, _with_main(grouped)
-                    discard(whole)
-                    near = _near(*_by_length(grouped, similarity), gate_bits, similarity, apart)
+                    near = _near(*_by_length(_with_main(held[k], moved), similarity), gate_bits, similarity, apart)
                 met.append(materialise(near.select("a", "b"), "line-met"))
-                discard(grouped)
                 release(docs.sparkSession)
             between = materialise(reduce(DataFrame.unionByName, met).distinct(), "line-pairs")
             discard(*met)
@@ -346,8 +346,10 @@ def duplicate_lines(
             release(docs.sparkSession)
             roots = materialise(_joined(roots, _verified(between, texts, similarity, _TEXT_SLICES)), "line-groups")
             discard(between, texts)
-            if turn < _TURNS:
-                groups = materialise(groups.join(roots, F.col("group") == F.col("node"), "left").withColumn("group", F.coalesce("root", "group")).drop("node", "root"), "line-crowded")
+            if picks:
+                moved = groups.select("group").distinct().join(roots, F.col("group") == F.col("node")).filter("node != root")
+                moved = materialise(moved.select(F.xxhash64("group").alias("group"), F.xxhash64("root").alias("moved")), "line-moved")
+        discard(*held)
         discard(*crowds)
     roots = materialise(roots, "line-roots")
     own = _repeated(found)
