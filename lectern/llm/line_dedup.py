@@ -4,29 +4,30 @@ A line is normalised (lower case, runs of anything but letters, marks and digits
 without any of these take no part. Equal normalised lines form a class, however short. Classes of lines of
 at least ``min_words`` words (shorter ones differ by a fifth or more with one word) also link if their words
 have an edit similarity (1 - distance / longer length, in words) of at least ``similarity``. For that, each
-word is first one letter of 20 bits of its hash; pairs that pass are compared word by word. Of each
+word is first one of 983,040 letters; pairs that pass are compared word by word if two of their words, told apart by 64 bits, have one letter. Of each
 connected group the first line, by document, then by position, stays; all others are removed.
 
 Candidates: n words with at most 0.2 n edits keep a run of at least ceil(0.8 n / (0.2 n + 1)) words, which
 is three or more for all lines but those of five words, where the word in the middle may differ. So classes
-meet on shingles of three words, those of five words also on all but the middle one: on at most ``shingles`` of
-them, which are all of a line of up to shingles + 2 words. Of longer lines, those of most bytes are taken,
-equal ones by hash: a choice that both lines make alike, and of shingles that few other lines have, as long words
-are rare. Shingles of the common words grow with the square of the input; these do not. Pairs share at least a
-quarter of their shingles, and miss each other with a chance of at most 0.75 ** shingles (0.03), less for edits
-that stand together. Lengths that rule the similarity out are dropped within the join; so are pairs whose words
+of up to shingles + 2 words meet on all their shingles of three words, those of five words also on all but the middle
+one. Longer lines meet on seven shingles of two words: those of most bytes are taken, equal ones by hash, a choice
+that both lines make alike, and of shingles that few other lines have, as long words are rare. Shingles of the common
+words grow with the square of the input; these do not. Lines that are longer, but can be similar to a line of shingles
++ 2 words, have their longest shingles of three words too. Of two shingled by two words, pairs share three in seven, and
+miss each other with a chance of at most (4 / 7) ** 7 (0.02), less for edits that stand together. Lengths that rule the similarity out are dropped within the join; so are pairs whose words
 differ too much, whatever their order: of a bit for each word, turned over for each time it occurs, an edit
 changes two at most. Keys with more than ``crowd`` classes are first linked to the shortest of each band of lengths, then to
 others of it; what that leaves outside a key's main group is then joined with all the rest of the key, so no link
 between groups is lost, and a crowd of near copies does not yield all its pairs.
 
-Keys that two classes share are found from the keys alone; only their rows get anything else. With ``slices``
+Only one row of each class is sketched. Keys that two rows share are found from the keys alone; only their rows get anything
+else, and of each key a row meets those before it, without a join. With ``slices``
 keys are dealt by their lowest bits, and one slice after another is grouped and joined; pairs get their texts in
 slices of at most some millions. What a slice has shuffled goes before the next.
 
 Lines are normalised once and written. Their shingles are made once by a step of their own that shuffles nothing,
-and go once keys are found. Texts are shuffled only for the lines that pairs need; later steps never go back
-to the documents. Removals are applied by a join that is broadcast only below a checked number of rows.
+and go once keys are found. Lines that pairs or crowds need are then written apart and the others go. Texts are
+shuffled only for the lines that pairs need; later steps never go back to the documents. Removals are applied by a join that is broadcast only below a checked number of rows.
 
 Defined cases: a null text stays null; a text keeps its empty lines and its line order; a text all of
 whose lines go becomes empty; rows that share doc_id and text count as one document and get the same
@@ -46,11 +47,12 @@ from .common import bitmap, bitmap_slots, discard, fresh, marked, materialise, r
 from .components import components
 
 _PAIRS = 4_000_000  # of more, the pairs of a slice
+_SLOW = 200  # words of a line whose comparison is first tried with a quarter of its bound
 _FEW = 1_000_000  # pairs up to which all get their texts at once
 _TEXT_SLICES = 4  # of pairs whose texts are joined at once, if there are more
 _PICKS = 2  # classes of each key and band that a crowd meets before all that are still in different groups meet
 _WIDE = [f"odd{q}" for q in range(4)]
-_LONG = 42  # bytes of a word that count; three such lengths fit seven bits
+_PAIRED = 7  # shingles of two words of a line that is too long to meet on all its shingles of three
 
 
 def normalised(line: Column) -> Column:
@@ -70,23 +72,26 @@ def _odd_wide(hashes: str) -> list[Column]:
 
 
 def _word(word: Column) -> Column:
-    """54 bits of a word's hash below its length in bytes: three of these add up without touching the sign."""
-    return F.shiftleft(F.least(F.octet_length(word), F.lit(_LONG)).cast("long"), 56) + F.shiftrightunsigned(F.xxhash64(word), 10)
+    """53 bits of a word's hash below the lowest six bits of its length in bytes, negative: three of these add up without an overflow."""
+    return F.bitwise_not(F.shiftleft(F.octet_length(word).bitwiseAND(F.lit(63)).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 11)))
 
 
-def _shingles(hashes: Column, most: int) -> Column:
-    """Sums of three words next to each other, at most so many, the longest first; null for none. Of five words, all but the
-    middle one as well (four words are what a line of five can lose to)."""
-
-    def later(by: int) -> Column:
-        return F.slice(hashes, by + 1, F.greatest(F.size(hashes) - by, F.lit(0)))
+def _shingles(most: int, similarity: float) -> Column:
+    """Of hs, sums of three words next to each other, at most so many, the longest first, in lines of up to most + 2 words and in those
+    that can be similar to one of these; of lines of more than most + 2 words, _PAIRED sums of two as well. Of five words, all but the middle one as well (four words are what a line of five can lose to)."""
 
     def around(*at: int) -> Column:
-        return F.array(F.xxhash64(*(F.get(hashes, F.lit(i)) for i in at)))
+        return F.array(F.xxhash64(*(F.get("hs", F.lit(i)) for i in at)))
+
+    # Spark sorts an array of numbers without nulls, rising, at a fraction of the time of any other; zeros are what the end lacks.
+    def sums(third: str) -> Column:
+        return F.expr(f"sort_array(transform(hs, (x, i) -> coalesce(x + get(hs, i + 1){third}, 0L)))")
 
-    grams = F.zip_with(F.zip_with(hashes, later(1), lambda x, y: x + y), later(2), lambda x, y: x + y)
-    split = F.when(F.size(hashes) == 5, around(0, 1, 3, 4)).when(F.size(hashes) == 4, around(0, 1, 2, 3)).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(F.slice(F.sort_array(F.array_distinct(grams), False), 1, most), split)
+    none = F.array().cast("array<bigint>")
+    two = F.when(F.size("hs") > most + 2, F.slice(F.array_distinct(sums("")), 1, _PAIRED)).otherwise(none)
+    three = F.when(F.size("hs") <= (most + 2) / similarity + 1e-9, F.slice(F.array_distinct(sums(" + get(hs, i + 2)")), 1, most)).otherwise(none)
+    split = F.when(F.size("hs") == 5, around(0, 1, 3, 4)).when(F.size("hs") == 4, around(0, 1, 2, 3)).otherwise(none)
+    return F.concat(F.array_remove(F.concat(two, three), F.lit(0).cast("long")), split)
 
 
 def lines(docs: DataFrame, text: str = "text", min_words: int = 5) -> DataFrame:
@@ -107,10 +112,10 @@ def line_classes(found: DataFrame) -> DataFrame:
     return per.select("h1", "h2", "copies", F.struct("f.doc_id", "f.dk", "f.pos").alias("first"), *(F.col(f"f.{c}").alias(c) for c in norm))
 
 
-def line_sketches(found: DataFrame, shingles: int) -> DataFrame:
+def line_sketches(found: DataFrame, shingles: int, similarity: float = 0.8) -> DataFrame:
     """(h1, words, met (shingles), odd) of the lines or classes that have a norm."""
     hashed = found.filter("norm is not null").select("h1", F.transform(F.split("norm", " "), _word).alias("hs"))
-    return hashed.select("h1", F.size("hs").alias("words"), _shingles(F.col("hs"), shingles).alias("met"), _odd("hs").alias("odd"))
+    return hashed.select("h1", F.size("hs").alias("words"), _shingles(shingles, similarity).alias("met"), _odd("hs").alias("odd"))
 
 
 def _differ(a: str, b: str) -> Column:
@@ -124,6 +129,11 @@ def _can_be(bits: Column, similarity: float) -> Column:
     return bits + F.abs(F.col("words_a") - F.col("words_b")) <= 2 * edits
 
 
+def _by_bits(similarity: float) -> Column:
+    """Whether two rows can be similar by their lengths and by what their words differ in."""
+    return (F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * similarity - 1e-9) & _can_be(_differ("odd_a", "odd_b"), similarity)
+
+
 def _near(a: DataFrame, b: DataFrame, gate_bits: int, similarity: float, also: Column | None = None, ordered: bool = True) -> DataFrame:
     """(a, b, times) of the rows that share a key, differ in at most gate_bits bits of _odd (of 64) and can be similar by their words.
     ordered: of two rows that are on both sides, a is the lesser. Rows that have all their keys meet at the least
@@ -132,7 +142,7 @@ def _near(a: DataFrame, b: DataFrame, gate_bits: int, similarity: float, also: C
     near = F.col("a") < F.col("b") if ordered else F.col("a") != F.col("b")
     near = near | F.col("main_b") if "main_b" in b.columns else near | (F.col("at") != F.col("band_a")) if "at" in on else near
     near = near if gate_bits >= 64 else near & (_differ("odd_a", "odd_b") <= gate_bits)
-    near = near & (F.least("words_a", "words_b") >= F.greatest("words_a", "words_b") * similarity - 1e-9) & _can_be(_differ("odd_a", "odd_b"), similarity)
+    near = near & _by_bits(similarity)
     near = near if also is None else near & also
     times = F.lit(1)
     if "keys_a" in a.columns:
@@ -175,17 +185,38 @@ def _by_length(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     return _side(banded.withColumn("at", F.explode_outer(F.array("band", F.col("band") + 1))), "a"), _side(banded.withColumn("at", F.col("band")), "b")
 
 
-def shared_keys(sketches: DataFrame, max_bits: int, slice_: int = 0, slices: int = 1) -> DataFrame:
-    """(h1, words, odd, key, n) of the keys that n > 1 classes share; of so many slices of the keys, one; written.
-    max_bits has no effect: no pair is left to meet by SimHash."""
+def _of_shared_keys(sketches: DataFrame, slice_: int, slices: int) -> tuple[DataFrame, DataFrame]:
+    """(h1, words, odd, key) of the keys that two rows share, and of a few others, each once, rows of a key in one place; what that reads."""
     own = F.filter(F.col("met"), lambda k: k.bitwiseAND(F.lit(slices - 1).cast("long")) == slice_) if slices > 1 else F.col("met")
     every = sketches.select("h1", "words", "odd", F.explode_outer(own).alias("key")).filter("key is not null")
-    common = every.groupBy("key").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).filter("least < most").select("key")
-    common = materialise(common, "line-common")
+    common = materialise(every.groupBy("key").count().filter("count > 1").select("key"), "line-common")
     slots = bitmap_slots(common.count())
     met = every.filter(marked(bitmap(common.select(F.col("key").alias("h")), slots), F.col("key"), slots))
-    met = met.groupBy("key", "h1").agg(F.first("words").alias("words"), F.first("odd").alias("odd"))
-    out = materialise(met.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1"), "line-keys")
+    return met.repartition("key").groupBy("key", "h1").agg(F.first("words").alias("words"), F.first("odd").alias("odd")), common
+
+
+def shared_keys(sketches: DataFrame, max_bits: int, slice_: int = 0, slices: int = 1) -> DataFrame:
+    """(h1, words, odd, key, n) of the keys that n > 1 classes share; of so many slices of the keys, one; written.
+    max_bits has no effect: no pair is left to meet by SimHash."""
+    met, common = _of_shared_keys(sketches, slice_, slices)
+    out = materialise(met.select("h1", "words", "odd", "key", F.count("*").over(Window.partitionBy("key")).alias("n")).filter("n > 1"), "line-keys")
+    discard(common)
+    return out
+
+
+def _meetings(sketches: DataFrame, similarity: float, crowd: int, gate_bits: int, slice_: int, slices: int) -> DataFrame:
+    """Rows of shared_keys in one pass: those of keys with at most crowd classes become pairs that can be similar (a < h1), those of
+    others stay as they are (a is null). A row of a key has the rows before it, so no join is needed; written."""
+    met, common = _of_shared_keys(sketches, slice_, slices)
+    by = Window.partitionBy("key").orderBy("h1")
+    n = F.count("*").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.collect_list(F.struct("h1", "words", "odd")).over(by.rowsBetween(-crowd, -1))
+    met = met.select("key", "h1", "words", "odd", n.alias("n"), before.alias("before")).filter("n > 1")
+    met = met.withColumn("before", F.explode_outer(F.when(F.col("n") <= crowd, F.col("before"))))
+    met = met.select("key", "h1", "words", "odd", "n", *(F.col(f"before.{c}").alias(x) for c, x in (("h1", "a"), ("words", "words_a"), ("odd", "odd_a"))), F.col("words").alias("words_b"), F.col("odd").alias("odd_b"))
+    near = F.col("a").isNotNull() & _by_bits(similarity)
+    near = near if gate_bits >= 64 else near & (_differ("odd_a", "odd_b") <= gate_bits)
+    out = materialise(met.filter((F.col("n") > crowd) | near).select("key", "h1", "words", "odd", "a"), "line-keys")
     discard(common)
     return out
 
@@ -199,13 +230,18 @@ def _place() -> Column:
 
 
 def _code(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(0xFFFFF).cast("long"))
+    return F.pmod(F.xxhash64(word), F.lit(0xF0000).cast("long"))
 
 
 def _letters(norm: Column) -> Column:
-    """One letter for each word, of those beyond the first 65,536: there are 2^20, of four bytes each."""
+    """One letter for each word, of the 983,040 of four bytes whose numbers have five digits."""
     codes = F.transform(F.split(norm, " "), lambda w: F.hex(_code(w) + 0x10000))
-    return F.decode(F.unhex(F.array_join(F.transform(codes, lambda h: F.lpad(h, 8, "0")), "")), "UTF-32")
+    return F.decode(F.unhex(F.concat(F.lit("000"), F.array_join(codes, "000"))), "UTF-32")
+
+
+def _marks(norm: Column) -> Column:
+    """The different words of a line: 44 bits of each one's hash before the 20 of its letter."""
+    return F.array_distinct(F.transform(F.split(norm, " "), lambda w: F.xxhash64(w).bitwiseAND(F.lit(~0xFFFFF).cast("long")).bitwiseOR(_code(w).cast("long"))))
 
 
 def _members(pairs: DataFrame) -> DataFrame:
@@ -219,10 +255,11 @@ def _wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _texts(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h1, first, norm, letters) of the classes that are wanted (h1)."""
+    """(h1, first, norm, letters, marks, words) of the classes that are wanted (h1)."""
     wanted = materialise(wanted.distinct(), "line-wanted")
     own = _wanted(found.filter("norm is not null"), wanted).join(small_side(wanted), "h1")
-    texts = materialise(line_classes(own).select("h1", "first", "norm").withColumn("letters", _letters(F.col("norm"))), "line-texts", "zstd")
+    texts = line_classes(own).select("h1", "first", "norm", _letters(F.col("norm")).alias("letters"), _marks(F.col("norm")).alias("marks"))
+    texts = materialise(texts.withColumn("words", F.length("letters")), "line-texts", "zstd")
     discard(wanted)
     return texts
 
@@ -239,10 +276,17 @@ def _crowded(found: DataFrame, many: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def _repeated(found: DataFrame) -> DataFrame:
-    """The rows of the classes that have more than one, and a few others; without norm."""
+def _once(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of classes that have more than one, and a few others, without norm; the classes of these; and the rows that are
+    the first of their class, and a few others: all with no text shuffled. The first two are written."""
     more = materialise(found.groupBy("h1", "h2").count().filter("count > 1").select("h1"), "line-repeated")
-    return _wanted(found.drop("norm"), more)
+    own = materialise(_wanted(found.drop("norm"), more), "line-repeats")
+    classes = materialise(line_classes(own), "line-classes")
+    slots, first_slots = bitmap_slots(more.count()), bitmap_slots(classes.count())
+    repeats = marked(bitmap(more.select(F.col("h1").alias("h")), slots), F.col("h1"), slots)
+    # Every row that the first bitmap marks is in own, so its class is in classes and its first row in the second bitmap.
+    first = marked(bitmap(classes.select(F.xxhash64("first.doc_id", "first.dk", "first.pos").alias("h")), first_slots), F.xxhash64("doc_id", "dk", "pos"), first_slots)
+    return own, classes, found.filter("norm is not null").filter(~repeats | first)
 
 
 def _spelt(x: str) -> str:
@@ -251,7 +295,7 @@ def _spelt(x: str) -> str:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, slices: int) -> DataFrame:
-    """(first_a, first_b) of the pairs whose words are similar; written, as so many tables or more if there are many pairs."""
+    """(first_a, first_b) of the pairs whose words are similar; written, in so many steps or more if there are many pairs."""
     def side(texts: DataFrame, x: str, *columns: str) -> DataFrame:
         return texts.select(F.col("h1").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
 
@@ -270,18 +314,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, slices: int
             discard(other)
             release(pairs.sparkSession)
 
-    n, sure = pairs.count(), []
-    most = allowed("length(letters_a)", "length(letters_b)")
-    # Most pairs that are similar differ by far less than they may, and the time of a comparison grows with its bound.
-    near = F.expr(f"abs(length(letters_a) - length(letters_b)) <= {most} and ({' or '.join(f'levenshtein(letters_a, letters_b, {m}) >= 0' for m in (f'{most} div 16', f'{most} div 4', most))})")
+    n, sure, unsure = pairs.count(), [], []
+    most = allowed("words_a", "words_b")
+    # The time of a comparison grows with its bound; pairs of long lines that are similar mostly differ by far less than they may.
+    near = F.expr(f"(greatest(words_a, words_b) > {_SLOW} and levenshtein(letters_a, letters_b, {most} div 4) >= 0) or levenshtein(letters_a, letters_b, {most}) >= 0")
     # Different words may have one letter, which only makes lines look closer; pairs with such words are spelt exactly.
+    apart = F.expr("get(transform(array(array_union(marks_a, marks_b)), own -> size(own) = size(array_distinct(transform(own, m -> m & 1048575L)))), 0)")
+    for met in by_slice(pairs, max(slices if n > _FEW else 1, n // _PAIRS + 1), "first", "letters", "marks", "words"):
+        # An edit changes two different words at most, as it does bits.
+        can_be = _can_be(F.size(F.array_union("marks_a", "marks_b")) * 2 - F.size("marks_a") - F.size("marks_b"), similarity)
+        met = materialise(met.filter(can_be).filter(near).select("a", "b", "first_a", "first_b", apart.alias("apart")), "line-sure")
+        sure.append(met.filter("apart"))
+        unsure.append(met.filter("not apart"))
     most = allowed("size(split(norm_a, ' '))", "size(split(norm_b, ' '))")
     exact = f"get(transform(array(array_distinct(split(concat(norm_a, ' ', norm_b), ' '))), own -> levenshtein({_spelt('a')}, {_spelt('b')}, {most})), 0) >= 0"
-    apart = F.expr("size(array_distinct(split(concat(letters_a, letters_b), ''))) = size(array_distinct(split(concat(norm_a, ' ', norm_b), ' ')))")
-    for met in by_slice(pairs, max(slices if n > _FEW else 1, n // _PAIRS + 1), "first", "norm", "letters"):
-        sure.append(materialise(met.filter(near).filter(apart | F.expr(exact)).select("first_a", "first_b"), "line-sure"))
-        del met
-    return reduce(DataFrame.unionByName, sure)
+    unsure = materialise(reduce(DataFrame.unionByName, unsure).drop("apart"), "line-unsure")
+    if unsure.head(1):
+        few = _wanted(texts, materialise(_members(unsure).distinct(), "line-wanted"))
+        sure.append(unsure.join(side(few, "a", "norm"), "a").join(side(few, "b", "norm"), "b").filter(F.expr(exact)))
+    return materialise(reduce(DataFrame.unionByName, [s.select("first_a", "first_b") for s in sure]), "line-sure")
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -300,29 +351,34 @@ def duplicate_lines(
 ) -> DataFrame:
     """(doc_id, dk, gone): the positions of the lines to remove from each document that loses any."""
     found = materialise(lines(docs, text, min_words), "lines", "zstd")
-    sketches = materialise(line_sketches(found, shingles), "line-sketches", "zstd")
+    repeats, classes, once = _once(found)
+    release(docs.sparkSession)
+    sketches = materialise(line_sketches(once, shingles, similarity), "line-sketches", "zstd")
     met, crowds = [], []
     for k in range(slices):
-        keys = shared_keys(sketches, max_bits, k, slices)
+        keys = _meetings(sketches, similarity, crowd, gate_bits, k, slices)
         release(docs.sparkSession)
-        few, many = keys.filter(F.col("n") <= crowd), keys.filter(F.col("n") > crowd)
-        near = _near(_side(few, "a"), _side(few, "b"), gate_bits, similarity)
-        near = near.unionByName(_near(_side(_centres(many, similarity), "a"), _side(many, "b"), gate_bits, similarity, ordered=False))
-        met.append(materialise(near.select("a", "b").distinct(), "line-met"))
-        crowds.append(materialise(many.drop("n"), "line-crowds"))
+        near, many = keys.filter("a is not null").select("a", F.col("h1").alias("b")), keys.filter("a is null").drop("a")
+        near = near.unionByName(_near(_side(_centres(many, similarity), "a"), _side(many, "b"), gate_bits, similarity, ordered=False).select("a", "b"))
+        met.append(materialise(near.distinct(), "line-met"))
+        crowds.append(materialise(many, "line-crowds"))
         discard(keys)
         release(docs.sparkSession)
     discard(sketches)
     pairs = materialise(reduce(DataFrame.unionByName, met).distinct(), "line-pairs") if slices > 1 else met.pop()
     discard(*met)
-    texts = _texts(found, _members(pairs))
+    many = reduce(DataFrame.unionByName, crowds)
+    asked = materialise(_members(pairs).unionByName(many.select("h1")).distinct(), "line-wanted")
+    asked_lines = materialise(_wanted(once, asked), "line-asked", "zstd")  # all later steps read no other lines
+    discard(asked, found)
+    release(docs.sparkSession)
+    texts = _texts(asked_lines, _members(pairs))
     release(docs.sparkSession)
     roots = components(_verified(pairs, texts, similarity, _TEXT_SLICES))
     discard(pairs, texts)
-    many = reduce(DataFrame.unionByName, crowds)
     if many.head(1):  # groups grow by one class of each band after another; what is left apart is compared in full
         roots = materialise(roots, "line-groups")
-        groups = _crowded(found, many, roots)
+        groups = _crowded(asked_lines, many, roots)
         release(docs.sparkSession)
         wide = reduce(lambda x, y: x + y, (_differ(f"{c}_a", f"{c}_b") for c in _WIDE))
         apart = (F.col("group_a") != F.col("group_b")) & _can_be(wide, similarity)
@@ -342,7 +398,7 @@ def duplicate_lines(
             between = materialise(reduce(DataFrame.unionByName, met).distinct(), "line-pairs")
             discard(*met)
             release(docs.sparkSession)
-            texts = _texts(found, _members(between))
+            texts = _texts(asked_lines, _members(between))
             release(docs.sparkSession)
             roots = materialise(_joined(roots, _verified(between, texts, similarity, _TEXT_SLICES)), "line-groups")
             discard(between, texts)
@@ -352,12 +408,9 @@ def duplicate_lines(
         discard(*held)
         discard(*crowds)
     roots = materialise(roots, "line-roots")
-    own = _repeated(found)
-    release(docs.sparkSession)
-    classes = materialise(line_classes(own).filter("copies > 1").drop("copies"), "line-classes")
     release(docs.sparkSession)
-    named = classes.join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "first").alias("root"))
-    gone = own.join(named, ["h1", "h2"]).filter(_place() != F.col("root")).select("doc_id", "dk", "pos")
+    named = classes.filter("copies > 1").join(roots, F.col("first") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "first").alias("root"))
+    gone = repeats.join(named, ["h1", "h2"]).filter(_place() != F.col("root")).select("doc_id", "dk", "pos")
     gone = gone.unionByName(roots.filter("node != root").select("node.doc_id", "node.dk", "node.pos"))
     return gone.groupBy("doc_id", "dk").agg(F.collect_set("pos").alias("gone"))
 
